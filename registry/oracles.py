@@ -224,7 +224,7 @@ ORACLES: dict[str, str] = {
       {SCORES}, round(severity_score_norm, 4) AS severity_score_norm FROM ranked""",
     "q_intersection_rankings": f"""WITH {BASE}, {RANKED}, {NAMED} SELECT nodeid, crash_count, total_killed,
       total_injured, {SCORES}, round(severity_score_norm, 4) AS severity_score_norm, intersection_name,
-      round(latitude, 4) AS latitude, round(longitude, 4) AS longitude
+      latitude, longitude
       FROM ranked LEFT JOIN named USING (nodeid) LEFT JOIN node USING (nodeid)""",
     "q_snap_map": f"WITH {BASE}, {SNAP} SELECT collision_id, nodeid, round(dist, 4) AS snap_dist FROM snapped",
     "q_snap_summary": f"WITH {BASE}, {SNAP} {describe('snapped', 'dist')}",
@@ -237,7 +237,7 @@ ORACLES: dict[str, str] = {
       round(exp(-0.3 * ({AGE})), 4) AS recency_weight, round({BASE_SEVERITY}, 4) AS base_severity,
       round(({BASE_SEVERITY}) * exp(-0.3 * ({AGE})), 4) AS weighted_score FROM crash""",
     "q_street_names": f"WITH {BASE}, {NAMED} SELECT nodeid, intersection_name FROM named",
-    "q_node_coords": f"""WITH {BASE} SELECT p_size, round(s.latitude, 4) AS latitude, round(s.longitude, 4) AS longitude
+    "q_node_coords": f"""WITH {BASE} SELECT p_size, s.latitude, s.longitude
       FROM (SELECT p_size, min(struct_pack(latitude := latitude, longitude := longitude)) AS s
         FROM node JOIN part ON p_partkey = nodeid GROUP BY p_size)""",
     "q_nearest_uncapped": f"""WITH {BASE}, layer AS ({v.SEGMENT_LAYER_SQL}),
@@ -260,8 +260,7 @@ ORACLES: dict[str, str] = {
     "q_clean_rows": CLEAN,
     "q_csv_round_trip": CLEAN,
     "q_stream_ingest": CLEAN,
-    "q_cached_table": f"""WITH {BASE} SELECT collision_id, round(latitude, 4) AS latitude,
-      round(longitude, 4) AS longitude FROM crash""",
+    "q_cached_table": f"""WITH {BASE} SELECT collision_id, latitude, longitude FROM crash""",
     "q_union_pages": """SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN value END AS value
       FROM events""",
     "q_row_features": f"""WITH {BASE}, {ROW_FLAGS.format(source='crash')}
@@ -335,7 +334,7 @@ ORACLES: dict[str, str] = {
       "Top_Intervention" FROM master""",
     "q_leaderboard": f"""WITH {MASTER} SELECT intersection_name, {SCORES}, crash_count, predicted_cause,
       "Top_Intervention" FROM master WHERE predicted_cause = 'click'""",
-    "q_map_feed": f"""WITH {MASTER} SELECT round(latitude, 4) AS latitude, round(longitude, 4) AS longitude,
+    "q_map_feed": f"""WITH {MASTER} SELECT latitude, longitude,
       intersection_name, {SCORES}, crash_count, predicted_cause, "Top_Intervention" FROM master""",
     "q_filter_values": f"WITH {MASTER} SELECT DISTINCT predicted_cause FROM master",
     "q_price_quantiles": """SELECT prob, round(value, 4) AS value FROM (

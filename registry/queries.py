@@ -78,7 +78,7 @@ def intersection_rankings(spark, sf_dir):
     return table.select(
         F.col("NODEID").alias("nodeid"), "crash_count", "total_killed", "total_injured",
         r4("severity_score"), r4("severity_score_norm"), "intersection_name",
-        r4("latitude"), r4("longitude"),
+        "latitude", "longitude",
     )
 
 
@@ -140,7 +140,7 @@ def node_coords(spark, sf_dir):
     sized = v.nodes(spark, sf_dir).join(
         v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("NODEID"), "p_size"), "NODEID"
     )
-    return names.node_coordinates(sized, "p_size").select("p_size", r4("latitude"), r4("longitude"))
+    return names.node_coordinates(sized, "p_size").select("p_size", "latitude", "longitude")
 
 
 # Nearest and near
@@ -332,7 +332,7 @@ def cached_table(spark, sf_dir):
     path = _scratch(spark, "cache")
 
     def build() -> DataFrame:
-        return v.crashes(spark, sf_dir).select("collision_id", r4("latitude"), r4("longitude"))
+        return v.crashes(spark, sf_dir).select("collision_id", "latitude", "longitude")
 
     readers.read_through(spark, path, build)
     return readers.read_through(spark, path, build)
@@ -609,7 +609,7 @@ def leaderboard(spark, sf_dir):
 @query
 def map_feed(spark, sf_dir):
     return dashboards.map_feed(_master(spark, sf_dir), "All").select(
-        r4("latitude"), r4("longitude"), "intersection_name", r4("severity_score"), "crash_count",
+        "latitude", "longitude", "intersection_name", r4("severity_score"), "crash_count",
         "predicted_cause", "Top_Intervention",
     )
 

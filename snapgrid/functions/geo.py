@@ -17,9 +17,9 @@ DISTANCE_DIGITS = 6
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres between two points given in degrees."""
-    half_dlat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_dlon = F.sin(F.radians(lon2 - lon1) / 2)
-    h = half_dlat * half_dlat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_dlon * half_dlon
+    h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(
+        F.radians(lat2)
+    ) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_RADIUS_M)
 
 
@@ -34,8 +34,7 @@ def segment_distance_m(
     per_lon = F.cos(F.radians(lat)) * METRES_PER_DEGREE
     ax, ay = (a_lon - lon) * per_lon, (a_lat - lat) * METRES_PER_DEGREE
     dx, dy = (b_lon - a_lon) * per_lon, (b_lat - a_lat) * METRES_PER_DEGREE
-    length2 = F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    length2 = F.nullif(F.pow(dx, 2) + F.pow(dy, 2), F.lit(0.0))
     along = F.coalesce(-(ax * dx + ay * dy) / length2, F.lit(0.0))
     along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    fx, fy = ax + along * dx, ay + along * dy
-    return F.sqrt(fx * fx + fy * fy)
+    return F.sqrt(F.pow(ax + along * dx, 2) + F.pow(ay + along * dy, 2))

@@ -69,37 +69,26 @@ class Grid:
     ) -> DataFrame:
         """One row per cell that a segment touches, widened by ``pad`` cells.
 
-        A long segment is cut into pieces of about one cell, so the number of
-        rows grows with its length and not with the area of its bounding box.
+        Goes row by row of the grid and takes the columns that the part of the
+        segment near that row spans, so the number of cells grows with the length
+        of the segment and not with the area of its bounding box.
         """
         a_y, b_y = F.col(a_lat) / F.lit(self.height), F.col(b_lat) / F.lit(self.height)
         a_x, b_x = F.col(a_lon) / F.lit(self.width), F.col(b_lon) / F.lit(self.width)
-        pieces = F.greatest(
-            F.ceil(F.greatest(F.abs(b_y - a_y), F.abs(b_x - a_x))), F.lit(1)
-        ).cast("int")
-
-        def span(start: Column, end: Column, i: Column) -> Column:
-            lo = start + (end - start) * i / pieces
-            hi = start + (end - start) * (i + 1) / pieces
-            first = F.floor(F.least(lo, hi)).cast("bigint") - F.lit(pad)
-            last = F.floor(F.greatest(lo, hi)).cast("bigint") + F.lit(pad)
-            return F.sequence(first, last)
-
-        def piece_cells(i: Column) -> Column:
-            return F.flatten(
-                F.transform(
-                    span(a_y, b_y, i),
-                    lambda y: F.transform(
-                        span(a_x, b_x, i), lambda x: F.struct(y.alias("y"), x.alias("x"))
-                    ),
-                )
-            )
-
-        steps = F.sequence(F.lit(0), pieces - F.lit(1))
-        cells = F.array_distinct(F.flatten(F.transform(steps, piece_cells)))
-        return (
-            df.withColumn("_cell", F.explode(cells))
-            .withColumns({CELL_Y: F.col("_cell.y"), CELL_X: F.col("_cell.x")})
-            .drop("_cell")
-        )
-
+        pad_cells = F.lit(pad).cast("bigint")
+
+        def spanned(one: Column, other: Column) -> Column:
+            first = F.floor(F.least(one, other)).cast("bigint") - pad_cells
+            last = F.floor(F.greatest(one, other)).cast("bigint") + pad_cells
+            return F.explode(F.sequence(first, last))
+
+        def x_at(y: Column) -> Column:
+            """Where the segment crosses a row edge; its ends beyond them."""
+            share = F.coalesce((y - a_y) / F.nullif(b_y - a_y, F.lit(0.0)), F.lit(0.0))
+            return a_x + (b_x - a_x) * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+
+        row = F.col(CELL_Y)
+        level = a_y == b_y
+        low = F.when(level, a_x).otherwise(x_at(row - pad_cells))
+        high = F.when(level, b_x).otherwise(x_at(row + pad_cells + 1))
+        return df.withColumn(CELL_Y, spanned(a_y, b_y)).withColumn(CELL_X, spanned(low, high))

@@ -16,6 +16,7 @@ from snapgrid.session import stage_table
 
 CROWDED_CELL = 256
 MAX_HALVINGS = 12
+GROWTH = 4
 _PLACE = ["lat", "lon"]
 
 
@@ -117,8 +118,7 @@ def nearest_within(
         start_m = crowded_start(targets, radius_m, extent)
     if start_m is None or start_m >= radius_m:
         return _within(spots, targets, target_id, radius_m, extent, ties)
-    found, rest = _widen(spots, targets, target_id, extent, ties, _doubling(start_m, radius_m))
-    return found
+    return _widen(spots, targets, target_id, extent, ties, _growing(start_m, radius_m))[0]
 
 
 def nearest_any(
@@ -126,30 +126,30 @@ def nearest_any(
     targets: DataFrame,
     target_id: str,
     start_m: float,
-    rounds: int = 8,
+    rounds: int = 5,
     ties: str = "all",
     block_rows: int = 16_384,
 ) -> DataFrame:
     """Nearest target of every place, however far.
 
-    The radius doubles for the places without a hit. What is left after the last
+    The radius grows for the places without a hit. What is left after the last
     round lies far from everything, where a grid no longer helps; it is compared
     block by block, exactly.
     """
     ends = [c for c in ("a_lat", "a_lon", "b_lat", "b_lon") if c in targets.columns]
     targets = stage_table(targets.select(target_id, *ends).dropDuplicates(), "targets")
-    radii = [start_m * 2**i for i in range(rounds)]
+    radii = [start_m * GROWTH**i for i in range(rounds)]
     found, rest = _widen(spots, targets, target_id, Extent.measure(targets), ties, radii)
     if rest.isEmpty():
         return found
     return found.unionByName(_nearest_by_blocks(rest, targets, target_id, ties, block_rows))
 
 
-def _doubling(start_m: float, radius_m: float) -> list[float]:
+def _growing(start_m: float, radius_m: float) -> list[float]:
     radii = []
     while start_m < radius_m:
         radii.append(start_m)
-        start_m *= 2
+        start_m *= GROWTH
     return [*radii, radius_m]
 
 
@@ -221,12 +221,12 @@ def _nearest_by_blocks(
 def _distances(lat: np.ndarray, lon: np.ndarray, ends: dict[str, np.ndarray]) -> np.ndarray:
     """The distance expressions of ``functions.geo`` on a slab of a block pair."""
     a_lat, a_lon = ends["a_lat"], ends["a_lon"]
-    half_dlat = np.sin(np.radians(a_lat - lat) / 2)
-    half_dlon = np.sin(np.radians(a_lon - lon) / 2)
-    h = half_dlat**2 + np.cos(np.radians(lat)) * np.cos(np.radians(a_lat)) * half_dlon**2
-    dist = np.arcsin(np.sqrt(np.minimum(h, 1.0))) * (2 * EARTH_RADIUS_M)
     if "b_lat" not in ends:
-        return dist
+        h = (
+            np.sin(np.radians(a_lat - lat) / 2) ** 2
+            + np.cos(np.radians(lat)) * np.cos(np.radians(a_lat)) * np.sin(np.radians(a_lon - lon) / 2) ** 2
+        )
+        return np.arcsin(np.sqrt(np.minimum(h, 1.0))) * (2 * EARTH_RADIUS_M)
     per_lon = np.cos(np.radians(lat)) * METRES_PER_DEGREE
     ax, ay = (a_lon - lon) * per_lon, (a_lat - lat) * METRES_PER_DEGREE
     dx, dy = (ends["b_lon"] - a_lon) * per_lon, (ends["b_lat"] - a_lat) * METRES_PER_DEGREE
@@ -234,8 +234,7 @@ def _distances(lat: np.ndarray, lon: np.ndarray, ends: dict[str, np.ndarray]) ->
     with np.errstate(divide="ignore", invalid="ignore"):
         along = np.where(length2 == 0, 0.0, -(ax * dx + ay * dy) / length2)
     along = np.clip(along, 0.0, 1.0)
-    planar = np.sqrt((ax + along * dx) ** 2 + (ay + along * dy) ** 2)
-    return np.where(np.isnan(ends["b_lat"]), dist, planar)
+    return np.sqrt((ax + along * dx) ** 2 + (ay + along * dy) ** 2)
 
 
 def snap(

@@ -29,18 +29,22 @@ def near_flag(
     """
     extent = Extent.measure(targets)
     grid = Grid.for_radius(radius_m, extent.max_abs_lat)
-    cells = to_cells(targets, grid, extent, pad=1).withColumnsRenamed(
-        {CELL_Y: "_target_y", CELL_X: "_target_x"}
+    # Names of their own: an outer reference must not be found in the layer.
+    outer = {"_at_lat": F.col(lat), "_at_lon": F.col(lon)}
+    placed = grid.locate(points.withColumns(outer), "_at_lat", "_at_lon").withColumnsRenamed(
+        {CELL_Y: "_at_y", CELL_X: "_at_x"}
     )
-    near = distance_to(targets, F.col(lat).outer(), F.col(lon).outer()) < F.lit(float(radius_m))
-    exists = cells.where(
-        (F.col("_target_y") == F.col(CELL_Y).outer())
-        & (F.col("_target_x") == F.col(CELL_X).outer())
-        & near
-    ).exists()
-    return (
-        grid.locate(points, lat, lon).withColumn(flag, exists.cast("int")).drop(CELL_Y, CELL_X)
+    near = distance_to(targets, F.col("_at_lat").outer(), F.col("_at_lon").outer())
+    exists = (
+        to_cells(targets, grid, extent, pad=1)
+        .where(
+            (F.col(CELL_Y) == F.col("_at_y").outer())
+            & (F.col(CELL_X) == F.col("_at_x").outer())
+            & (near < F.lit(float(radius_m)))
+        )
+        .exists()
     )
+    return placed.withColumn(flag, exists.cast("int")).drop("_at_lat", "_at_lon", "_at_y", "_at_x")
 
 
 def near_flags(
@@ -58,6 +62,7 @@ def near_flags(
     the points fit a broadcast. Matches shrink to distinct (key, layer) on the
     map side. ``key`` must be unique.
     """
+    # Point rows of the stack have no second end.
     stacked: DataFrame | None = None
     for i, targets in enumerate(layers.values()):
         ends = [
@@ -78,7 +83,7 @@ def near_flags(
     )
     hits = (
         pieces.join(around, [CELL_Y, CELL_X])
-        .where(distance_to(stacked, F.col(lat), F.col(lon)) < F.lit(float(radius_m)))
+        .where(distance_to(stacked, F.col(lat), F.col(lon), mixed=True) < F.lit(float(radius_m)))
         .groupBy(key)
         .agg(
             *[

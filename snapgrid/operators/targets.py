@@ -1,7 +1,6 @@
 """One shape for everything a point can be near to.
 
-A target row has ``a_lat, a_lon`` and, for a line segment, ``b_lat, b_lon``. A
-layer that mixes both leaves the second pair null on its point rows.
+A target row has ``a_lat, a_lon`` and, for a line segment, ``b_lat, b_lon``.
 """
 
 from __future__ import annotations
@@ -72,15 +71,15 @@ def has_segments(targets: DataFrame) -> bool:
     return "b_lat" in targets.columns
 
 
-def distance_to(targets: DataFrame, lat: Column, lon: Column) -> Column:
-    """Metres from a point to a target row."""
+def distance_to(targets: DataFrame, lat: Column, lon: Column, mixed: bool = False) -> Column:
+    """Metres from a point to a target row; ``mixed`` layers also hold points."""
     to_point = haversine_m(lat, lon, F.col("a_lat"), F.col("a_lon"))
     if not has_segments(targets):
         return to_point
     to_segment = segment_distance_m(
         lat, lon, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")
     )
-    return F.when(F.col("b_lat").isNull(), to_point).otherwise(to_segment)
+    return F.when(F.col("b_lat").isNull(), to_point).otherwise(to_segment) if mixed else to_segment
 
 
 @dataclass(frozen=True)
@@ -95,7 +94,7 @@ class Extent:
     def measure(targets: DataFrame) -> Extent:
         """One aggregate row over the targets."""
         if has_segments(targets):
-            outer = F.greatest(F.abs("a_lat"), F.abs(F.coalesce("b_lat", "a_lat")))
+            outer = F.greatest(F.abs("a_lat"), F.abs("b_lat"))
             length = F.greatest(
                 F.abs(F.col("b_lat") - F.col("a_lat")), F.abs(F.col("b_lon") - F.col("a_lon"))
             )
@@ -105,8 +104,8 @@ class Extent:
         return Extent(row[0] or 0.0, row[1], row[2] or 0.0)
 
     def cell_bound(self, grid: Grid) -> float:
-        """Upper bound on the rows of ``to_cells``: 4x4 cells per piece of a segment."""
-        return 16 * (self.rows + self.degrees / min(grid.height, grid.width))
+        """Upper bound on the rows of ``to_cells``: a strip of cells along a segment."""
+        return 20 * (self.rows + self.degrees / min(grid.height, grid.width))
 
 
 def to_cells(targets: DataFrame, grid: Grid, extent: Extent, pad: int) -> DataFrame:
@@ -116,15 +115,7 @@ def to_cells(targets: DataFrame, grid: Grid, extent: Extent, pad: int) -> DataFr
     ``BROADCAST_CELLS`` rows the join is therefore told to shuffle.
     """
     if has_segments(targets):
-        whole = targets.withColumns(
-            {
-                "_end_lat": F.coalesce("b_lat", "a_lat"),
-                "_end_lon": F.coalesce("b_lon", "a_lon"),
-            }
-        )
-        cells = grid.cover(whole, "a_lat", "a_lon", "_end_lat", "_end_lon", pad).drop(
-            "_end_lat", "_end_lon"
-        )
+        cells = grid.cover(targets, "a_lat", "a_lon", "b_lat", "b_lon", pad)
     elif pad:
         cells = grid.locate_around(targets, "a_lat", "a_lon")
     else:
