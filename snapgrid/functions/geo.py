@@ -34,7 +34,7 @@ def segment_distance_m(
     per_lon = F.cos(F.radians(lat)) * METRES_PER_DEGREE
     ax, ay = (a_lon - lon) * per_lon, (a_lat - lat) * METRES_PER_DEGREE
     dx, dy = (b_lon - a_lon) * per_lon, (b_lat - a_lat) * METRES_PER_DEGREE
-    length2 = F.nullif(F.pow(dx, 2) + F.pow(dy, 2), F.lit(0.0))
-    along = F.coalesce(-(ax * dx + ay * dy) / length2, F.lit(0.0))
+    along = F.try_divide(-(ax * dx + ay * dy), F.pow(dx, 2) + F.pow(dy, 2))
+    along = F.coalesce(along, F.lit(0.0))
     along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
     return F.sqrt(F.pow(ax + along * dx, 2) + F.pow(ay + along * dy, 2))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SMALL_BLOCK = 64
+MAX_TASKS = 20_000
 _LEFT, _RIGHT = "_left_block", "_right_block"
 
 
@@ -31,9 +33,12 @@ def reduce_blocks(
     """Run ``reduce`` on every pair of blocks; keys must be unique on their side.
 
     Each left row is sent to all right blocks and the other way round, so both
-    sides should be stage tables: they are counted first to size the blocks.
+    sides should be stage tables: they are counted first to size the blocks. A
+    small left side is still cut finely enough to use all cores.
     """
-    left_blocks = max(1, ceil(left.count() / left_rows))
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    left_count = left.count()
+    left_blocks = max(1, ceil(left_count / left_rows), min(cores, ceil(left_count / SMALL_BLOCK)))
     right_blocks = max(1, ceil(right.count() / right_rows))
     left_side = left.withColumn(
         _LEFT, F.pmod(F.xxhash64(*left_key), F.lit(left_blocks)).cast("int")
@@ -41,8 +46,12 @@ def reduce_blocks(
     right_side = right.withColumn(
         _RIGHT, F.pmod(F.xxhash64(*right_key), F.lit(right_blocks)).cast("int")
     ).withColumn(_LEFT, F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1))))
+    # A pair of blocks is small in bytes and large in work: a fixed number of
+    # partitions keeps adaptive execution from merging them by size.
+    tasks = min(left_blocks * right_blocks, MAX_TASKS)
     return (
-        left_side.groupBy(_LEFT, _RIGHT)
-        .cogroup(right_side.groupBy(_LEFT, _RIGHT))
+        left_side.repartition(tasks, _LEFT, _RIGHT)
+        .groupBy(_LEFT, _RIGHT)
+        .cogroup(right_side.repartition(tasks, _LEFT, _RIGHT).groupBy(_LEFT, _RIGHT))
         .applyInPandas(reduce, schema)
     )

@@ -46,7 +46,8 @@ def ensure_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 def to_number(column: Column) -> Column:
     """Number or null; text that is no number and NaN both become null."""
-    return F.nullif(column.try_cast("double"), F.lit(float("nan")))
+    number = column.try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def coerce_numbers(df: DataFrame, columns: Iterable[str] = (), containing: str | None = None) -> DataFrame:

@@ -84,7 +84,7 @@ class Grid:
 
         def x_at(y: Column) -> Column:
             """Where the segment crosses a row edge; its ends beyond them."""
-            share = F.coalesce((y - a_y) / F.nullif(b_y - a_y, F.lit(0.0)), F.lit(0.0))
+            share = F.coalesce(F.try_divide(y - a_y, b_y - a_y), F.lit(0.0))
             return a_x + (b_x - a_x) * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
 
         row = F.col(CELL_Y)

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from snapgrid.functions.geo import DISTANCE_DIGITS, METRES_PER_DEGREE, EARTH_RADIUS_M
 from snapgrid.operators.blocks import reduce_blocks
 from snapgrid.operators.grid import CELL_X, CELL_Y, Grid
-from snapgrid.operators.targets import Extent, distance_to, to_cells
+from snapgrid.operators.targets import Extent, distance_to, joinable_cells
 from snapgrid.session import stage_table
 
 CROWDED_CELL = 256
@@ -65,7 +65,7 @@ def _within(
     half_unit = 0.5 * 10.0**-DISTANCE_DIGITS
     candidates = (
         grid.locate(spots, "lat", "lon")
-        .join(to_cells(targets, grid, extent, pad=1), [CELL_Y, CELL_X])
+        .join(joinable_cells(targets, grid, extent), [CELL_Y, CELL_X])
         # Rounding is dear, so it comes after the cut, which allows for it.
         .where(dist <= F.lit(float(radius_m) + half_unit))
         .select(*_PLACE, target_id, F.round(dist, DISTANCE_DIGITS).alias("dist"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.operators.grid import CELL_X, CELL_Y, Grid
-from snapgrid.operators.targets import Extent, distance_to, to_cells
+from snapgrid.operators.nearest import places
+from snapgrid.operators.targets import Extent, distance_to, joinable_cells
 
 # Fixed value: the flags test for less than 50 metres.
 FLAG_RADIUS_M = 50.0
@@ -24,29 +25,50 @@ def near_flag(
 ) -> DataFrame:
     """Add a 0/1 column: some target lies less than ``radius_m`` away.
 
-    An EXISTS test: Spark stops at the first match of a row and never builds the
-    pairs, and the rows stay as they are whatever the layer holds.
+    Either way Spark stops at the first match of a row and never builds the pairs.
     """
     extent = Extent.measure(targets)
     grid = Grid.for_radius(radius_m, extent.max_abs_lat)
+    cells = joinable_cells(targets, grid, extent)
+    if extent.fits_broadcast(grid):
+        return _flag_in_place(points, cells, grid, flag, radius_m, lat, lon)
+    return _flag_by_place(points, cells, grid, flag, radius_m, lat, lon)
+
+
+def _flag_in_place(
+    points: DataFrame, cells: DataFrame, grid: Grid, flag: str, radius_m: float, lat: str, lon: str
+) -> DataFrame:
+    """EXISTS against broadcast cells: one pass over the points, no shuffle."""
     # Names of their own: an outer reference must not be found in the layer.
     outer = {"_at_lat": F.col(lat), "_at_lon": F.col(lon)}
     placed = grid.locate(points.withColumns(outer), "_at_lat", "_at_lon").withColumnsRenamed(
         {CELL_Y: "_at_y", CELL_X: "_at_x"}
     )
-    near = distance_to(targets, F.col("_at_lat").outer(), F.col("_at_lon").outer())
-    exists = (
-        to_cells(targets, grid, extent, pad=1)
-        .where(
-            (F.col(CELL_Y) == F.col("_at_y").outer())
-            & (F.col(CELL_X) == F.col("_at_x").outer())
-            & (near < F.lit(float(radius_m)))
-        )
-        .exists()
-    )
+    near = distance_to(cells, F.col("_at_lat").outer(), F.col("_at_lon").outer())
+    exists = cells.where(
+        (F.col(CELL_Y) == F.col("_at_y").outer())
+        & (F.col(CELL_X) == F.col("_at_x").outer())
+        & (near < F.lit(float(radius_m)))
+    ).exists()
     return placed.withColumn(flag, exists.cast("int")).drop("_at_lat", "_at_lon", "_at_y", "_at_x")
 
 
+def _flag_by_place(
+    points: DataFrame, cells: DataFrame, grid: Grid, flag: str, radius_m: float, lat: str, lon: str
+) -> DataFrame:
+    """Semi-join of the distinct coordinates, brought back to the points.
+
+    Unlike an EXISTS column, both joins can be split where a key is hot.
+    """
+    spots = grid.locate(places(points, lat, lon), "lat", "lon").alias("spot")
+    near = distance_to(cells, F.col("spot.lat"), F.col("spot.lon")) < F.lit(float(radius_m))
+    same_cell = [F.col(f"spot.{c}") == F.col(f"cell.{c}") for c in (CELL_Y, CELL_X)]
+    hits = spots.join(cells.alias("cell"), [*same_cell, near], "left_semi").select(
+        F.col("lat").alias(lat), F.col("lon").alias(lon), F.lit(1).alias(flag)
+    )
+    return points.join(hits, [lat, lon], "left").na.fill(0, [flag])
+
+
 def near_flags(
     points: DataFrame,
     layers: Mapping[str, DataFrame],

@@ -107,17 +107,26 @@ class Extent:
         """Upper bound on the rows of ``to_cells``: a strip of cells along a segment."""
         return 20 * (self.rows + self.degrees / min(grid.height, grid.width))
 
+    def fits_broadcast(self, grid: Grid) -> bool:
+        return self.cell_bound(grid) <= BROADCAST_CELLS
 
-def to_cells(targets: DataFrame, grid: Grid, extent: Extent, pad: int) -> DataFrame:
-    """Targets exploded to the cells in which points may look for them.
 
-    The file size the optimizer goes by knows nothing of this explosion. Above
-    ``BROADCAST_CELLS`` rows the join is therefore told to shuffle.
-    """
+def to_cells(targets: DataFrame, grid: Grid, pad: int) -> DataFrame:
+    """Targets exploded to the cells in which points may look for them."""
     if has_segments(targets):
-        cells = grid.cover(targets, "a_lat", "a_lon", "b_lat", "b_lon", pad)
-    elif pad:
-        cells = grid.locate_around(targets, "a_lat", "a_lon")
-    else:
-        cells = grid.locate(targets, "a_lat", "a_lon")
-    return cells.hint("merge") if extent.cell_bound(grid) > BROADCAST_CELLS else cells
+        return grid.cover(targets, "a_lat", "a_lon", "b_lat", "b_lon", pad)
+    if pad:
+        return grid.locate_around(targets, "a_lat", "a_lon")
+    return grid.locate(targets, "a_lat", "a_lon")
+
+
+def joinable_cells(targets: DataFrame, grid: Grid, extent: Extent) -> DataFrame:
+    """Padded target cells, marked for the join that their number allows.
+
+    The file size the optimizer goes by knows nothing of the explosion, so the
+    measured bound decides. Up to ``BROADCAST_CELLS`` rows they are broadcast, and
+    the points neither move nor can pile up on a cell. Beyond that both sides are
+    sorted by cell, and adaptive execution splits the partition of a hot cell.
+    """
+    cells = to_cells(targets, grid, pad=1)
+    return F.broadcast(cells) if extent.fits_broadcast(grid) else cells.hint("merge")
