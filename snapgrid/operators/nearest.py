@@ -68,7 +68,7 @@ def _within(
         .join(joinable_cells(targets, grid, extent), [CELL_Y, CELL_X])
         # Rounding is dear, so it comes after the cut, which allows for it.
         .where(dist <= F.lit(float(radius_m) + half_unit))
-        .select(*_PLACE, target_id, F.round(dist, DISTANCE_DIGITS).alias("dist"))
+        .select(*spots.columns, target_id, F.round(dist, DISTANCE_DIGITS).alias("dist"))
     )
     return _closest(candidates, target_id, ties)
 
@@ -108,6 +108,7 @@ def nearest_within(
 ) -> DataFrame:
     """``lat, lon, <target_id>, dist`` for the places with a target in reach.
 
+    ``spots`` has one row per ``lat, lon``; further columns of it are kept.
     ``start_m`` below the radius searches close by first and widens only for the
     places still without a hit: a hit is final, since every target in the smaller
     radius was a candidate. When it is not given, dense targets choose it, so that
@@ -142,7 +143,8 @@ def nearest_any(
     found, rest = _widen(spots, targets, target_id, Extent.measure(targets), ties, radii)
     if rest.isEmpty():
         return found
-    return found.unionByName(_nearest_by_blocks(rest, targets, target_id, ties, block_rows))
+    far = _nearest_by_blocks(rest.select(*_PLACE), targets, target_id, ties, block_rows)
+    return found.unionByName(rest.join(far, _PLACE))
 
 
 def _growing(start_m: float, radius_m: float) -> list[float]:

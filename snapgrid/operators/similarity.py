@@ -50,7 +50,7 @@ def _dense_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[s
 
 
 def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
-    """Only words of the query slab matter, so documents are laid out over those."""
+    """Lays a slab of queries and of documents out over the words of the queries."""
 
     def flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = frame["terms"].map(len).to_numpy()
@@ -59,11 +59,7 @@ def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[
             return row, np.array([], dtype=object), np.array([])
         return row, np.concatenate(frame["terms"].to_numpy()), np.concatenate(frame["weights"].to_numpy())
 
-    def norms(row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        return np.sqrt(np.bincount(row, weight * weight, n))
-
     d_row, d_term, d_weight = flat(docs)
-    d_norm = norms(d_row, d_weight, len(docs))
     step = max(1, min(256, _SLAB // len(docs)))
     for at in range(0, len(queries), step):
         part = slice(at, min(at + step, len(queries)))
@@ -72,11 +68,10 @@ def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[
         vocabulary = pd.Index(q_term).unique()
         code = vocabulary.get_indexer(d_term)
         seen = code >= 0
-        scores = np.zeros((len(q), len(docs)))
+        row, code, weight = d_row[seen], code[seen], d_weight[seen]
         q_matrix = np.zeros((len(q), len(vocabulary)))
         q_matrix[q_row, vocabulary.get_indexer(q_term)] = q_weight
-        # One pass over the shared words, ordered by document.
-        row, code, weight = d_row[seen], code[seen], d_weight[seen]
+        scores = np.zeros((len(q), len(docs)))
         chunk = max(1, _SLAB // max(1, len(vocabulary)))
         for first in range(0, len(docs), chunk):
             last = min(first + chunk, len(docs))
@@ -84,7 +79,7 @@ def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[
             d_matrix = np.zeros((last - first, len(vocabulary)))
             d_matrix[row[inside] - first, code[inside]] = weight[inside]
             scores[:, first:last] = q_matrix @ d_matrix.T
-        scale = norms(q_row, q_weight, len(q))[:, None] * d_norm[None, :]
+        scale = q["norm"].to_numpy()[:, None] * docs["norm"].to_numpy()[None, :]
         yield part, np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
 
 
@@ -156,8 +151,8 @@ def top_k_dense(
 def top_k_sparse(
     queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """The same for word vectors with the columns ``terms`` and ``weights``."""
-    columns = ["terms", "weights"]
+    """The same for word vectors: ``terms`` with ``weights``, and the ``norm``."""
+    columns = ["terms", "weights", "norm"]
     return _top_k(
         queries.select(query_id, *columns), docs.select(doc_id, *columns),
         query_id, doc_id, k, _sparse_scores, block_rows,

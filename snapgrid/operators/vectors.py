@@ -24,28 +24,36 @@ def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def inverse_frequencies(corpus_counts: DataFrame) -> DataFrame:
-    """``term, in_docs`` over a corpus given by its term counts."""
+def term_frequencies(corpus_counts: DataFrame, query_counts: DataFrame) -> DataFrame:
+    """``term, in_docs, asked``: documents per word of the corpus, and is it in a query?"""
+    asked = query_counts.select("term").distinct().withColumn("_asked", F.lit(True))
     return (
         corpus_counts.where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count("*").alias("in_docs"))
+        .join(asked, "term", "left")
+        .select("term", "in_docs", F.coalesce("_asked", F.lit(False)).alias("asked"))
     )
 
 
 def tf_idf_vectors(counts: DataFrame, frequencies: DataFrame, corpus_size: int, key: str) -> DataFrame:
-    """``key, terms, weights`` with weight tf * ln((n + 1) / (in_docs + 1)).
+    """``key, terms, weights, norm`` with weight tf * ln((n + 1) / (in_docs + 1)).
 
-    Words of every text meet their frequency in an equi-join; a word that is in
-    most texts makes a skewed key, which adaptive execution splits.
+    The norm is over all words. Listed are only the words that both a query and
+    a document have, since no other can add to a product. Words meet their
+    frequency in an equi-join; a word that is in most texts makes a skewed key,
+    which adaptive execution splits.
     """
     idf = F.log((F.lit(corpus_size) + 1) / (F.coalesce("in_docs", F.lit(0)) + 1))
     weighted = counts.join(frequencies, "term", "left").withColumn("_w", F.col("tf") * idf)
-    pair = F.when(F.col("term").isNotNull(), F.struct("term", F.col("_w").alias("w")))
+    shared = F.when(F.col("asked"), F.struct("term", F.col("_w").alias("w")))
     return (
         weighted.groupBy(key)
-        .agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-        .select(key, F.col("_pairs.term").alias("terms"), F.col("_pairs.w").alias("weights"))
+        .agg(
+            F.collect_list(shared).alias("_shared"),
+            F.sqrt(F.coalesce(F.sum(F.col("_w") * F.col("_w")), F.lit(0.0))).alias("norm"),
+        )
+        .select(key, F.col("_shared.term").alias("terms"), F.col("_shared.w").alias("weights"), "norm")
     )
 
 

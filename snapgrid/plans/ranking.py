@@ -62,10 +62,8 @@ def node_summary(
     by_place = summarise(
         score_rows(crashes, as_of).dropna(subset=["latitude", "longitude"]), "latitude", "longitude"
     ).withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
-    by_place = stage_table(by_place, "crash_places")
     targets = point_targets(nodes, "latitude", "longitude", "NODEID")
-    near = nearest_within(by_place.select("lat", "lon"), targets, "NODEID", radius_m, **options)
-    return merge_summaries(by_place.join(near, ["lat", "lon"]), "NODEID")
+    return merge_summaries(nearest_within(by_place, targets, "NODEID", radius_m, **options), "NODEID")
 
 
 def rank_nodes(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from snapgrid.functions.text import FLAG_PHRASES, document_text, flag_text
 from snapgrid.operators.evaluation import KS, mark_hits, precision_at_k
 from snapgrid.operators.similarity import top_k_dense, top_k_sparse
-from snapgrid.operators.vectors import encode, inverse_frequencies, term_counts, tf_idf_vectors
+from snapgrid.operators.vectors import encode, term_counts, term_frequencies, tf_idf_vectors
 from snapgrid.session import stage_table
 
 Encoder = Callable[[], Callable[[Sequence[str]], Sequence]]
@@ -46,10 +46,10 @@ def rank_documents(
         d = stage_table(encode(corpus, doc_id, text, encoder), "corpus_vectors")
         return top_k_dense(q, d, query_id, doc_id, "vector", "vector", k)
     corpus_counts = stage_table(term_counts(corpus, doc_id, text), "corpus_terms")
-    frequencies = stage_table(inverse_frequencies(corpus_counts), "corpus_frequencies")
+    query_counts = stage_table(term_counts(queries, query_id, text), "query_terms")
+    frequencies = stage_table(term_frequencies(corpus_counts, query_counts), "frequencies")
     size = corpus.count()
     d = stage_table(tf_idf_vectors(corpus_counts, frequencies, size, doc_id), "corpus_vectors")
-    query_counts = term_counts(queries, query_id, text)
     q = stage_table(tf_idf_vectors(query_counts, frequencies, size, query_id), "query_vectors")
     return top_k_sparse(q, d, query_id, doc_id, k)
 
