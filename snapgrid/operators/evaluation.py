@@ -46,7 +46,8 @@ def confusion_matrix(
         .groupBy("actual")
         .agg(*[F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(c) for c, hit in cells.items()])
     )
-    return rows.join(counted, "actual", "left").na.fill(0, list(cells)).orderBy("actual")
+    filled = [F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("bigint")).alias(c) for c in cells]
+    return rows.join(counted, "actual", "left").select("actual", *filled).orderBy("actual")
 
 
 def weighted_f1_and_mae(
