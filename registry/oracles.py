@@ -300,6 +300,22 @@ ORACLES: dict[str, str] = {
       SELECT round(sum(coalesce(2 * hits / nullif(support + chosen, 0)::double, 0) * support) / sum(support), 4)
         AS weighted_f1, (SELECT round(avg(abs(quality - toxic)), 4) FROM labels) AS mae FROM cls""",
     "q_cosine_topk": f"WITH {NEIGHBOURS} SELECT vec_id, doc_id, rank, round(sim, 4) AS sim FROM near",
+    "q_cosine_to_mean": """WITH cells AS (SELECT label, unnest(embedding)::double AS x,
+        generate_subscripts(embedding, 1) AS i FROM embeddings),
+      means AS (SELECT label, list(x ORDER BY i) AS mean FROM
+        (SELECT label, i, avg(x) AS x FROM cells GROUP BY label, i) GROUP BY label)
+      SELECT vec_id, round(list_cosine_similarity(embedding::double[], mean), 4) AS sim
+      FROM embeddings JOIN means USING (label)""",
+    "q_evaluate_texts": f"""WITH asked AS (SELECT DISTINCT text, text AS query_text FROM benchmark),
+      {tf_idf('asked', 'query_text', 'documents', 'doc_id', 5)},
+      truth AS (SELECT DISTINCT b.text AS query_text, doc_id FROM documents d JOIN benchmark b ON item_id = doc_id % 30),
+      marked AS (SELECT query_text, rank, truth.doc_id IS NOT NULL AS hit FROM best
+        LEFT JOIN truth USING (query_text, doc_id) WHERE query_text IN (SELECT query_text FROM truth)),
+      per AS (SELECT query_text AS query, sum((rank <= 1 AND hit)::int) / 1.0::double AS p1,
+        sum((rank <= 3 AND hit)::int) / 3.0::double AS p3,
+        sum((rank <= 5 AND hit)::int) / 5.0::double AS p5 FROM marked GROUP BY query_text)
+      SELECT query, round(p1, 4) AS p_at_1, round(p3, 4) AS p_at_3, round(p5, 4) AS p_at_5 FROM
+      (SELECT * FROM per UNION ALL SELECT 'Macro-Average', avg(p1), avg(p3), avg(p5) FROM per)""",
     "q_best_doc": """WITH cells AS (SELECT label, unnest(embedding)::double AS x,
         generate_subscripts(embedding, 1) AS i FROM embeddings),
       means AS (SELECT label, list(x ORDER BY i) AS mean FROM

@@ -486,11 +486,8 @@ def cosine_topk(spark, sf_dir):
     )
 
 
-@query
-def best_doc(spark, sf_dir):
-    """Best document for the mean vector of each label, brought back to all rows."""
-    vectors = v.table(spark, sf_dir, "embeddings")
-    means = (
+def _label_means(vectors):
+    return (
         vectors.select("label", F.posexplode("embedding").alias("i", "x"))
         .groupBy("label", "i")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -498,6 +495,21 @@ def best_doc(spark, sf_dir):
         .agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("cells"))
         .select("label", F.col("cells.x").alias("mean"))
     )
+
+
+@query
+def cosine_to_mean(spark, sf_dir):
+    """Cosine of each vector and the mean vector of its label."""
+    vectors = v.table(spark, sf_dir, "embeddings")
+    paired = vectors.join(_label_means(vectors), "label")
+    return paired.select("vec_id", r4(similarity.cosine(F.col("embedding"), F.col("mean")), "sim"))
+
+
+@query
+def best_doc(spark, sf_dir):
+    """Best document for the mean vector of each label, brought back to all rows."""
+    vectors = v.table(spark, sf_dir, "embeddings")
+    means = _label_means(vectors)
     best = similarity.top_k_dense(
         stage_table(means, "label_means"), vectors.withColumnRenamed("vec_id", "doc_id"),
         "label", "doc_id", "mean", "embedding", 1,
@@ -530,6 +542,23 @@ def text_match(spark, sf_dir):
     )
 
 
+@query
+def evaluate_texts(spark, sf_dir):
+    """Precision at k of the documents for each benchmark text that has a truth row."""
+    items, documents = v.table(spark, sf_dir, "benchmark"), v.table(spark, sf_dir, "documents")
+    corpus = documents.select(
+        "doc_id", F.concat(F.lit("Document "), F.col("doc_id")).alias("title"), "text"
+    )
+    listed = corpus.select(
+        (F.col("doc_id") % 30).alias("item_id"), F.concat("title", F.lit(" ")).alias("title")
+    )
+    truth = listed.join(items, "item_id").select(F.col("text").alias("predicted_cause"), "title")
+    made = recommend.evaluate_causes(
+        items.select(F.col("text").alias("predicted_cause")), corpus, truth
+    )
+    return made.select("query", r4("p_at_1"), r4("p_at_3"), r4("p_at_5"))
+
+
 def _benchmark_corpus(spark, sf_dir):
     return v.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("doc_id"), F.concat(F.lit("Item "), F.col("item_id")).alias("title"), "text"

@@ -42,5 +42,6 @@ def flag_text(cause: Column | None = None, phrases: Mapping[str, str] = FLAG_PHR
 
 
 def words(text: Column) -> Column:
-    """Lower-case words of the whole text."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+    """Lower-case words of the whole text; blank entries stand where it starts or
+    ends with something else."""
+    return F.split(F.lower(text), WORD_BREAK)

@@ -33,13 +33,14 @@ def reduce_blocks(
     """Run ``reduce`` on every pair of blocks; keys must be unique on their side.
 
     Each left row is sent to all right blocks and the other way round, so both
-    sides should be stage tables: they are counted first to size the blocks. A
-    small left side is still cut finely enough to use all cores.
+    sides should be stage tables: they are counted first to size the blocks.
+    Where few pairs of blocks would leave cores idle, the left side is cut finer.
     """
     cores = left.sparkSession.sparkContext.defaultParallelism
     left_count = left.count()
-    left_blocks = max(1, ceil(left_count / left_rows), min(cores, ceil(left_count / SMALL_BLOCK)))
     right_blocks = max(1, ceil(right.count() / right_rows))
+    finer = min(ceil(cores / right_blocks), ceil(left_count / SMALL_BLOCK))
+    left_blocks = max(1, ceil(left_count / left_rows), finer)
     left_side = left.withColumn(
         _LEFT, F.pmod(F.xxhash64(*left_key), F.lit(left_blocks)).cast("int")
     ).withColumn(_RIGHT, F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))))

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from snapgrid.operators.blocks import reduce_blocks
 
 SCORE_DIGITS = 9
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
 _SLAB = 2_000_000
 
 

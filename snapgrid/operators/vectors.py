@@ -17,8 +17,9 @@ def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     A text's words are counted in the task that reads it before they are shuffled.
     """
+    found = texts.select(key, F.explode_outer(words(F.col(text))).alias("_word"))
     return (
-        texts.select(key, F.explode_outer(words(F.col(text))).alias("term"))
+        found.select(key, F.when(F.col("_word") != "", F.col("_word")).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
@@ -45,7 +46,8 @@ def tf_idf_vectors(counts: DataFrame, frequencies: DataFrame, corpus_size: int,
     which adaptive execution splits.
     """
     idf = F.log((F.lit(corpus_size) + 1) / (F.coalesce("in_docs", F.lit(0)) + 1))
-    weighted = counts.join(frequencies, "term", "left").withColumn("_w", F.col("tf") * idf)
+    weight = F.when(F.col("term").isNotNull(), F.col("tf") * idf)
+    weighted = counts.join(frequencies, "term", "left").withColumn("_w", weight)
     shared = F.when(F.col("asked"), F.struct("term", F.col("_w").alias("w")))
     return (
         weighted.groupBy(key)

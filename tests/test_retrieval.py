@@ -103,8 +103,13 @@ def test_word_vectors_equal_brute_force(spark, monkeypatch, block_rows):
 
 
 def test_whole_text_is_used(spark):
-    df = spark.createDataFrame([("a " * 50_000 + "last",)], "t string").select(words(F.col("t")).alias("w"))
+    text = "a " * 50_000 + "last"
+    df = spark.createDataFrame([(text,)], "t string").select(words(F.col("t")).alias("w"))
     assert df.select(F.size("w"), F.element_at("w", -1)).first()[:] == (50_001, "last")
+    both = spark.createDataFrame([(1, f" {text}!"), (2, "--"), (3, None)], "id bigint, t string")
+    counts = {(r.id, r.term): r.tf for r in vectors.term_counts(both, "id", "t").collect() if r.term}
+    assert counts == {(1, "a"): 50_000, (1, "last"): 1}
+    assert {r.id for r in vectors.term_counts(both, "id", "t").collect()} == {1, 2, 3}
 
 
 def test_encoder_runs_in_batches(spark):
