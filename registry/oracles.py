@@ -348,6 +348,8 @@ ORACLES: dict[str, str] = {
       FROM sentence LEFT JOIN best ON text = query_text""",
     "q_master": f"""WITH {MASTER} SELECT nodeid, crash_count, {SCORES}, intersection_name, predicted_cause,
       "Top_Intervention" FROM master""",
+    "q_ranked_predictions": f"""WITH {MASTER} SELECT nodeid, upper(predicted_cause) AS predicted_cause,
+      predicted_cause AS actual_cause, nodeid AS ranked_node, intersection_name FROM master""",
     "q_leaderboard": f"""WITH {MASTER} SELECT intersection_name, {SCORES}, crash_count, predicted_cause,
       "Top_Intervention" FROM master WHERE predicted_cause = 'click'""",
     "q_map_feed": f"""WITH {MASTER} SELECT latitude, longitude,

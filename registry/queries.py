@@ -628,6 +628,23 @@ def master(spark, sf_dir):
     )
 
 
+@query
+def ranked_predictions(spark, sf_dir):
+    """Every node's cause, kept for the ranked nodes and named."""
+    ranked = stage_table(
+        ranking.intersection_rankings(
+            v.crashes(spark, sf_dir), v.nodes(spark, sf_dir), v.street_edges(spark, sf_dir),
+            v.AS_OF, v.SNAP_M,
+        ),
+        "rankings",
+    )
+    at_nodes = causes.crashes_at_nodes(v.crashes(spark, sf_dir), _node_map(spark, sf_dir))
+    chosen = features.primary_label(at_nodes, "NODEID", CAUSE).withColumn(
+        "predicted_cause", F.upper("primary_cause")
+    )
+    return causes.ranked_predictions(chosen, ranked).withColumnRenamed("NODEID", "nodeid")
+
+
 @query
 def leaderboard(spark, sf_dir):
     return dashboards.leaderboard(_master(spark, sf_dir), "click").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snapgrid.operators.grid import CELL_X, CELL_Y, Grid
 from snapgrid.operators.nearest import places
-from snapgrid.operators.targets import Extent, distance_to, joinable_cells
+from snapgrid.operators.targets import BROADCAST_CELLS, Extent, distance_to, joinable_cells
 
 # Fixed value: the flags test for less than 50 metres.
 FLAG_RADIUS_M = 50.0
@@ -80,9 +80,9 @@ def near_flags(
     """Add one 0/1 column per layer to a point table that is small by construction.
 
     Made for a top-n ranking: the layers may be of any size and stream past the
-    points, whose 3x3 cells are the exploded side, so no layer is shuffled once
-    the points fit a broadcast. Matches shrink to distinct (key, layer) on the
-    map side. ``key`` must be unique.
+    points, whose 3x3 cells are the exploded side. The points are counted; while
+    they fit a broadcast no layer is shuffled. Matches shrink to one row per key
+    on the map side. ``key`` must be unique.
     """
     # Point rows of the stack have no second end.
     stacked: DataFrame | None = None
@@ -94,9 +94,11 @@ def near_flags(
         tagged = targets.select(F.lit(i).alias("_layer"), *ends)
         stacked = tagged if stacked is None else stacked.unionByName(tagged)
     # Here the points bound the search: nothing further out can match them.
-    outermost = points.agg(F.max(F.abs(lat))).first()[0] or 0.0
-    grid = Grid.for_radius(radius_m, outermost)
+    outermost, rows = points.agg(F.max(F.abs(lat)), F.count("*")).first()
+    grid = Grid.for_radius(radius_m, outermost or 0.0)
     around = grid.locate_around(points.select(key, lat, lon), lat, lon)
+    if 9 * rows <= BROADCAST_CELLS:
+        around = F.broadcast(around)
     pieces = grid.cover(
         stacked.withColumns(
             {"_end_lat": F.coalesce("b_lat", "a_lat"), "_end_lon": F.coalesce("b_lon", "a_lon")}
