@@ -160,15 +160,18 @@ def _widen(
 ) -> tuple[DataFrame, DataFrame]:
     """Search with growing radii; returns the hits and the places without one.
 
-    Every round is written down, so the next one neither repeats it nor depends
-    on its executors.
+    Every round is written down once, hits and misses together, so the next one
+    neither repeats it nor depends on its executors.
     """
     spots = stage_table(spots, "places")
+    columns = spots.columns
     found: DataFrame | None = None
     for radius in radii:
-        hits = stage_table(_within(spots, targets, target_id, radius, extent, ties), "nearest")
+        near = _within(spots.select(*_PLACE), targets, target_id, radius, extent, ties)
+        done = stage_table(spots.join(near, _PLACE, "left"), "nearest")
+        hits = done.where(F.col("dist").isNotNull())
         found = hits if found is None else found.unionByName(hits)
-        spots = stage_table(spots.join(hits.select(*_PLACE), _PLACE, "left_anti"), "places")
+        spots = done.where(F.col("dist").isNull()).select(*columns)
         if spots.isEmpty():
             break
     return found, spots
