@@ -4,7 +4,6 @@ from datetime import datetime
 from math import exp, sqrt
 
 import pytest
-from pyspark.sql import functions as F
 
 from snapgrid.operators import evaluation, features, names, severity, summary
 from snapgrid.plans import ranking
