@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgrid.llm import simhash
-from snapgrid.llm.common import read_table
+from snapgrid.llm import embeddings, fingerprints, mixing, secrets, sentencepiece, sharding, simhash, toxicity, urls
+from snapgrid.llm.common import read_table, remainder
+
+#: A public model file that every machine has; its path is a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+#: Verdict, host and path of each rule.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +31,80 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.KINDS[-1])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in secrets.KINDS[:-1]],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+        count(secrets.KINDS[-1]),
+    )
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return sentencepiece.encode(docs, sentencepiece.load_model(PIECES), check=True)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    scored = toxicity.with_scores(docs, model, "score", ["doc_id"])
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, pieces = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.taken_words(rows, pieces).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.digits("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.assign(read_table(spark, sf_dir, "documents"), shards=40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_next(read_table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", fingerprints.edited("text", "next_text"))
+    rows = rows.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.printed(F.col("sketch")).alias("fingerprint"),
+        fingerprints.printed(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_shingles(F.col("sketch")).alias("distinct_shingles"),
+        fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+    )
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
