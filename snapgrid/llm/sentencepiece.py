@@ -18,7 +18,7 @@ SPACE = "▁"
 #: Model files above this size are not shipped to the tasks.
 MAX_MODEL_BYTES = 64 << 20
 #: Chunks remembered by a task, and the longest chunk that is.
-CHUNKS, CHUNK_LENGTH = 200_000, 64
+CHUNKS, CHUNK_LENGTH = 600_000, 64
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
 
@@ -31,8 +31,8 @@ class Transducer:
     its piece. For a merge model the state also holds the last piece: the weight of two
     pieces in a row is 0 if merging their joined text gives these two back, else
     infinite, and what merging never makes has no arc. A sequence all of whose
-    neighbours stand up to that is what merging the whole text gives, so one path is
-    finite. ``encode`` takes the path of least weight.
+    neighbours stand up to that is what merging the whole text gives, so exactly one path
+    is finite. ``encode`` takes the path of least weight.
     """
 
     def __init__(self, model: bytes):
@@ -50,8 +50,6 @@ class Transducer:
         self.unknown = next((k for k, p in enumerate(spec.pieces) if p.type == _UNKNOWN), 0)
         bytes_at = {p.piece: k for k, p in enumerate(spec.pieces) if p.type == _BYTE}
         self.bytes = [bytes_at.get(f"<0x{b:02X}>") for b in range(256)] if bytes_at else None
-        self.longest = max(map(len, self.score), default=1)
-        self.starts = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
         self.worst = min((s for s in self.score.values() if s > -1e8), default=0.0) - 10.0
         # What the ids read as; control pieces read as nothing.
         self.reads = [
@@ -67,7 +65,17 @@ class Transducer:
         #: Stretches that no piece reaches across; the whole text where pieces may hold spaces.
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + ("|\\n" if alone else "") if apart else "(?s:.+)")
         self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pieces = [p.piece for p in spec.pieces]
+        #: The pieces letter by letter, each with its id; of a merge model those that merging makes.
+        self.trie: dict = {}
+        for piece, k in self.ids.items():
+            if self.kind == _UNIGRAM or self.merged(piece) == [piece]:
+                node = self.trie
+                for symbol in piece:
+                    node = node.setdefault(symbol, {})
+                node[""] = k
+        self.joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -88,62 +96,98 @@ class Transducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def stands(self, a: str, b: str) -> bool:
-        """Whether ``a`` followed by ``b`` has weight 0; with an empty ``a``, whether ``b`` has an arc."""
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            got = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+    def stands(self, a: int, b: int) -> bool:
+        """Whether the piece ``b`` after the piece ``a`` has weight 0."""
+        if len(self.pairs) > 4_000_000:
+            self.pairs.clear()
+        one, other = self.pieces[a], self.pieces[b]
+        got = self.pairs[a << 20 | b] = self.merged(one + other) == [one, other]
         return got
 
     def fallback(self, symbol: str) -> list[int]:
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.unknown]
 
-    def arcs(self, text: str, at: int) -> Iterator[str]:
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            if part not in self.starts:
-                return
-            if part in self.score:
-                yield part
+    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(end, id) of the pieces that can be read at a place, the longest last.
+
+        A symbol that is no piece has an arc of its own, with a negative id.
+        """
+        found, node, size, end = [], self.trie, len(text), at
+        while end < size:
+            node = node.get(text[end])
+            if node is None:
+                break
+            end += 1
+            if "" in node:
+                found.append((end, node[""]))
+        if not found or found[0][0] > at + 1:
+            found.insert(0, (at + 1, ~ord(text[at])))
+        return found
 
     def shortest(self, text: str) -> list[int]:
         """Ids on the path of least weight through a normalised text."""
-        # By position: last piece ("" after a fallback) -> weight, position and last piece before.
-        merge = self.kind == _BPE
-        best: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(len(text) + 1)]
-        best[0][""] = (0.0, -1, "")
+        path = self._finite_path(text) if self.kind == _BPE else self._best_path(text)
+        if min(path, default=0) >= 0:
+            return path
+        return list(chain.from_iterable([k] if k >= 0 else self.fallback(chr(~k)) for k in path))
+
+    def _finite_path(self, text: str) -> list[int]:
+        """The path without an infinite weight: all others weigh 0, so it is the shortest.
+
+        Goes ahead by the longest arc whose weight is 0, and back where none is left; a
+        state found to lead nowhere is not entered again.
+        """
+        path: list[int] = []
+        back: list[tuple[int, int, list[tuple[int, int]]]] = []
+        dead: set[tuple[int, int]] = set()
+        at, last, size, pairs = 0, -1, len(text), self.pairs
+        open_ = self.arcs(text, 0) if text else []
+        while at < size:
+            while open_:
+                end, piece = open_.pop()
+                if piece >= 0 and last >= 0:
+                    fits = pairs.get(last << 20 | piece)
+                    if not (self.stands(last, piece) if fits is None else fits):
+                        continue
+                if dead and (end, piece) in dead:
+                    continue
+                back.append((at, last, open_))
+                path.append(piece)
+                at, last = end, piece
+                open_ = self.arcs(text, at) if at < size else []
+                break
+            else:
+                dead.add((at, last))
+                at, last, open_ = back.pop()
+                path.pop()
+        return path
+
+    def _best_path(self, text: str) -> list[int]:
+        """The path of least summed weight, by position."""
+        best: list[tuple[float, int, int]] = [(0.0, -1, 0), *[(float("inf"), -1, 0)] * len(text)]
         for at in range(len(text)):
-            if not best[at]:
-                continue
-            arcs = list(self.arcs(text, at))
-            for last, (weight, _, _) in best[at].items():
-                for piece in arcs:
-                    if merge:
-                        if not self.stands("", piece) or last and not self.stands(last, piece):
-                            continue
-                        cost, state = weight, piece
-                    else:
-                        cost, state = weight - self.score[piece], ""
-                    there = best[at + len(piece)]
-                    if state not in there or cost < there[state][0]:
-                        there[state] = (cost, at, last)
-                if text[at] not in self.score:
-                    cost = weight - (0.0 if merge else self.worst)
-                    if "" not in best[at + 1] or cost < best[at + 1][""][0]:
-                        best[at + 1][""] = (cost, at, last)
-        out, at = [], len(text)
-        last = min(best[at], key=lambda s: best[at][s][0])
+            for end, piece in self.arcs(text, at):
+                cost = best[at][0] - (self.score[self.pieces[piece]] if piece >= 0 else self.worst)
+                if cost < best[end][0]:
+                    best[end] = (cost, at, piece)
+        path, at = [], len(text)
         while at:
-            _, before, previous = best[at][last]
-            piece = text[before:at]
-            out.append([self.ids[piece]] if piece in self.ids else self.fallback(piece))
-            at, last = before, previous
-        return list(chain.from_iterable(reversed(out)))
+            _, at, piece = best[at]
+            path.append(piece)
+        return path[::-1]
 
     def coded(self, chunk: str) -> bytes:
-        found = np.array(self.shortest(chunk), dtype="<i4").tobytes()
+        """Ids of a chunk. No piece reaches across two letters that stand together in none, so it is cut there."""
+        joins = self.joins
+        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in joins]
+        parts = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+        found = b"".join([self.known.get(p) or self.read(p) for p in parts]) if cuts else self.read(chunk)
+        return self.keep(chunk, found)
+
+    def read(self, chunk: str) -> bytes:
+        return self.keep(chunk, np.array(self.shortest(chunk), dtype="<i4").tobytes())
+
+    def keep(self, chunk: str, found: bytes) -> bytes:
         if len(chunk) <= CHUNK_LENGTH:
             if len(self.known) >= CHUNKS:
                 self.known.clear()
@@ -171,6 +215,13 @@ def load_model(path: str) -> bytes:
     return model
 
 
+def _machine(held: dict) -> Transducer:
+    """The transducer of a broadcast model; a worker process compiles it once and keeps what it has read."""
+    if "machine" not in held:
+        held["machine"] = Transducer(held["model"])
+    return held["machine"]
+
+
 def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), text: str = "text", check: bool = False) -> DataFrame:
     """``keep``, ids (array of int) and n_tokens of every row, read by the model's transducer.
 
@@ -179,7 +230,7 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), t
     ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 (of the text
     decoded from them, UTF-8) and round_trip (whether that is the text).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast({"model": model})
     slim = docs.select(F.col(text).alias("text"), *keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:]]
     fields += ["ids array<int>", "n_tokens long"]
@@ -189,7 +240,7 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), t
         names += ["ids_sha256", "decoded_sha256", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        machine = _machine(shared.value)
         for batch in slices(batches, "text", 4 << 20):
             texts = batch.column(0).to_pylist()
             found = [machine.encode(t) for t in texts]
@@ -213,12 +264,12 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), t
 
 def decode(coded: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """``keep`` and text of every row; null ids read as an empty text."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast({"model": model})
     slim = coded.select(F.col(ids).alias("ids"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(shared.value)
+        machine = _machine(shared.value)
         for batch in batches:
             texts = pa.array([machine.decode(x or []) for x in batch.column(0).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], [*keep, "text"])
