@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgrid.llm import embeddings, fingerprints, mixing, secrets, sentencepiece, sharding, simhash, toxicity, urls
+from snapgrid.llm import embeddings, fingerprints, mixing, quality, secrets, sentencepiece, sharding, simhash, toxicity, urls
 from snapgrid.llm.common import read_table, remainder
 
 #: A public model file that every machine has; its path is a parameter of the operator.
@@ -108,3 +108,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return quality.with_scores(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.GOOD).cast("int").alias("predicted"),
+    )

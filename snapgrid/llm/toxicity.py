@@ -18,6 +18,10 @@ from snapgrid.session import stage_table
 #: Documented bounds of the training sample; everything else covers all rows.
 POSITIVES, UNLABELLED, FEATURES = 4_000, 8_000, 1_024
 PREFIXES = (4, 5)
+#: Standard deviations by which a feature must be commoner among positives to be used.
+SURPRISE = 4.0
+#: The score that stands for the cut between the classes.
+TOXIC = 0.7
 _WORDS = re.compile(r"\w+")
 
 
@@ -43,10 +47,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(raw, -35, 35))))
 
 
+def _side(raw: np.ndarray, x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
+    """Mean sigmoid loss of rows taken as class ``sign``, and its gradient."""
+    wrong = 1 / (1 + np.exp(np.clip(sign * raw, -35, 35)))
+    pull = -sign * wrong * (1 - wrong) / len(raw)
+    return float(wrong.mean()), np.append(pull @ x, pull.sum())
+
+
 def fit_nnpu(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-3
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss.
+    """Weights and bias that minimise the non-negative risk with the sigmoid loss.
 
     The risk of negatives is that of unlabelled rows less ``prior`` times that of
     positives seen as negatives. It cannot be below zero in truth; where the estimate is,
@@ -54,17 +65,11 @@ def fit_nnpu(
     """
     w = np.zeros(positive.shape[1] + 1)
     mean, spread = np.zeros_like(w), np.zeros_like(w)
-
-    def side(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
-        """Mean logistic loss of rows taken as class ``sign``, and its gradient."""
-        margin = sign * (x @ w[:-1] + w[-1])
-        pull = -sign / (1 + np.exp(np.clip(margin, -35, 35))) / len(x)
-        return float(np.logaddexp(0, -margin).mean()), np.append(pull @ x, pull.sum())
-
     for step in range(1, steps + 1):
-        _, up = side(positive, 1)
-        seen_negative, up_negative = side(positive, -1)
-        loss_unlabelled, up_unlabelled = side(unlabelled, -1)
+        at_positive, at_unlabelled = (x @ w[:-1] + w[-1] for x in (positive, unlabelled))
+        _, up = _side(at_positive, positive, 1)
+        seen_negative, up_negative = _side(at_positive, positive, -1)
+        loss_unlabelled, up_unlabelled = _side(at_unlabelled, unlabelled, -1)
         rest, up_rest = loss_unlabelled - prior * seen_negative, up_unlabelled - prior * up_negative
         slope = prior * up + up_rest if rest >= 0 else -up_rest
         slope[:-1] += decay * w[:-1]
@@ -74,6 +79,17 @@ def fit_nnpu(
     return w[:-1], float(w[-1])
 
 
+def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut of raw scores with the least non-negative risk of wrong decisions; the highest of equals."""
+    seen = np.unique(np.concatenate([positive, unlabelled]))
+    cuts = (seen[1:] + seen[:-1]) / 2
+    if not len(cuts):
+        return float(seen[0]) + 1.0
+    above = [1 - np.searchsorted(np.sort(x), cuts) / len(x) for x in (positive, unlabelled)]
+    risk = prior * (1 - above[0]) + np.maximum(0, above[1] - prior * above[0])
+    return float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model:
     """Fit on confirmed positives and unlabelled text among the ``usable`` rows.
 
@@ -122,13 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     if not n_positive or not n_unlabelled:
         return Model(-35.0, {})
     # How many more positives have the feature than unlabelled rows would suggest.
-    excess = F.col("p") - n_positive * (F.col("u") + 0.5) / n_unlabelled
+    expected = n_positive * (F.col("u") + 0.5) / n_unlabelled
+    surprise = (F.col("p") - expected) / F.sqrt(expected + 1)
     chosen = (
         sample.mapInArrow(count, "feature string, p long, u long")
         .groupBy("feature")
         .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-        .where((F.col("p") >= 3) & (excess > 0))
-        .orderBy((excess / F.sqrt(F.col("p") + 5)).desc(), "feature")
+        .where((F.col("p") >= 3) & (surprise >= SURPRISE))
+        .orderBy(surprise.desc(), "feature")
         .limit(FEATURES)
     )
     names = [r.feature for r in chosen.collect()]
@@ -151,8 +168,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
             x[k, r] = 1
         return x
 
-    w, bias = fit_nnpu(matrix("positive"), matrix("unlabelled"), min(prior, 0.99))
-    return Model(bias, {n: round(float(v), 6) for n, v in zip(names, w, strict=True)})
+    x, u, prior = matrix("positive"), matrix("unlabelled"), min(prior, 0.99)
+    w, bias = fit_nnpu(x, u, prior)
+    bias += np.log(TOXIC / (1 - TOXIC)) - threshold(x @ w + bias, u @ w + bias, prior)
+    return Model(round(float(bias), 6), {n: round(float(v), 6) for n, v in zip(names, w, strict=True)})
 
 
 def with_scores(docs: DataFrame, model: Model, score: str, columns: Iterable[str]) -> DataFrame:
@@ -170,7 +189,7 @@ def with_scores(docs: DataFrame, model: Model, score: str, columns: Iterable[str
     return slim.mapInArrow(add, f"{kept}, `{score}` double")
 
 
-def drop_toxic(docs: DataFrame, model: Model, at_least: float = 0.7) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, at_least: float = TOXIC) -> DataFrame:
     """``docs``, all columns, without the rows whose score is ``at_least`` or more."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
