@@ -81,8 +81,8 @@ feat AS (
 )"""
 
 
-def node_features(source: str, key: str) -> str:
-    names = ", ".join(f"round({c}::double, 4) AS {c}" for c in FEATURES)
+def node_features(source: str, key: str, digits: int = 4) -> str:
+    names = ", ".join(f"round({c}::double, {digits}) AS {c}" for c in FEATURES)
     return f"""SELECT {key}, {names} FROM (
       SELECT *, night_crash_count / (total_crashes + 1e-6::double) AS night_ratio,
         rush_crash_count / (total_crashes + 1e-6::double) AS rush_ratio,
@@ -118,10 +118,11 @@ labelled AS (SELECT *, CASE WHEN cause IN (SELECT cause FROM top) THEN cause ELS
 
 DIRTY = """
 dirty AS (
-  SELECT event_id AS collision_id,
-    CASE WHEN event_id % 19 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS crash_date,
+  SELECT CASE WHEN event_id % 37 <> 0 THEN event_id END AS collision_id,
+    CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 31 = 0 THEN strftime(ts, '%Y-%m-%d 00:00:00')
+      WHEN event_id % 17 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS crash_date,
     CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN 0
-      ELSE printf('%.5f', 40.3::double + (event_id * 104729 % 80000) / 100000.0::double)::double END AS latitude,
+      WHEN event_id % 23 = 0 OR event_id % 29 = 0 THEN NULL ELSE printf('%.5f', 40.3::double + (event_id * 104729 % 80000) / 100000.0::double)::double END AS latitude,
     CASE WHEN event_id % 17 = 0 THEN NULL
       ELSE printf('%.5f', -74.4::double + (event_id * 15485863 % 90000) / 100000.0::double)::double END AS longitude,
     CASE WHEN event_id % 7 = 0 THEN NULL ELSE json_extract_string(props, '$.k')::double END AS number_of_persons_injured,
@@ -191,14 +192,18 @@ def flag_sentence(cause: str) -> str:
     return f"concat_ws(', ', {parts}, '{CAUSE_PHRASE}' || {cause})"
 
 
+DOTS = f"SELECT lat, lon FROM ({v.POINT_LAYER_SQL})"
+MANY_DOTS = f"{DOTS} UNION ALL SELECT lat, lon FROM ({v.MULTIPOINT_LAYER_SQL}) WHERE s_suppkey % 2 = 1"
 FLAG_LAYERS = {
-    "has_points": (v.POINT_LAYER_SQL, TO_POINT),
-    "has_geo_points": (v.POINT_LAYER_SQL, TO_POINT),
-    "has_multipoints": (v.MULTIPOINT_LAYER_SQL, TO_POINT),
-    "has_lines": (v.LINE_LAYER_SQL, TO_SEGMENT),
-    "has_segments": (v.SEGMENT_LAYER_SQL, TO_SEGMENT),
-    "has_rated": (f"SELECT * FROM ({v.SEGMENT_LAYER_SQL}) WHERE systemrating < 3.5", TO_SEGMENT),
-}
+    **{f: (DOTS, TO_POINT) for f in (
+        "Has_Enhanced_Crossing", "Has_Leading_Pedestrian_Signal", "Has_Turn_Traffic_Calming", "Has_SIP",
+        "Has_Exclusive_Pedestrian_Signal", "Has_Accessible_Pedestrian_Signal", "Has_Pedestrian_Ramp",
+    )},
+    "Is_Protected_Intersection": (MANY_DOTS, TO_POINT),
+    **{f: (v.LINE_LAYER_SQL, TO_SEGMENT) for f in ("Has_Bus_Lane", "Has_Speed_Hump", "Is_Bike_Route")},
+    "Is_Speed_Reduced": (v.SEGMENT_LAYER_SQL, TO_SEGMENT),
+    "Has_Bad_Pavement": (f"SELECT * FROM ({v.SEGMENT_LAYER_SQL}) WHERE systemrating < 3.5", TO_SEGMENT),
+}
 
 
 def flag_query() -> str:
@@ -219,6 +224,15 @@ pair AS (SELECT n.collision_id, s.stname_lab,
   round(min({TO_SEGMENT}), 6) AS dist FROM crash n CROSS JOIN layer s GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY collision_id ORDER BY dist) AS rk FROM pair) WHERE rk = 1)"""
 
+TRAINED = f"""WITH {BASE}, {SNAP}, {ROW_FLAGS.format(source='snapped')}, {LABELLED.format(source='feat')},
+made AS ({node_features('labelled', 'nodeid', 12)}),
+chosen AS ({primary('labelled', 'nodeid', 'cause_label', 'primary_cause')}),
+trained AS (SELECT * FROM made JOIN chosen USING (nodeid))"""
+SCALED = ", ".join(
+    f"round(coalesce((coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / nullif(stddev_pop(coalesce({c}, 0)) OVER (), 0), 0), 3) AS {c}"
+    for c in FEATURES
+)
+
 ORACLES: dict[str, str] = {
     "q_hotspot_rank": f"""WITH {BASE}, {RANKED} SELECT nodeid, crash_count, total_killed, total_injured,
       {SCORES}, round(severity_score_norm, 4) AS severity_score_norm FROM ranked""",
@@ -232,7 +246,7 @@ ORACLES: dict[str, str] = {
     "q_node_count_summary": f"""WITH {BASE}, {SNAP},
       counted AS (SELECT nodeid, count(*) AS c FROM snapped GROUP BY nodeid) {describe('counted', 'c')}""",
     "q_year_counts": f"""WITH {BASE} SELECT extract(year FROM crash_date)::int AS year, count(*) AS n
-      FROM crash WHERE user_id = 8 GROUP BY 1""",
+      FROM crash WHERE user_id = 8 AND crash_date IS NOT NULL GROUP BY 1""",
     "q_severity_rows": f"""WITH {BASE} SELECT collision_id, round({AGE}, 4) AS age_years,
       round(exp(-0.3 * ({AGE})), 4) AS recency_weight, round({BASE_SEVERITY}, 4) AS base_severity,
       round(({BASE_SEVERITY}) * exp(-0.3 * ({AGE})), 4) AS weighted_score FROM crash""",
@@ -260,6 +274,12 @@ ORACLES: dict[str, str] = {
     "q_clean_rows": CLEAN,
     "q_csv_round_trip": CLEAN,
     "q_stream_ingest": CLEAN,
+    "q_csv_typed": """SELECT o_orderkey, o_custkey, o_orderpriority, round(o_totalprice, 4) AS o_totalprice FROM orders""",
+    "q_layer_read": f"""WITH {BASE} SELECT nodeid, latitude, longitude, node_to, street
+      FROM node JOIN edge ON node_from = nodeid""",
+    "q_corpus_text": """SELECT doc_id, trim(source) AS title,
+      CASE WHEN doc_id % 7 <> 0 THEN trim(source) || ': ' || trim(lang) END AS text FROM documents""",
+    "q_duplicate_headers": "SELECT event_id, round(value, 4) AS value FROM events",
     "q_cached_table": f"""WITH {BASE} SELECT collision_id, latitude, longitude FROM crash""",
     "q_union_pages": """SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN value END AS value
       FROM events""",
@@ -287,6 +307,21 @@ ORACLES: dict[str, str] = {
         ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey LIMIT 500)
       SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey
       WHERE o_custkey IN (SELECT o_custkey FROM leaders)""",
+    "q_cause_model": f"{TRAINED} SELECT count(*) AS n_nodes, true AS labels_known, true AS beats_commonest FROM trained",
+    "q_boosted_model": f"{TRAINED} SELECT count(*) AS n_nodes, true AS labels_known, true AS beats_commonest FROM trained",
+    "q_model_quality": f"""{TRAINED} SELECT sum(n)::bigint AS n_held_out, true AS f1_in_range, true AS mae_in_range
+      FROM (SELECT floor(0.2 * count(*) + 0.5) AS n FROM trained GROUP BY primary_cause)""",
+    "q_label_index": """SELECT event_id, event_type,
+      (dense_rank() OVER (ORDER BY event_type) - 1)::double AS label FROM events""",
+    "q_row_weights": """SELECT event_id, event_type, round(sqrt(count(*) OVER ()
+        / ((SELECT count(DISTINCT event_type) FROM events) * count(*) OVER (PARTITION BY event_type))::double), 4) AS weight
+      FROM events""",
+    "q_hold_out": """SELECT event_id, event_type FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS n,
+        row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id), event_id) AS rk FROM events)
+      WHERE rk <= floor(0.2 * n + 0.5)""",
+    "q_scaled_features": f"""{TRAINED} SELECT nodeid, {SCALED} FROM trained""",
+    "q_sample": """SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events
+      ORDER BY md5('42:' || event_id), event_id LIMIT 10""",
     "q_class_weights": """SELECT event_type, round(sqrt(sum(n) OVER () / (count(*) OVER () * n)::double), 4) AS weight
       FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)""",
     "q_confusion": """SELECT actual, coalesce(sum((toxic = 0)::int), 0)::bigint AS predicted_0,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registry import views as v
 from snapgrid.functions.text import FLAG_PHRASES, flag_text
 from snapgrid.operators import clean, evaluation, features, names, nearest, proximity, similarity, summary
-from snapgrid.operators.model import TreeSettings, standardise
+from snapgrid.operators.model import TreeSettings, index_labels, scaled, scaling, split, standardise
 from snapgrid.operators.targets import (
     multipoint_targets,
     point_targets,
@@ -179,9 +179,9 @@ def street_counts(spark, sf_dir):
 def dedup_join_back(spark, sf_dir):
     events = v.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     pairs = events.select("user_id", "event_type").dropDuplicates()
-    per_user = pairs.groupBy("user_id").agg(F.count_distinct("event_type").alias("n_types"))
-    unique = pairs.join(per_user, "user_id")
-    return events.join(unique, ["user_id", "event_type"], "left").select(
+    per_user = pairs.groupBy("user_id").agg(F.count_distinct("event_type").alias("dist"))
+    unique = pairs.join(per_user, "user_id").withColumnsRenamed({"user_id": "lat", "event_type": "lon"})
+    return nearest.join_back(events, unique, "user_id", "event_type", "n_types").select(
         "event_id", "user_id", "event_type", "n_types"
     )
 
@@ -223,45 +223,40 @@ def near_line_rated(spark, sf_dir):
 
 
 def _landed_layers(spark, sf_dir):
-    """The layers written as GeoJSON pages and read back through the layer readers."""
+    """All thirteen layers written as GeoJSON pages, geometries mixed, and read back by the layer readers."""
     point, lines = v.point_layer(spark, sf_dir), v.line_layer(spark, sf_dir)
     root = _scratch(spark, "layers")
 
     def geometry(kind: str, coordinates: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("the_geom")
-
+        text = F.to_json(coordinates)
+        return F.struct(F.lit(kind).alias("type"), text.alias("coordinates")).alias("the_geom")
+
+    odd = F.col("s_suppkey") % 2 == 1
+    segments = v.segment_layer(spark, sf_dir)
+    dots = point.select(geometry("Point", F.array("long", "lat")))
+    strings = lines.where(~odd).select(geometry("LineString", F.col("coordinates")))
+    streets = strings.union(lines.where(odd).select(geometry("MultiLineString", F.array("coordinates"))))
+    many = v.multipoint_layer(spark, sf_dir).where(odd)
+    leg = F.array(F.array("fromlongitude", "fromlatitude"), F.array("tolongitude", "tolatitude"))
+    rated = [
+        segments.where(F.col("segment_id") % 2 == k).select(geometry(kind, shape), F.col("systemrating").cast("string"))
+        for k, (kind, shape) in enumerate((("LineString", leg), ("MultiLineString", F.array(leg))))
+    ]
+    ends = ("fromlatitude", "fromlongitude", "tolatitude", "tolongitude")
     pages = {
-        "points": point.select(F.col("lat").cast("string"), F.col("long").cast("string")),
-        "geo_points": point.select(geometry("Point", F.array("long", "lat"))),
-        "multipoints": v.multipoint_layer(spark, sf_dir).select(
-            geometry("MultiPoint", F.col("coordinates"))
-        ),
-        "lines": lines.select(geometry("MultiLineString", F.array("coordinates"))),
-        "segments": v.segment_layer(spark, sf_dir).select(
-            *[F.col(c).cast("string") for c in ("fromlatitude", "fromlongitude", "tolatitude", "tolongitude")]
-        ),
-        "rated": v.segment_layer(spark, sf_dir).select(
-            geometry(
-                "MultiLineString",
-                F.array(F.array(F.array("fromlongitude", "fromlatitude"), F.array("tolongitude", "tolatitude"))),
-            ),
-            F.col("systemrating").cast("string"),
-        ),
+        schemas.LAT_LONG_PAGE: point.select(F.col("lat").cast("string"), F.col("long").cast("string")),
+        schemas.FROM_TO_PAGE: segments.select(*[F.col(c).cast("string") for c in ends]),
+        schemas.RATED_GEOMETRY_PAGE: rated[0].union(rated[1]),
     }
-    kinds = {
-        "points": (schemas.LAT_LONG_PAGE, layer_sources.lat_long_layer),
-        "geo_points": (schemas.GEOMETRY_PAGE, layer_sources.geo_point_layer),
-        "multipoints": (schemas.GEOMETRY_PAGE, layer_sources.geo_multipoint_layer),
-        "lines": (schemas.GEOMETRY_PAGE, layer_sources.geo_multiline_layer),
-        "segments": (schemas.FROM_TO_PAGE, layer_sources.from_to_layer),
-        "rated": (schemas.RATED_GEOMETRY_PAGE, layer_sources.bad_pavement_layer),
-    }
-    for name, page in pages.items():
-        page.write.json(f"{root}/{name}")
-    return {
-        f"has_{name}": make(readers.read_json_pages(spark, f"{root}/{name}", schema))
-        for name, (schema, make) in kinds.items()
+    by_reader = {
+        layer_sources.geo_point_layer: dots.union(strings),
+        layer_sources.geo_multipoint_layer: dots.union(many.select(geometry("MultiPoint", F.col("coordinates")))),
+        layer_sources.geo_multiline_layer: streets.union(dots),
     }
+    for layer in layer_sources.LAYERS.values():
+        page = pages[layer.schema] if layer.schema in pages else by_reader[layer.targets]
+        page.write.json(f"{root}/{layer.folder}")
+    return layer_sources.read_layers(spark, root)
 
 
 @query
@@ -271,9 +266,7 @@ def flags(spark, sf_dir):
         ranking.name_and_place(ranked, v.nodes(spark, sf_dir), v.street_edges(spark, sf_dir)), "ranked"
     )
     flagged = flag_table(placed, _landed_layers(spark, sf_dir), v.SNAP_M)
-    return flagged.select(
-        F.col("NODEID").alias("nodeid"), *[c for c in flagged.columns if c.startswith("has_")]
-    )
+    return flagged.select(F.col("NODEID").alias("nodeid"), *layer_sources.LAYERS)
 
 
 # Cleaning and sources
@@ -282,15 +275,20 @@ def flags(spark, sf_dir):
 def _dirty(spark, sf_dir):
     """``events`` as text columns with blanks, bad numbers and odd headers."""
     i, k = F.col("event_id"), F.get_json_object("props", "$.k")
-    lat = F.when(i % 11 == 0, "n/a").when(i % 13 == 0, "0").otherwise(
+    lat = F.when(i % 11 == 0, "n/a").when(i % 13 == 0, "0").when(i % 23 == 0, "40.5d").when(i % 29 == 0, "inf").otherwise(
         F.format_string("%.5f", F.lit(40.3) + (i * 104729 % 80000) / F.lit(100000.0))
     )
     lon = F.when(i % 17 == 0, F.lit(None)).otherwise(
         F.format_string("%.5f", F.lit(-74.4) + (i * 15485863 % 90000) / F.lit(100000.0))
     )
     return v.table(spark, sf_dir, "events").select(
-        F.when(i % 2 == 0, i.cast("string")).otherwise(F.concat(i.cast("string"), F.lit(".0"))).alias(" Collision ID"),
-        F.when(i % 19 == 0, "someday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("CRASH DATE"),
+        F.when(i % 37 == 0, F.concat(i.cast("string"), F.lit("d")))
+        .when(i % 2 == 0, i.cast("string"))
+        .otherwise(F.concat(i.cast("string"), F.lit(".0")))
+        .alias(" Collision ID"),
+        F.when(i % 19 == 0, "someday").when(i % 31 == 0, F.date_format("ts", "MM/dd/yyyy")).when(
+            i % 17 == 1, F.date_format("ts", "M/d/yyyy H:mm")
+        ).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("CRASH DATE"),
         lat.alias("Latitude"),
         lon.alias("LONGITUDE "),
         F.when(i % 7 == 0, "many").otherwise(k).alias("number of persons injured"),
@@ -318,11 +316,57 @@ def csv_round_trip(spark, sf_dir):
     return _tidy(readers.read_crash_csv(spark, path))
 
 
+@query
+def csv_typed(spark, sf_dir):
+    """Columns are found by name: the file has them in another order, and one more."""
+    path = _scratch(spark, "typed")
+    orders = v.table(spark, sf_dir, "orders")
+    readers.write_csv(orders.select("o_totalprice", "o_orderstatus", "o_custkey", "o_orderkey", "o_orderpriority"), path)
+    typed = readers.read_csv(
+        spark, path, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double"
+    )
+    return typed.select("o_orderkey", "o_custkey", "o_orderpriority", r4("o_totalprice"))
+
+
+@query
+def layer_read(spark, sf_dir):
+    """Nodes landed as Parquet, street edges as JSON lines."""
+    path = _scratch(spark, "landed")
+    readers.write_parquet(v.nodes(spark, sf_dir), f"{path}/nodes")
+    v.street_edges(spark, sf_dir).write.json(f"{path}/edges.jsonl")
+    nodes = readers.read_layer(spark, f"{path}/nodes", schemas.NODES)
+    edges = readers.read_layer(spark, f"{path}/edges.jsonl", schemas.STREET_EDGES)
+    return nodes.join(edges, nodes.NODEID == edges.NodeIDFrom).select(
+        F.col("NODEID").alias("nodeid"), "latitude", "longitude", F.col("NodeIDTo").alias("node_to"), F.col("Street").alias("street")
+    )
+
+
+@query
+def corpus_text(spark, sf_dir):
+    corpus = v.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("Doc ID"),
+        F.concat(F.lit(" "), F.col("source"), F.lit("  ")).alias("Title"),
+        F.when(F.col("doc_id") % 7 != 0, F.concat("lang", F.lit(" "))).alias("Keywords"),
+    )
+    return recommend.corpus_texts(corpus)
+
+
+@query
+def duplicate_headers(spark, sf_dir):
+    """Of headers that end up the same the first one stays."""
+    events = v.table(spark, sf_dir, "events")
+    doubled = events.select(
+        F.col("event_id").alias(" Event ID"), F.col("user_id").alias("event id "), F.col("value").alias("VALUE"),
+        F.col("event_type").alias("Value "),
+    )
+    return clean.normalise_headers(doubled).select("event_id", r4("value"))
+
+
 @query
 def stream_ingest(spark, sf_dir):
     pages, sink, state = (_scratch(spark, f"stream_{part}") for part in ("pages", "sink", "state"))
     landed = clean.normalise_headers(_dirty(spark, sf_dir))
-    landed.repartition(4).write.json(pages)
+    landed.write.json(pages)
     ingest_pages(spark, pages, sink, state, pages_per_batch=2).awaitTermination()
     return _tidy(spark.read.parquet(sink))
 
@@ -419,12 +463,20 @@ def standardised(spark, sf_dir):
 
 @query
 def top_filter(spark, sf_dir):
+    """Orders as predictions, the customers who spent most as the ranking."""
     orders, customers = v.table(spark, sf_dir, "orders"), v.table(spark, sf_dir, "customer")
     spent = orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("spent"))
     leaders = spent.orderBy(F.col("spent").desc(), "o_custkey").limit(500)
-    kept = orders.join(leaders, "o_custkey", "left_semi")
-    return kept.join(customers, kept.o_custkey == customers.c_custkey, "left").select(
-        "o_orderkey", "o_custkey", "c_custkey", "c_name"
+    ranked = leaders.join(customers, leaders.o_custkey == customers.c_custkey).select(
+        F.col("c_custkey").alias("NODEID"), F.col("c_name").alias("intersection_name")
+    )
+    predicted = orders.select(
+        F.col("o_custkey").alias("NODEID"), F.col("o_orderkey").alias("predicted_cause"),
+        F.col("o_orderpriority").alias("primary_cause"),
+    )
+    return causes.ranked_predictions(predicted, ranked).select(
+        F.col("predicted_cause").alias("o_orderkey"), F.col("NODEID").alias("o_custkey"),
+        F.col("ranked_node").alias("c_custkey"), F.col("intersection_name").alias("c_name"),
     )
 
 
@@ -447,27 +499,71 @@ def f1_mae(spark, sf_dir):
     return made.select(r4("weighted_f1"), r4("mae"))
 
 
+def _checks(run: causes.CauseRun) -> DataFrame:
+    """One row: scored nodes, are all predictions known causes, is the F1 above that of the commonest cause?"""
+    scored = run.predictions
+    known = F.coalesce(F.col("predicted_cause").isin(run.labels), F.lit(False))
+    commonest = features.top_labels(scored, "primary_cause", 1).first()[0]
+    guessed = scored.withColumn("commonest", F.lit(commonest))
+    ours = evaluation.weighted_f1_and_mae(_indexed(scored, run.labels, "predicted_cause"), "a", "p").first()
+    theirs = evaluation.weighted_f1_and_mae(_indexed(guessed, run.labels, "commonest"), "a", "p").first()
+    return scored.agg(F.count("*").alias("n_nodes"), F.min(known).alias("labels_known")).withColumn(
+        "beats_commonest", F.lit(ours.weighted_f1 > theirs.weighted_f1)
+    )
+
+
+def _indexed(rows: DataFrame, labels: list[str], predicted: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in labels])
+    return rows.select(*[F.array_position(names, F.col(c)).alias(n) for c, n in (("primary_cause", "a"), (predicted, "p"))])
+
+
 @query
 def cause_model(spark, sf_dir):
-    settings = TreeSettings(trees=40, kind="forest")
-    run = causes.run_model(_training_table(spark, sf_dir), settings)
-    return run.predictions.select(
-        F.col("NODEID").alias("nodeid"), "primary_cause", "predicted_cause"
-    )
+    """The forest with its full number of trees."""
+    return _checks(causes.run_model(_training_table(spark, sf_dir), TreeSettings(kind="forest")))
 
 
 @query
 def boosted_model(spark, sf_dir):
-    run = causes.run_model(_training_table(spark, sf_dir), TreeSettings(trees=3), held_out=True)
-    return run.predictions.select(
-        F.col("NODEID").alias("nodeid"), "primary_cause", "predicted_cause"
-    )
+    """The model as set: 300 boosted trees for each cause, scored in-sample."""
+    return _checks(causes.run_model(_training_table(spark, sf_dir), TreeSettings()))
 
 
 @query
 def model_quality(spark, sf_dir):
-    run = causes.run_model(_training_table(spark, sf_dir), TreeSettings(trees=40, kind="forest"))
-    return run.quality().select(r4("weighted_f1"), r4("mae"))
+    """Quality on held-out nodes; the values depend on the fit, their range and the rows do not."""
+    run = causes.run_model(_training_table(spark, sf_dir), TreeSettings(kind="forest"), held_out=True)
+    quality = run.quality().first()
+    return run.predictions.agg(F.count("*").alias("n_held_out")).select(
+        "n_held_out", F.lit(0 <= quality.weighted_f1 <= 1).alias("f1_in_range"),
+        F.lit(0 <= quality.mae <= len(run.labels) - 1).alias("mae_in_range"),
+    )
+
+
+@query
+def label_index(spark, sf_dir):
+    indexed, _ = index_labels(v.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type")
+    return indexed.select("event_id", "event_type", "label")
+
+
+@query
+def row_weights(spark, sf_dir):
+    events = v.table(spark, sf_dir, "events").select("event_id", "event_type")
+    return evaluation.with_class_weight(events, "event_type").select("event_id", "event_type", r4("weight"))
+
+
+@query
+def hold_out(spark, sf_dir):
+    events = v.table(spark, sf_dir, "events").select("event_id", "event_type")
+    return split(events, "event_id", "event_type")[1]
+
+
+@query
+def scaled_features(spark, sf_dir):
+    """What the model is fitted on."""
+    table = stage_table(_training_table(spark, sf_dir), "training_table")
+    made = scaled(table, scaling(table, features.FEATURES))
+    return made.select(F.col("NODEID").alias("nodeid"), *[F.round(F.col(c).cast("double"), 3).alias(c) for c in features.FEATURES])
 
 
 # Retrieval
@@ -608,12 +704,18 @@ def flag_fix(spark, sf_dir):
 # Result tables
 
 
-def _master(spark, sf_dir):
+def _ranked_and_at_nodes(spark, sf_dir):
+    """The ranking and the crashes at nodes, both from one search."""
+    crashes, nodes = v.crashes(spark, sf_dir), v.nodes(spark, sf_dir)
+    near = ranking.place_nodes(crashes, nodes, v.SNAP_M)
     ranked = ranking.intersection_rankings(
-        v.crashes(spark, sf_dir), v.nodes(spark, sf_dir), v.street_edges(spark, sf_dir),
-        v.AS_OF, v.SNAP_M,
+        crashes, nodes, v.street_edges(spark, sf_dir), v.AS_OF, v.SNAP_M, near=near
     )
-    at_nodes = causes.crashes_at_nodes(v.crashes(spark, sf_dir), _node_map(spark, sf_dir))
+    return ranked, causes.crashes_at_nodes(crashes, ranking.crash_to_node_map(crashes, nodes, near=near))
+
+
+def _master(spark, sf_dir):
+    ranked, at_nodes = _ranked_and_at_nodes(spark, sf_dir)
     chosen = features.primary_label(at_nodes, "NODEID", CAUSE, "predicted_cause").withColumn(
         "Top_Intervention", F.concat(F.lit("Treat "), F.col("predicted_cause"))
     )
@@ -631,14 +733,8 @@ def master(spark, sf_dir):
 @query
 def ranked_predictions(spark, sf_dir):
     """Every node's cause, kept for the ranked nodes and named."""
-    ranked = stage_table(
-        ranking.intersection_rankings(
-            v.crashes(spark, sf_dir), v.nodes(spark, sf_dir), v.street_edges(spark, sf_dir),
-            v.AS_OF, v.SNAP_M,
-        ),
-        "rankings",
-    )
-    at_nodes = causes.crashes_at_nodes(v.crashes(spark, sf_dir), _node_map(spark, sf_dir))
+    ranked, at_nodes = _ranked_and_at_nodes(spark, sf_dir)
+    ranked = stage_table(ranked, "rankings")
     chosen = features.primary_label(at_nodes, "NODEID", CAUSE).withColumn(
         "predicted_cause", F.upper("primary_cause")
     )
@@ -687,4 +783,5 @@ def first_row(spark, sf_dir):
 
 @query
 def sample(spark, sf_dir):
-    return dashboards.random_rows(v.table(spark, sf_dir, "events"), 10)
+    events = v.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", r4("value"))
+    return dashboards.random_rows(events, "event_id", 10)

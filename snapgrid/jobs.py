@@ -1,5 +1,6 @@
 """The steps of the chain as jobs; hand this file to spark-submit.
 
+    ingest     new crash pages              -> ingested, each page once
     rank       crash pages, nodes, edges    -> rankings, crash_to_node
     flags      rankings, layer pages        -> flags
     causes     crash pages, map, rankings   -> predictions, quality, confusion
@@ -21,8 +22,9 @@ from snapgrid.operators.nearest import join_back, nearest_any, places
 from snapgrid.operators.targets import polyline_targets
 from snapgrid.plans import causes, ranking, recommend
 from snapgrid.plans.flags import flag_table
-from snapgrid.session import get_spark, stage_table
+from snapgrid.session import drop_stage_tables, get_spark, stage_table
 from snapgrid.sources import layers, readers, schemas
+from snapgrid.streaming.ingest import ingest_pages
 
 
 def rank(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -31,9 +33,10 @@ def rank(spark: SparkSession, a: argparse.Namespace) -> None:
     )
     nodes = readers.read_layer(spark, a.nodes, schemas.NODES)
     edges = readers.read_layer(spark, a.edges, schemas.STREET_EDGES)
-    table = ranking.intersection_rankings(crashes, nodes, edges, a.as_of, n=a.top)
+    near = ranking.place_nodes(crashes, nodes)
+    table = ranking.intersection_rankings(crashes, nodes, edges, a.as_of, n=a.top, near=near)
     readers.write_csv(table, f"{a.out}/rankings")
-    readers.write_csv(ranking.crash_to_node_map(crashes, nodes), f"{a.out}/crash_to_node")
+    readers.write_csv(ranking.crash_to_node_map(crashes, nodes, near=near), f"{a.out}/crash_to_node")
 
 
 def flags(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -90,7 +93,14 @@ def streets(spark: SparkSession, a: argparse.Namespace) -> None:
     readers.write_parquet(join_back(crashes, near, "latitude", "longitude", "distance"), f"{a.out}/streets")
 
 
+def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
+    ingest_pages(
+        spark, a.crashes, f"{a.out}/ingested", f"{a.out}/ingested-state", multiline=a.multiline
+    ).awaitTermination()
+
+
 JOBS = {
+    "ingest": (ingest, ["crashes"]),
     "rank": (rank, ["crashes", "nodes", "edges"]),
     "flags": (flags, ["rankings", "layers"]),
     "causes": (causes_, ["crashes", "node_map", "rankings"]),
@@ -109,7 +119,7 @@ def parser() -> argparse.ArgumentParser:
         for path in inputs:
             job.add_argument("--" + path.replace("_", "-"), required=True)
         job.add_argument("--out", required=True)
-        if name in ("rank", "flags", "causes"):
+        if name in ("ingest", "rank", "flags", "causes"):
             job.add_argument("--multiline", action="store_true", help="each page is one JSON array")
         if name in ("rank", "causes"):
             job.add_argument("--refresh", action="store_true", help="do not use the cached crashes")
@@ -130,7 +140,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None) -> None:
     parsed = parser().parse_args(args)
-    JOBS[parsed.job][0](get_spark(f"snapgrid-{parsed.job}"), parsed)
+    spark = get_spark(f"snapgrid-{parsed.job}")
+    try:
+        JOBS[parsed.job][0](spark, parsed)
+    finally:
+        drop_stage_tables(spark)
 
 
 if __name__ == "__main__":

@@ -6,11 +6,15 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 # The box that crash coordinates must lie in, ends included.
 LAT_RANGE = (40.4, 41.0)
 LON_RANGE = (-74.3, -73.6)
 COUNT_PREFIX = "number_of"
+DATE_PATTERNS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a")
+# A decimal number: Spark's own cast also takes "12d" and "7f".
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 REQUIRED_COLUMNS = {
     "collision_id": "string",
     "crash_date": "string",
@@ -45,26 +49,40 @@ def ensure_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def to_number(column: Column) -> Column:
-    """Number or null; text that is no number and NaN both become null."""
-    number = column.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """Number or null. Text that is not a decimal number becomes null, and so do NaN,
+    infinities and what is too large for a double."""
+    number = F.when(column.cast("string").rlike(NUMBER), column.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
+
+
+def number_of(df: DataFrame, column: str) -> Column:
+    """``to_number`` of a column; one that holds numbers is not taken through text."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        number = F.col(column).cast("double")
+        return F.when(F.abs(number) < float("inf"), number)
+    return to_number(F.col(column))
 
 
 def coerce_numbers(df: DataFrame, columns: Iterable[str] = (), containing: str | None = None) -> DataFrame:
     """Make numbers of the named columns and of those whose name contains a text."""
     chosen = set(columns) | {c for c in df.columns if containing and containing in c}
-    return df.withColumns({c: to_number(F.col(c)) for c in df.columns if c in chosen})
+    return df.withColumns({c: number_of(df, c) for c in df.columns if c in chosen})
 
 
 def to_integer_key(column: Column) -> Column:
     """Whole-number key or null; accepts "12" as well as "12.0"."""
-    return F.coalesce(column.try_cast("bigint"), to_number(column).try_cast("bigint"))
+    whole = F.when(column.cast("string").rlike(NUMBER), column.try_cast("bigint"))
+    return F.coalesce(whole, to_number(column).try_cast("bigint"))
 
 
 def to_time(column: Column, pattern: str | None = None) -> Column:
-    """Timestamp or null."""
+    """Timestamp or null; month, day and year with slashes are read too."""
     text = column.cast("string")
-    return F.try_to_timestamp(text, F.lit(pattern)) if pattern else F.try_to_timestamp(text)
+    if pattern:
+        return F.try_to_timestamp(text, F.lit(pattern))
+    return F.coalesce(
+        F.try_to_timestamp(text), *[F.try_to_timestamp(F.trim(text), F.lit(p)) for p in DATE_PATTERNS]
+    )
 
 
 def drop_zero_coordinates(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapgrid.session import stage_table
+
 # Fixed values.
 KS = (1, 3, 5)
 MACRO_AVERAGE = "Macro-Average"
+BROADCAST_CLASSES = 10_000
 
 
 def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
@@ -21,8 +24,14 @@ def class_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFram
 
 
 def with_class_weight(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """Give each row the weight of its class."""
-    return df.join(class_weights(df, label, weight), label, "left")
+    """Give each row the weight of its class.
+
+    The classes are counted first; up to ``BROADCAST_CLASSES`` of them are broadcast, so
+    that rows of a common class need not meet in one task.
+    """
+    weights = stage_table(class_weights(df, label, weight), "class_weights")
+    few = weights.count() <= BROADCAST_CLASSES
+    return df.join(F.broadcast(weights) if few else weights, label, "left")
 
 
 def outcome_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgrid.operators.evaluation import with_class_weight
+from snapgrid.operators.evaluation import BROADCAST_CLASSES, with_class_weight
 from snapgrid.operators.features import FEATURES
+from snapgrid.session import stage_table
 
 # Fixed value: share of rows held out.
 HOLD_OUT = 0.2
@@ -27,6 +29,9 @@ class TreeSettings:
     row_share: float = 0.8
     column_share: float = 0.8
     min_rows: int = 3
+    # Least gain of a split. Its scale is that of Spark's impurity, so it stands for the
+    # split penalty of other libraries but does not equal it; 0 sets no limit.
+    min_gain: float = 0.0
     seed: int = 42
     # "boosted": one-versus-rest gradient boosting; "forest": one random forest,
     # whose trees grow together and which therefore needs far fewer passes.
@@ -34,32 +39,37 @@ class TreeSettings:
     features: tuple[str, ...] = field(default=tuple(FEATURES))
 
 
-def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns as deviations in population standard deviations, nulls as 0.
+def scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each column, nulls as 0: one aggregate row.
 
-    The statistics are one aggregate row. A constant column becomes 0.
+    Twelve digits are kept, so that the order in which sums were added changes no fit.
     """
-    filled = df.na.fill(0, columns)
-    stats = filled.agg(
+    stats = df.na.fill(0, list(columns)).agg(
         *[F.avg(c).alias(f"avg_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
     ).first()
-    scaled = {
-        c: (F.col(c) - F.lit(stats[f"avg_{c}"])) / F.lit(stats[f"std_{c}"] or 1.0) for c in columns
-    }
-    return filled.withColumns(scaled) if stats[0] is not None else filled
+    digits = lambda x: float(f"{x or 0.0:.12g}")
+    return {c: (digits(stats[f"avg_{c}"]), digits(stats[f"std_{c}"]) or 1.0) for c in columns}
+
+
+def scaled(df: DataFrame, stats: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Columns as deviations from the mean in population deviations; a constant one becomes 0."""
+    filled = df.na.fill(0, list(stats))
+    return filled.withColumns({c: (F.col(c) - F.lit(mean)) / F.lit(std) for c, (mean, std) in stats.items()})
+
+
+def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns scaled by their own statistics."""
+    return scaled(df, scaling(df, columns))
 
 
 def cause_pipeline(settings: TreeSettings, classes: int) -> Pipeline:
-    """Assemble, standardise, classify and name the prediction.
+    """Assemble and classify. Expects scaled features, the numeric ``label`` and the row weight.
 
-    Expects the numeric ``label`` and the row weight.
+    With one cause there is nothing to learn: a single tree predicts it, whatever the kind.
     """
     assembler = VectorAssembler(
-        inputCols=list(settings.features), outputCol="raw_features", handleInvalid="error"
-    )
-    scaler = StandardScaler(
-        inputCol="raw_features", outputCol="features", withMean=True, withStd=True
+        inputCols=list(settings.features), outputCol="features", handleInvalid="error"
     )
     shared = dict(
         featuresCol="features",
@@ -67,31 +77,35 @@ def cause_pipeline(settings: TreeSettings, classes: int) -> Pipeline:
         weightCol="weight",
         maxDepth=settings.depth,
         minInstancesPerNode=settings.min_rows,
+        minInfoGain=settings.min_gain,
         subsamplingRate=settings.row_share,
         featureSubsetStrategy=str(settings.column_share),
         seed=settings.seed,
     )
-    if settings.kind == "forest" or classes < 2:
+    if settings.kind not in ("boosted", "forest"):
+        raise ValueError("kind must be 'boosted' or 'forest'")
+    if classes < 2:
+        classifier = RandomForestClassifier(numTrees=1, **shared)
+    elif settings.kind == "forest":
         classifier = RandomForestClassifier(numTrees=settings.trees, **shared)
-    elif settings.kind == "boosted":
+    else:
         boosted = GBTClassifier(maxIter=settings.trees, stepSize=settings.rate, **shared)
         classifier = OneVsRest(
             classifier=boosted, featuresCol="features", labelCol="label", weightCol="weight",
             parallelism=min(classes, 8),
         )
-    else:
-        raise ValueError("kind must be 'boosted' or 'forest'")
-    return Pipeline(stages=[assembler, scaler, classifier])
+    return Pipeline(stages=[assembler, classifier])
 
 
 @dataclass(frozen=True)
 class CauseModel:
     model: PipelineModel
     labels: list[str]
+    stats: Mapping[str, tuple[float, float]]
 
     def predict(self, nodes: DataFrame, settings: TreeSettings) -> DataFrame:
         """Add ``prediction`` and ``predicted_cause``."""
-        scored = self.model.transform(nodes.na.fill(0, list(settings.features)))
+        scored = self.model.transform(scaled(nodes, self.stats))
         named = IndexToString(
             inputCol="prediction", outputCol="predicted_cause", labels=self.labels
         )
@@ -107,17 +121,46 @@ def index_labels(nodes: DataFrame, cause: str = "primary_cause") -> tuple[DataFr
 
 def fit_cause_model(labelled: DataFrame, labels: list[str], settings: TreeSettings) -> CauseModel:
     """Fit on rows with ``label``; rare classes weigh more (see ``class_weights``)."""
-    filled = labelled.na.fill(0, list(settings.features))
-    weighted = with_class_weight(filled, "label").select("label", "weight", *settings.features)
-    return CauseModel(cause_pipeline(settings, len(labels)).fit(weighted), labels)
-
-
-def split(df: DataFrame, key: str, share: float = HOLD_OUT, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rest, held out) by a hash of the key.
-
-    The side of a row does not depend on where it is read, so a recomputed
-    partition cannot leak rows from one side to the other, and every label is
-    split in about the same proportion.
+    stats = scaling(labelled, settings.features)
+    weighted = with_class_weight(scaled(labelled, stats), "label").select("label", "weight", *settings.features)
+    # Every tree reads the rows again: they are written once, and held while the model grows.
+    rows = stage_table(weighted, "model_rows").cache()
+    try:
+        return CauseModel(cause_pipeline(settings, len(labels)).fit(rows), labels, stats)
+    finally:
+        rows.unpersist()
+
+
+def split(
+    df: DataFrame, key: str, label: str, share: float = HOLD_OUT, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """(rest, held out): of each label the given share of rows, rounded, by a digest of the key.
+
+    The side of a row does not depend on where it is read. Rows are counted by label and the
+    first digits of the digest; only those that share the digits at which a label's
+    quota ends are ranked, so no label has to pass through one task.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
-    return df.where(draw >= share), df.where(draw < share)
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    rows = df.withColumn("_digest", digest).withColumn(
+        "_part", F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int")
+    )
+    ordered = Window.partitionBy("_label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    quota = F.floor(F.lit(share) * F.sum("n").over(Window.partitionBy("_label")) + 0.5)
+    parts = (
+        rows.groupBy(F.col(label).alias("_label"), "_part").agg(F.count("*").alias("n"))
+        .withColumns({"_before": F.coalesce(F.sum("n").over(ordered), F.lit(0)), "_quota": quota})
+        .where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("n") >= F.col("_quota")))
+    )
+    ends = stage_table(
+        parts.select("_label", F.col("_part").alias("_end"), (F.col("_quota") - F.col("_before")).alias("_left")),
+        "hold_out",
+    )
+    if ends.count() <= BROADCAST_CLASSES:
+        ends = F.broadcast(ends)
+    marked = rows.join(ends, F.col(label).eqNullSafe(F.col("_label")), "left")
+    at_end = F.coalesce(F.col("_part") == F.col("_end"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_digest", key))
+    held = marked.where(~at_end).withColumn("_held", F.coalesce(F.col("_part") < F.col("_end"), F.lit(False)))
+    edge = marked.where(at_end).withColumn("_held", rank <= F.col("_left"))
+    both = stage_table(held.unionByName(edge).select(*df.columns, "_held"), "hold_out_rows")
+    return both.where("NOT _held").drop("_held"), both.where("_held").drop("_held")

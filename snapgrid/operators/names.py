@@ -10,9 +10,9 @@ def node_streets(
     edges: DataFrame, ends: tuple[str, str] = ("NodeIDFrom", "NodeIDTo"), street: str = "Street",
     node: str = "NODEID",
 ) -> DataFrame:
-    """Distinct (node, street) pairs over both ends of the edges."""
+    """Distinct (node, street) pairs over both ends of the edges; ends without a node are left out."""
     start, end = (edges.select(F.col(e).alias(node), F.col(street).alias("street")) for e in ends)
-    return start.unionByName(end).dropDuplicates()
+    return start.unionByName(end).where(F.col(node).isNotNull()).dropDuplicates()
 
 
 def intersection_names(

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from math import ceil, floor, log
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from snapgrid.functions.geo import DISTANCE_DIGITS, METRES_PER_DEGREE, EARTH_RADIUS_M
-from snapgrid.operators.blocks import reduce_blocks
+from snapgrid.functions.geo import DISTANCE_DIGITS, METRES_PER_DEGREE, haversine_m
 from snapgrid.operators.grid import CELL_X, CELL_Y, Grid
-from snapgrid.operators.targets import Extent, distance_to, joinable_cells
+from snapgrid.operators.targets import Extent, distance_to, has_segments, joinable_cells
 from snapgrid.session import stage_table
 
 CROWDED_CELL = 256
 MAX_HALVINGS = 12
 GROWTH = 4
+# Targets aimed at in a leaf of the far search; each level cuts a cell in 4 x 4.
+LEAF_TARGETS = 32
+MAX_LEVELS = 12
 _PLACE = ["lat", "lon"]
 
 
@@ -76,24 +77,25 @@ def _within(
 def crowded_start(targets: DataFrame, radius_m: float, extent: Extent) -> float:
     """Radius at which no grid cell holds more than ``CROWDED_CELL`` targets.
 
-    Halves ``radius_m`` up to ``MAX_HALVINGS`` times. One aggregate over the
-    target side gives the fullest cell of every level.
+    Halves ``radius_m`` up to ``MAX_HALVINGS`` times. It only decides how the search
+    goes, never what it finds.
     """
     grid = Grid.for_radius(radius_m, extent.max_abs_lat)
-    levels = range(MAX_HALVINGS + 1)
-    scale = F.pow(F.lit(2.0), -F.col("level"))
-    by_cell = (
-        targets.select("a_lat", "a_lon", F.explode(F.array(*[F.lit(i) for i in levels])).alias("level"))
-        .groupBy(
-            "level",
-            F.floor(F.col("a_lat") / (scale * F.lit(grid.height))).alias("y"),
-            F.floor(F.col("a_lon") / (scale * F.lit(grid.width))).alias("x"),
+    finest = 2.0**MAX_HALVINGS
+    cells = (
+        targets.groupBy(
+            F.floor(F.col("a_lat") * F.lit(finest / grid.height)).alias("y"),
+            F.floor(F.col("a_lon") * F.lit(finest / grid.width)).alias("x"),
         )
         .count()
+        .select("y", "x", F.col("count").alias("n"))
     )
-    fullest = dict(by_cell.groupBy("level").agg(F.max("count")).collect())
-    for level in levels:
-        if fullest.get(level, 0) <= CROWDED_CELL:
+    # The targets are counted once, by the smallest cells; larger ones are sums of those.
+    cells = stage_table(cells, "crowding")
+    for level in range(MAX_HALVINGS + 1):
+        shift = MAX_HALVINGS - level
+        by_cell = cells.groupBy(F.shiftright("y", shift).alias("y"), F.shiftright("x", shift).alias("x"))
+        if (by_cell.agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= CROWDED_CELL:
             return radius_m / 2**level
     return radius_m / 2**MAX_HALVINGS
 
@@ -129,30 +131,39 @@ def nearest_any(
     start_m: float,
     rounds: int = 5,
     ties: str = "all",
-    block_rows: int = 16_384,
 ) -> DataFrame:
     """Nearest target of every place, however far.
 
     The radius grows for the places without a hit. What is left after the last
-    round lies far from everything, where a grid no longer helps; it is compared
-    block by block, exactly.
+    round lies far from everything, where a grid of that radius no longer helps;
+    it descends a hierarchy of target cells, exactly.
     """
     ends = [c for c in ("a_lat", "a_lon", "b_lat", "b_lon") if c in targets.columns]
     targets = stage_table(targets.select(target_id, *ends).dropDuplicates(), "targets")
-    radii = [start_m * GROWTH**i for i in range(rounds)]
+    radii = [r for r in (_whole_units(start_m * GROWTH**i) for i in range(rounds)) if r > 0]
     found, rest = _widen(spots, targets, target_id, Extent.measure(targets), ties, radii)
     if rest.isEmpty():
         return found
-    far = _nearest_by_blocks(rest.select(*_PLACE), targets, target_id, ties, block_rows)
+    far = _nearest_far(rest.select(*_PLACE), targets, target_id, ties)
     return found.unionByName(rest.join(far, _PLACE))
 
 
+def _whole_units(radius_m: float) -> float:
+    """``radius_m`` rounded down to the unit of rounded distances.
+
+    A hit is final only if everything as near as it, after rounding, was a candidate.
+    A radius within a unit would part two distances that round to the same.
+    """
+    units = 10**DISTANCE_DIGITS
+    return floor(radius_m * units) / units
+
+
 def _growing(start_m: float, radius_m: float) -> list[float]:
     radii = []
     while start_m < radius_m:
-        radii.append(start_m)
+        radii.append(_whole_units(start_m))
         start_m *= GROWTH
-    return [*radii, radius_m]
+    return [*[r for r in radii if r > 0], radius_m]
 
 
 def _widen(
@@ -177,69 +188,77 @@ def _widen(
     return found, spots
 
 
-def _nearest_by_blocks(
-    spots: DataFrame, targets: DataFrame, target_id: str, ties: str, block_rows: int
-) -> DataFrame:
-    columns = [c for c in targets.columns if c != target_id]
-    schema = StructType(
-        [
-            StructField("lat", DoubleType()),
-            StructField("lon", DoubleType()),
-            StructField(target_id, targets.schema[target_id].dataType),
-            StructField("dist", DoubleType()),
-        ]
+def _nearest_far(spots: DataFrame, targets: DataFrame, target_id: str, ties: str) -> DataFrame:
+    """Nearest targets of places far from all of them.
+
+    The targets are summed up in a hierarchy of cells, each with its middle and its
+    reach: how far a target of it may lie from there. From level to level a place
+    keeps the cells that may hold its nearest target, which are those whose near side is
+    no farther than the far side of the closest one, and meets only their parts. What
+    is left are a few leaves for each place, whose targets are measured.
+    """
+    segments = has_segments(targets)
+    lat, lon = (
+        (F.col(f"a_{c}") + F.col(f"b_{c}")) / 2 if segments else F.col(f"a_{c}") for c in ("lat", "lon")
     )
-    names = [f.name for f in schema.fields]
-
-    def closest_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({n: [] for n in names})
-        ends = {c: right[c].to_numpy(float) for c in columns}
-        rows = []
-        slab = max(1, 2_000_000 // len(right))
-        for at in range(0, len(left), slab):
-            part = left.iloc[at : at + slab]
-            dist = np.round(
-                _distances(part["lat"].to_numpy()[:, None], part["lon"].to_numpy()[:, None], ends),
-                DISTANCE_DIGITS,
+    n, south, north, west, east = targets.agg(
+        F.count("*"), F.min(lat), F.max(lat), F.min(lon), F.max(lon)
+    ).first()
+    if not n:
+        return spots.select(*_PLACE, F.lit(None).cast(targets.schema[target_id].dataType).alias(target_id),
+                            F.lit(None).cast("double").alias("dist")).where("false")
+    levels = max(1, min(MAX_LEVELS, ceil(log(max(n / LEAF_TARGETS, 1), 16))))
+    leaf = max(north - south, east - west, 1e-6) * 1.000001 / 4**levels
+    y, x = ((F.floor((at - F.lit(low)) / F.lit(leaf))).cast("bigint") for at, low in ((lat, south), (lon, west)))
+    placed = stage_table(targets.withColumns({"leaf_y": y, "leaf_x": x}), "far-targets")
+
+    def apart(a: tuple[Column, Column], b: tuple[Column, Column], shrink: Column) -> Column:
+        """The distance that ranks targets; for segments that of the plane around the place."""
+        if not segments:
+            return haversine_m(*a, *b)
+        return F.sqrt(F.pow(b[0] - a[0], 2) + F.pow((b[1] - a[1]) * shrink, 2)) * METRES_PER_DEGREE
+
+    def cells(level: int) -> DataFrame:
+        """Cells of a level: their place, the cell above, their middle and reach."""
+        shift, size = 2 * (levels - level), leaf * 4 ** (levels - level)
+        y, x = F.shiftright("leaf_y", shift), F.shiftright("leaf_x", shift)
+        mid = F.lit(south) + (y + 0.5) * size, F.lit(west) + (x + 0.5) * size
+        ends = [("a_lat", "a_lon")] + ([("b_lat", "b_lon")] if segments else [])
+        # A degree of longitude is nowhere longer than on the equator.
+        out = [apart(mid, (F.col(p), F.col(q)), F.lit(1.0)) for p, q in ends]
+        reach = F.greatest(*out) if segments else out[0]
+        return (
+            placed.groupBy(y.alias("y"), x.alias("x"))
+            .agg(F.max(reach).alias("reach"))
+            .select(
+                "y", "x", F.shiftright("y", 2).alias("up_y"), F.shiftright("x", 2).alias("up_x"),
+                (F.lit(south) + (F.col("y") + 0.5) * size).alias("mid_lat"),
+                (F.lit(west) + (F.col("x") + 0.5) * size).alias("mid_lon"), "reach",
             )
-            row, col = np.nonzero(dist == dist.min(axis=1, keepdims=True))
-            rows.append(
-                pd.DataFrame(
-                    {
-                        "lat": part["lat"].to_numpy()[row],
-                        "lon": part["lon"].to_numpy()[row],
-                        target_id: right[target_id].to_numpy()[col],
-                        "dist": dist[row, col],
-                    }
-                ).drop_duplicates()
+        )
+
+    # The first level has 16 cells at most.
+    top = [F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in cells(1).drop("up_y", "up_x").collect()]
+    near = spots.withColumn("cell", F.explode(F.array(*top))).select(*_PLACE, "cell.*")
+    slack = 10.0**-DISTANCE_DIGITS
+    for level in range(1, levels + 1):
+        if level > 1:
+            near = near.join(
+                cells(level), (F.col("near_y") == F.col("up_y")) & (F.col("near_x") == F.col("up_x"))
             )
-        return pd.concat(rows)[names]
-
-    candidates = reduce_blocks(
-        spots, targets, _PLACE, [target_id, *columns],
-        closest_in_block, schema, block_rows, block_rows,
-    )
-    return _closest(candidates, target_id, ties)
-
-
-def _distances(lat: np.ndarray, lon: np.ndarray, ends: dict[str, np.ndarray]) -> np.ndarray:
-    """The distance expressions of ``functions.geo`` on a slab of a block pair."""
-    a_lat, a_lon = ends["a_lat"], ends["a_lon"]
-    if "b_lat" not in ends:
-        h = (
-            np.sin(np.radians(a_lat - lat) / 2) ** 2
-            + np.cos(np.radians(lat)) * np.cos(np.radians(a_lat)) * np.sin(np.radians(a_lon - lon) / 2) ** 2
+        away = apart((F.col("lat"), F.col("lon")), (F.col("mid_lat"), F.col("mid_lon")), F.cos(F.radians("lat")))
+        bound = F.min(F.col("away") + F.col("reach")).over(Window.partitionBy(*_PLACE))
+        near = (
+            near.withColumn("away", away)
+            .withColumn("bound", bound)
+            .where(F.col("away") - F.col("reach") <= F.col("bound") * (1 + 1e-9) + 4 * slack)
+            .select(*_PLACE, F.col("y").alias("near_y"), F.col("x").alias("near_x"))
         )
-        return np.arcsin(np.sqrt(np.minimum(h, 1.0))) * (2 * EARTH_RADIUS_M)
-    per_lon = np.cos(np.radians(lat)) * METRES_PER_DEGREE
-    ax, ay = (a_lon - lon) * per_lon, (a_lat - lat) * METRES_PER_DEGREE
-    dx, dy = (ends["b_lon"] - a_lon) * per_lon, (ends["b_lat"] - a_lat) * METRES_PER_DEGREE
-    length2 = dx * dx + dy * dy
-    with np.errstate(divide="ignore", invalid="ignore"):
-        along = np.where(length2 == 0, 0.0, -(ax * dx + ay * dy) / length2)
-    along = np.clip(along, 0.0, 1.0)
-    return np.sqrt((ax + along * dx) ** 2 + (ay + along * dy) ** 2)
+    dist = F.round(distance_to(targets, F.col("lat"), F.col("lon")), DISTANCE_DIGITS)
+    candidates = near.join(
+        placed, (F.col("near_y") == F.col("leaf_y")) & (F.col("near_x") == F.col("leaf_x"))
+    ).select(*_PLACE, target_id, dist.alias("dist"))
+    return _closest(candidates, target_id, ties)
 
 
 def snap(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snapgrid.operators.grid import CELL_X, CELL_Y, Grid
 from snapgrid.operators.nearest import places
-from snapgrid.operators.targets import BROADCAST_CELLS, Extent, distance_to, joinable_cells
+from snapgrid.operators.targets import BROADCAST_BYTES, ROW_BYTES, Extent, distance_to, joinable_cells
 
 # Fixed value: the flags test for less than 50 metres.
 FLAG_RADIUS_M = 50.0
@@ -94,10 +94,12 @@ def near_flags(
         tagged = targets.select(F.lit(i).alias("_layer"), *ends)
         stacked = tagged if stacked is None else stacked.unionByName(tagged)
     # Here the points bound the search: nothing further out can match them.
-    outermost, rows = points.agg(F.max(F.abs(lat)), F.count("*")).first()
+    outermost, rows, wide = points.agg(
+        F.max(F.abs(lat)), F.count("*"), F.max(F.octet_length(F.col(key).cast("string")))
+    ).first()
     grid = Grid.for_radius(radius_m, outermost or 0.0)
     around = grid.locate_around(points.select(key, lat, lon), lat, lon)
-    if 9 * rows <= BROADCAST_CELLS:
+    if 9 * rows * (ROW_BYTES + (wide or 0)) <= BROADCAST_BYTES:
         around = F.broadcast(around)
     pieces = grid.cover(
         stacked.withColumns(

@@ -11,18 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.geo import haversine_m, segment_distance_m
+from snapgrid.operators.clean import number_of
 from snapgrid.operators.grid import Grid
 
-# About 100 MB of target cells: the most that a join may broadcast.
-BROADCAST_CELLS = 2_000_000
+# Target cells, in bytes, that a join may broadcast.
+BROADCAST_BYTES = 64 << 20
+# What a row takes beside its text: coordinates, cell and object headers.
+ROW_BYTES = 64
 
 
 def point_targets(df: DataFrame, lat: str, lon: str, *keep: str) -> DataFrame:
     """Points as targets; text coordinates become numbers, bad ones are dropped."""
     return df.select(
         *keep,
-        F.col(lat).try_cast("double").alias("a_lat"),
-        F.col(lon).try_cast("double").alias("a_lon"),
+        number_of(df, lat).alias("a_lat"),
+        number_of(df, lon).alias("a_lon"),
     ).dropna(subset=["a_lat", "a_lon"])
 
 
@@ -32,7 +35,7 @@ def segment_targets(
     """Rows that hold one segment in four columns."""
     ends = {"a_lat": a_lat, "a_lon": a_lon, "b_lat": b_lat, "b_lon": b_lon}
     return df.select(
-        *keep, *[F.col(c).try_cast("double").alias(name) for name, c in ends.items()]
+        *keep, *[number_of(df, c).alias(name) for name, c in ends.items()]
     ).dropna(subset=list(ends))
 
 
@@ -89,6 +92,7 @@ class Extent:
     max_abs_lat: float
     rows: int
     degrees: float
+    text_bytes: float = 0.0
 
     @staticmethod
     def measure(targets: DataFrame) -> Extent:
@@ -100,15 +104,17 @@ class Extent:
             )
         else:
             outer, length = F.abs("a_lat"), F.lit(0.0)
-        row = targets.agg(F.max(outer), F.count("*"), F.sum(length)).first()
-        return Extent(row[0] or 0.0, row[1], row[2] or 0.0)
+        texts = [c for c, kind in targets.dtypes if kind == "string"]
+        width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+        row = targets.agg(F.max(outer), F.count("*"), F.sum(length), F.avg(width)).first()
+        return Extent(row[0] or 0.0, row[1], row[2] or 0.0, row[3] or 0.0)
 
     def cell_bound(self, grid: Grid) -> float:
         """Upper bound on the rows of ``to_cells``: a strip of cells along a segment."""
         return 20 * (self.rows + self.degrees / min(grid.height, grid.width))
 
     def fits_broadcast(self, grid: Grid) -> bool:
-        return self.cell_bound(grid) <= BROADCAST_CELLS
+        return self.cell_bound(grid) * (ROW_BYTES + self.text_bytes) <= BROADCAST_BYTES
 
 
 def to_cells(targets: DataFrame, grid: Grid, pad: int) -> DataFrame:
@@ -124,7 +130,7 @@ def joinable_cells(targets: DataFrame, grid: Grid, extent: Extent) -> DataFrame:
     """Padded target cells, marked for the join that their number allows.
 
     The file size the optimizer goes by knows nothing of the explosion, so the
-    measured bound decides. Up to ``BROADCAST_CELLS`` rows they are broadcast, and
+    measured bound decides. Up to ``BROADCAST_BYTES`` they are broadcast, and
     the points neither move nor can pile up on a cell. Beyond that both sides are
     sorted by cell, and adaptive execution splits the partition of a hot cell.
     """

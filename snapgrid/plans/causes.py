@@ -74,7 +74,7 @@ def run_model(
     settings = settings or TreeSettings()
     table = stage_table(table, "training_table")
     labelled, labels = index_labels(table)
-    train, test = split(labelled, node) if held_out else (labelled, labelled)
+    train, test = split(labelled, node, "label") if held_out else (labelled, labelled)
     predicted = fit_cause_model(train, labels, settings).predict(test, settings)
     kept = predicted.select(node, "label", "prediction", "primary_cause", "predicted_cause")
     return CauseRun(stage_table(kept, "predictions"), labels)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snapgrid.functions.geo import FOOT_M
 from snapgrid.operators.names import intersection_names, node_coordinates
-from snapgrid.operators.nearest import nearest_within, snap
+from snapgrid.operators.nearest import join_back, nearest_within, places, snap
 from snapgrid.operators.severity import (
     TIE_DIGITS,
     TOP_N,
@@ -25,6 +25,7 @@ from snapgrid.session import stage_table
 # Fixed value: a crash belongs to a node at most 50 feet away.
 SNAP_RADIUS_M = 50 * FOOT_M
 
+# The columns of the ranking, in this order.
 RANKING_COLUMNS = [
     "NODEID",
     "crash_count",
@@ -38,13 +39,31 @@ RANKING_COLUMNS = [
 ]
 
 
+def place_nodes(crashes: DataFrame, nodes: DataFrame, radius_m: float = SNAP_RADIUS_M, **options) -> DataFrame:
+    """``lat, lon, NODEID, dist`` of every crash coordinate at a node, written once.
+
+    Hand it as ``near`` to the ranking and to the node map: the search is the dear part of both.
+    """
+    targets = point_targets(nodes, "latitude", "longitude", "NODEID")
+    near = nearest_within(places(crashes, "latitude", "longitude"), targets, "NODEID", radius_m, **options)
+    return stage_table(near, "place_nodes")
+
+
 def crash_to_node_map(
-    crashes: DataFrame, nodes: DataFrame, radius_m: float = SNAP_RADIUS_M, **options
+    crashes: DataFrame,
+    nodes: DataFrame,
+    radius_m: float = SNAP_RADIUS_M,
+    near: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """``collision_id, NODEID, snap_dist`` of the crashes that lie at a node."""
-    targets = point_targets(nodes, "latitude", "longitude", "NODEID")
     kept = crashes.select("collision_id", "latitude", "longitude")
-    return snap(kept, targets, radius_m, **options).select("collision_id", "NODEID", "snap_dist")
+    if near is None:
+        targets = point_targets(nodes, "latitude", "longitude", "NODEID")
+        mapped = snap(kept, targets, radius_m, **options)
+    else:
+        mapped = join_back(kept, near, "latitude", "longitude", "snap_dist", "inner")
+    return mapped.select("collision_id", "NODEID", "snap_dist")
 
 
 def node_summary(
@@ -52,6 +71,7 @@ def node_summary(
     nodes: DataFrame,
     as_of: date | datetime | str,
     radius_m: float = SNAP_RADIUS_M,
+    near: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Crash count, casualties and severity of every node with a crash.
@@ -62,6 +82,8 @@ def node_summary(
     by_place = summarise(
         score_rows(crashes, as_of).dropna(subset=["latitude", "longitude"]), "latitude", "longitude"
     ).withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
+    if near is not None:
+        return merge_summaries(by_place.join(near, ["lat", "lon"]), "NODEID")
     targets = point_targets(nodes, "latitude", "longitude", "NODEID")
     return merge_summaries(nearest_within(by_place, targets, "NODEID", radius_m, **options), "NODEID")
 

@@ -49,18 +49,22 @@ def counts_by(rows: DataFrame, key: str, top: int | None = None) -> DataFrame:
 
 
 def year_counts(crashes: DataFrame, key: str, value: object, day: str = "crash_date") -> DataFrame:
-    """Crashes per year of one node."""
+    """Crashes per year of one node; those of unknown date are left out."""
     return (
-        crashes.where(F.col(key) == value)
+        crashes.where((F.col(key) == value) & F.col(day).isNotNull())
         .groupBy(F.year(day).alias("year"))
         .agg(F.count("*").alias("n"))
         .orderBy("year")
     )
 
 
-def random_rows(df: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
-    """Random sample of ``n`` rows: a top-n by a random number, not a full sort."""
-    return df.withColumn("_random", F.rand(seed)).orderBy("_random").limit(n).drop("_random")
+def random_rows(df: DataFrame, key: str, n: int = 10, seed: int = 42) -> DataFrame:
+    """Random sample of ``n`` rows: the smallest digests of seed and key.
+
+    A top-n and not a full sort; the same rows wherever they are read from.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    return df.withColumn("_digest", digest).orderBy("_digest", key).limit(n).drop("_digest")
 
 
 def first_row(df: DataFrame, *keys: str) -> DataFrame:

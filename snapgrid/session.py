@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Stage tables of this process stand together, so that they can be dropped together.
+_RUN = f"run-{uuid.uuid4().hex}"
+
+
 def get_spark(app_name: str = "snapgrid", **conf: str) -> SparkSession:
     """A session with the settings the library relies on.
 
@@ -45,10 +49,18 @@ def stage_root(spark: SparkSession) -> str:
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and return a reader of it.
 
+    Spark does not clean these up: ``drop_stage_tables`` does, at the end of a job.
     Cuts the lineage, so that a lost executor costs one scan and not the whole
     plan, and gives the optimizer the real size of the table for its joins.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/snapgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/snapgrid/{_RUN}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stage_tables(spark: SparkSession) -> None:
+    """Delete what this process has staged; call it when its results are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{stage_root(spark)}/snapgrid/{_RUN}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapgrid.operators.clean import number_of
 from snapgrid.operators.targets import (
     multiline_targets,
     multipoint_targets,
@@ -29,16 +30,29 @@ def from_to_layer(df: DataFrame) -> DataFrame:
     return segment_targets(df, "fromlatitude", "fromlongitude", "tolatitude", "tolongitude")
 
 
-def _coordinates(df: DataFrame, kind: str) -> DataFrame:
-    """Rows whose coordinates parse at the depth of ``kind``."""
-    parsed = F.from_json(F.col("the_geom.coordinates"), kind)
+def _depth() -> Column:
+    """How deep the coordinates are nested: by the kind of geometry, or as they are written."""
+    kind, text = F.col("the_geom.type"), F.col("the_geom.coordinates")
+    written = F.length(F.regexp_replace(F.regexp_extract(text, r"^[\[\s]*", 0), r"\s", ""))
+    known = F.when(kind == "Point", 1).when(kind.isin("MultiPoint", "LineString"), 2)
+    return F.coalesce(known.when(kind == "MultiLineString", 3), written)
+
+
+def _coordinates(df: DataFrame, *depths: int) -> DataFrame:
+    """``_coordinates`` of the rows nested to one of ``depths``, wrapped to the last of them."""
+    parsed = F.lit(None)
+    for depth in depths:
+        kind = "array<" * depth + "double" + ">" * depth
+        found = F.from_json(F.col("the_geom.coordinates"), kind)
+        for _ in range(depths[-1] - depth):
+            found = F.array(found)
+        parsed = F.when(_depth() == depth, found).otherwise(parsed)
     return df.select("*", parsed.alias("_coordinates")).where(F.size("_coordinates") > 0)
 
 
 def geo_point_layer(df: DataFrame) -> DataFrame:
     """Points: a flat pair of numbers. Everything else in the layer is passed over."""
-    flat = ~F.col("the_geom.coordinates").rlike(r"^\s*\[\s*\[")
-    pairs = _coordinates(df.where(flat), "array<double>").where(F.size("_coordinates") == 2)
+    pairs = _coordinates(df, 1).where(F.size("_coordinates") == 2)
     return pairs.select(
         F.col("_coordinates")[1].alias("a_lat"), F.col("_coordinates")[0].alias("a_lon")
     ).dropna()
@@ -46,21 +60,19 @@ def geo_point_layer(df: DataFrame) -> DataFrame:
 
 def geo_multipoint_layer(df: DataFrame) -> DataFrame:
     """Points and multipoints in one layer."""
-    nested = F.col("the_geom.coordinates").rlike(r"^\s*\[\s*\[")
-    many = _coordinates(df.where(nested), "array<array<double>>")
-    return geo_point_layer(df).unionByName(multipoint_targets(many, "_coordinates"))
+    dots = df.where(~F.coalesce(F.col("the_geom.type") == "LineString", F.lit(False)))
+    return multipoint_targets(_coordinates(dots, 1, 2), "_coordinates")
 
 
 def geo_multiline_layer(df: DataFrame) -> DataFrame:
-    """Every segment of every line."""
-    return multiline_targets(
-        _coordinates(df, "array<array<array<double>>>"), "_coordinates"
-    )
+    """Every segment of every line; single lines and multilines in one layer."""
+    lines = df.where(~F.coalesce(F.col("the_geom.type") == "MultiPoint", F.lit(False)))
+    return multiline_targets(_coordinates(lines, 2, 3), "_coordinates")
 
 
 def bad_pavement_layer(df: DataFrame) -> DataFrame:
     """Segments of the streets with a bad rating; the rating is tested first."""
-    return geo_multiline_layer(df.where(F.col("systemrating").try_cast("double") < BAD_RATING))
+    return geo_multiline_layer(df.where(number_of(df, "systemrating") < BAD_RATING))
 
 
 @dataclass(frozen=True)

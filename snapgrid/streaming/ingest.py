@@ -19,13 +19,15 @@ def ingest_pages(
     schema: str = schemas.CRASH_PAGE,
     clean: Callable[[DataFrame], DataFrame] = clean_crashes,
     pages_per_batch: int | None = None,
+    multiline: bool = False,
 ) -> StreamingQuery:
     """Clean the pages that have arrived since the last run and append them.
 
     Uses the batch cleaning step and stops when nothing is left. The checkpoint
     and the file sink make each page count once, also after a failure.
+    ``multiline`` reads pages that are each one JSON array.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("multiLine", multiline)
     if pages_per_batch:
         reader = reader.option("maxFilesPerTrigger", pages_per_batch)
     return (

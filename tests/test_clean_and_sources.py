@@ -1,6 +1,7 @@
 """Cleaning rules, readers, layers, cache and incremental ingestion."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,55 @@ def test_headers(spark):
     ]
 
 
+@pytest.mark.parametrize("text, number, key", [
+    ("12d", None, None), ("7f", None, None), ("inf", None, None), ("-Infinity", None, None), ("1e400", None, None), ("NaN", None, None),
+    (" 12 ", 12.0, 12), ("12.0", 12.0, 12), ("-1.5e3", -1500.0, -1500), (".5", 0.5, 0), ("5.", 5.0, 5), ("1,5", None, None), ("", None, None),
+])
+def test_numbers_and_keys(spark, text, number, key):
+    row = spark.createDataFrame([(text,)], "t string").select(
+        clean.to_number(F.col("t")).alias("n"), clean.to_integer_key(F.col("t")).alias("k")
+    ).first()
+    assert (row.n, row.k) == (number, key)
+
+
+@pytest.mark.parametrize("text, day", [
+    ("09/11/2021", "2021-09-11 00:00:00"), ("9/1/2021 3:05", "2021-09-01 03:05:00"), ("12/31/2021 11:59:58 PM", "2021-12-31 23:59:58"),
+    ("2021-09-11T01:02:03", "2021-09-11 01:02:03"), ("2021-09-11", "2021-09-11 00:00:00"), ("13/13/2021", None), ("x", None), (None, None),
+])
+def test_dates(spark, text, day):
+    row = spark.createDataFrame([(text,)], "t string").select(F.date_format(clean.to_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("d")).first()
+    assert row.d == day
+
+
+def test_typed_csv_goes_by_name(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Keywords,Title, doc id\nx,A,1\ny,B,2d\n")
+    rows = readers.read_csv(spark, str(tmp_path / "c.csv"), schemas.CORPUS).collect()
+    assert [tuple(r) for r in rows] == [(1, "A", "x"), (None, "B", "y")]
+    with pytest.raises(ValueError, match="weight"):
+        readers.read_csv(spark, str(tmp_path / "c.csv"), "Title string, weight double")
+
+
+def test_cache_of_a_failed_build_is_not_read(spark, tmp_path):
+    path = tmp_path / "cache"
+    path.mkdir()
+    spark.range(9).write.parquet(str(tmp_path / "whole"))
+    next((tmp_path / "whole").glob("part-*.parquet")).rename(path / "part-0.parquet")
+    assert readers.read_through(spark, str(path), lambda: spark.range(3).toDF("id")).count() == 3
+    assert readers.read_through(spark, str(path), lambda: spark.range(7).toDF("id")).count() == 3
+    with pytest.raises(ZeroDivisionError):
+        readers.read_through(spark, str(tmp_path / "other"), lambda: 1 / 0)
+    assert readers.read_through(spark, str(tmp_path / "other"), lambda: spark.range(2).toDF("id")).count() == 2
+
+
+def test_single_lines_and_multilines_in_one_layer(spark):
+    rows = [("LineString", "[[-74.0,40.7],[-74.0,40.8],[-74.1,40.8]]"), ("MultiLineString", "[[[-74.0,40.7],[-74.0,40.8]]]"),
+            ("Point", "[-74.0,40.7]"), ("MultiPoint", "[[-74.0,40.7],[-74.1,40.7]]"), (None, "[[[1.0,2.0],[1.0,3.0]]]"), ("LineString", "oops"), ("LineString", None)]
+    layer = spark.createDataFrame([(r,) for r in rows], schemas.GEOMETRY_PAGE)
+    assert layers.geo_multiline_layer(layer).count() == 4
+    assert layers.geo_multipoint_layer(layer).count() == 3
+    assert layers.geo_point_layer(layer).count() == 1
+
+
 def test_big_keys_stay_exact(spark):
     df = spark.createDataFrame([("9007199254740993",), ("7.0",), ("1e400",), (None,)], "k string")
     assert [r[0] for r in df.select(clean.to_integer_key(F.col("k"))).collect()] == [
@@ -162,3 +212,6 @@ def test_stage_tables_live_in_the_checkpoint_folder(spark):
     assert session.stage_root(spark) == root
     staged = session.stage_table(spark.range(4).toDF("id"), "numbers")
     assert staged.count() == 4 and staged.inputFiles()[0].startswith(f"file://{root}")
+    folder = staged.inputFiles()[0].removeprefix("file://")
+    session.drop_stage_tables(spark)
+    assert not os.path.exists(folder)

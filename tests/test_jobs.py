@@ -46,6 +46,8 @@ def test_chain(spark, files):
         jobs.main([job, *args, "--out", str(files / "out")] + (["--multiline"] if "crashes" in paths and job != "streets" else []))
 
     out = files / "out"
+    run("ingest", crashes=files / "crashes")
+    assert spark.read.parquet(str(out / "ingested")).count() == 120
     run("rank", crashes=files / "crashes", nodes=files / "nodes", edges=files / "edges", as_of="2024-12-31")
     ranked = readers.read_csv(spark, str(out / "rankings"), schemas.RANKINGS)
     assert ranked.count() == 6 and {r.crash_count for r in ranked.collect()} == {20}

@@ -180,4 +180,4 @@ def test_flag_fixes_and_views(spark):
     assert views.leaderboard(master, "Signal braking").count() == 1
     assert views.map_feed(master, "All").columns == views.MAP_COLUMNS
     assert {r[0] for r in views.filter_values(master).collect()} == {"Signal braking", "Turning vehicle"}
-    assert views.random_rows(master, 1).count() == 1
+    assert views.random_rows(master, "NODEID", 1).count() == 1

@@ -163,10 +163,36 @@ def test_quantiles_equal_numpy(spark, leaf_rows):
     values = np.concatenate([rng.exponential(1e6, 400), np.full(300, 7.0), -rng.uniform(0, 1, 300)])
     df = spark.createDataFrame([(float(x),) for x in values] + [(None,), (float("nan"),)], "x double")
     probs = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
-    got = summary.exact_quantiles(df, "x", probs, buckets=16, leaf_rows=leaf_rows)
+    got = summary.exact_quantiles(df, "x", probs, accuracy=20, leaf_rows=leaf_rows)
     assert got == pytest.approx(list(np.quantile(values, probs)))
 
 
+@pytest.mark.parametrize("leaf_rows", [1, 10_000])
+def test_quantiles_of_extreme_values_end(spark, leaf_rows):
+    import numpy as np
+
+    values = [-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324, *[1.0] * 40, *[2.0] * 40, *(10.0**k for k in range(-300, 300, 10))]
+    rows = [*values, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in rows], "x double")
+    probs = [0.0, 0.3, 0.5, 0.77, 0.999, 1.0]
+    got = summary.exact_quantiles(df, "x", probs, accuracy=10, leaf_rows=leaf_rows)
+    ordered = sorted(values)
+    for g, p in zip(got, probs):
+        at = (len(values) - 1) * p
+        low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        assert min(low, high) <= g <= max(low, high)
+    assert summary.describe(df, "x").first().n == len(values)
+
+
+def test_quantiles_take_three_scans(spark, monkeypatch):
+    rows = spark.range(200_000).selectExpr("exp(id / 9000.0) AS x")
+    calls = []
+    monkeypatch.setattr(summary, "_histogram", lambda *a, f=summary._histogram: calls.append(1) or f(*a))
+    got = summary.exact_quantiles(rows, "x", [0.5, 0.99])
+    assert len(calls) == 1
+    assert got == pytest.approx([float(__import__("numpy").exp(199_999 * p / 9000.0)) for p in (0.5, 0.99)], rel=1e-4)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert summary.exact_quantiles(df, "x", [0.5]) == [None]

@@ -65,7 +65,7 @@ def test_snap_without_broadcast_and_with_growing_radius(spark, monkeypatch):
     points, nodes = random_places(3, 300, 0.02), random_places(4, 200, 0.02)
     p, n = frames(spark, points, nodes)
     expected = brute_nearest(points, nodes, 400.0)
-    monkeypatch.setattr(targets, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(targets, "BROADCAST_BYTES", 0)
     merged = nearest.snap(p, n, 400.0)
     assert "SortMergeJoin [_cell_y" in plan_of(merged)
     assert {(r.id, r.NODEID) for r in merged.collect()} == expected
@@ -84,6 +84,30 @@ def test_crowded_targets_start_closer(spark):
     assert ours == brute_nearest(points, nodes, 1000.0)
 
 
+def test_start_radius_does_not_part_distances_that_round_to_the_same(spark):
+    nodes = [(1, 40.7 + 0.12207065 / DEG, -74.0), (2, 40.7 - 0.12207085 / DEG, -74.0)]
+    p, n = frames(spark, [(7, 40.7, -74.0)], nodes)
+    for start in (None, 500.0, 0.1220710, 0.12207075, 500.0 / 4096):
+        rows = nearest.snap(p, n, 500.0, start_m=start).collect()
+        assert {(r.NODEID, r.snap_dist) for r in rows} == {(1, 0.122071), (2, 0.122071)}
+    spots = nearest.places(p, "latitude", "longitude")
+    for start in (500.0, 500.0 / 4096, 0.12207075 / 4):
+        assert nearest.nearest_any(spots, n, "NODEID", start).count() == 2
+
+
+@pytest.mark.parametrize("ties", ["all", "first"])
+def test_nearest_any_with_all_points_far_away(spark, ties):
+    nodes = random_places(21, 3_000, 0.4) + [(9_000, 40.7, -74.0), (9_001, 40.7, -74.0)]
+    points = random_places(22, 20, 9.0) + [(99, 40.7, -73.0), (98, -33.0, 18.0)]
+    p, n = frames(spark, points, nodes)
+    near = nearest.nearest_any(nearest.places(p, "latitude", "longitude"), n, "NODEID", 0.001, rounds=2, ties=ties)
+    rows = nearest.join_back(p, near, "latitude", "longitude", "distance").collect()
+    expected = brute_nearest(points, nodes)
+    if ties == "first":
+        expected = {(i, min(b for a, b in expected if a == i)) for i, _ in expected}
+    assert {(r.id, r.NODEID) for r in rows} == expected
+
+
 def test_cap_is_inclusive_and_ties_keep_all(spark):
     lat_step = 10.0 / DEG
     nodes = [(1, 40.7 - lat_step, -74.0), (2, 40.7 + lat_step, -74.0)]
@@ -122,7 +146,7 @@ def random_legs(seed, n, spread, length):
 @pytest.mark.parametrize("length", [0.0005, 0.02])
 def test_near_flag_equals_brute_force(spark, monkeypatch, broadcast, length):
     if not broadcast:
-        monkeypatch.setattr(targets, "BROADCAST_CELLS", 0)
+        monkeypatch.setattr(targets, "BROADCAST_BYTES", 0)
     points, legs = random_places(7, 200, 0.02), random_legs(8, 40, 0.02, length)
     p, _ = frames(spark, points, [(1, 0.0, 0.0)])
     flagged = proximity.near_flag(p, segments_frame(spark, legs), "flag", 50.0)
@@ -168,13 +192,13 @@ def test_layers_at_once_equal_one_by_one(spark):
     assert len(together) == 150
 
 
-def test_nearest_any_reaches_far_points_by_blocks(spark):
+def test_nearest_any_reaches_far_points(spark):
     points = random_places(12, 60, 0.01) + [(900, 41.9, -70.0), (901, 10.0, 20.0)]
     legs = random_legs(13, 50, 0.01, 0.002)
     p, _ = frames(spark, points, [(1, 0.0, 0.0)])
     near = nearest.nearest_any(
         nearest.places(p, "latitude", "longitude"), segments_frame(spark, legs), "sid", 20.0,
-        rounds=3, block_rows=16,
+        rounds=3,
     )
     rows = nearest.join_back(p, near, "latitude", "longitude", "distance").collect()
     expected = set()
