@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from snapgrid.operators.blocks import reduce_blocks
+from snapgrid.operators.blocks import BLOCK_ROWS, reduce_blocks
 
 SCORE_DIGITS = 9
-BLOCK_ROWS = 16_384
 _SLAB = 2_000_000
 
 
@@ -49,37 +48,40 @@ def _dense_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[s
         yield part, _unit(np.stack(queries["vector"].to_numpy()[part]).astype(float)) @ d.T
 
 
-def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
-    """Lays a slab of queries and of documents out over the words of the queries."""
+def _flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and weight of everything that the rows list."""
+    sizes = frame["terms"].map(len).to_numpy(dtype=np.int64)
+    row = np.repeat(np.arange(len(frame)), sizes)
+    if not sizes.sum():
+        return row, np.zeros(0, np.int64), np.zeros(0)
+    return row, np.concatenate(frame["terms"].to_numpy()), np.concatenate(frame["weights"].to_numpy())
 
-    def flat(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = frame["terms"].map(len).to_numpy()
-        row = np.repeat(np.arange(len(frame)), sizes)
-        if not sizes.sum():
-            return row, np.array([], dtype=object), np.array([])
-        return row, np.concatenate(frame["terms"].to_numpy()), np.concatenate(frame["weights"].to_numpy())
 
-    d_row, d_term, d_weight = flat(docs)
-    step = max(1, min(256, _SLAB // len(docs)))
+def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+    """Products by way of an index from word to documents: only words that both sides have cost anything."""
+    d_row, d_term, d_weight = _flat(docs)
+    order = np.argsort(d_term, kind="stable")
+    d_row, d_term, d_weight = d_row[order], d_term[order], d_weight[order]
+    step = max(1, _SLAB // len(docs))
     for at in range(0, len(queries), step):
         part = slice(at, min(at + step, len(queries)))
         q = queries.iloc[part]
-        q_row, q_term, q_weight = flat(q)
-        vocabulary = pd.Index(q_term).unique()
-        code = vocabulary.get_indexer(d_term)
-        seen = code >= 0
-        row, code, weight = d_row[seen], code[seen], d_weight[seen]
-        q_matrix = np.zeros((len(q), len(vocabulary)))
-        q_matrix[q_row, vocabulary.get_indexer(q_term)] = q_weight
-        scores = np.zeros((len(q), len(docs)))
-        chunk = max(1, _SLAB // max(1, len(vocabulary)))
-        for first in range(0, len(docs), chunk):
-            last = min(first + chunk, len(docs))
-            inside = slice(np.searchsorted(row, first), np.searchsorted(row, last))
-            d_matrix = np.zeros((last - first, len(vocabulary)))
-            d_matrix[row[inside] - first, code[inside]] = weight[inside]
-            scores[:, first:last] = q_matrix @ d_matrix.T
+        q_row, q_term, q_weight = _flat(q)
+        first = np.searchsorted(d_term, q_term)
+        found = np.searchsorted(d_term, q_term, side="right") - first
+        scores = np.zeros(len(q) * len(docs))
+        # A word of a query and a document each; some millions of them at a time.
+        ends = np.cumsum(found)
+        cuts = np.searchsorted(ends, np.arange(_SLAB, ends[-1] if len(ends) else 0, _SLAB))
+        for a, b in zip([0, *cuts], [*cuts, len(q_term)]):
+            n = found[a:b]
+            if not n.sum():
+                continue
+            posting = np.repeat(first[a:b] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            cell = np.repeat(q_row[a:b] * len(docs), n) + d_row[posting]
+            scores += np.bincount(cell, np.repeat(q_weight[a:b], n) * d_weight[posting], len(scores))
         scale = q["norm"].to_numpy()[:, None] * docs["norm"].to_numpy()[None, :]
+        scores = scores.reshape(len(q), len(docs))
         yield part, np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
 
 
@@ -90,6 +92,7 @@ def _top_k(
     doc_id: str,
     k: int,
     scores: Callable[[pd.DataFrame, pd.DataFrame], Iterator[tuple[slice, np.ndarray]]],
+    values: str,
     block_rows: int,
 ) -> DataFrame:
     schema = StructType(
@@ -120,7 +123,7 @@ def _top_k(
         return pd.concat(parts)
 
     candidates = reduce_blocks(
-        queries, docs, [query_id], [doc_id], best_in_block, schema, block_rows, block_rows
+        queries, docs, [query_id], [doc_id], best_in_block, schema, F.size(values) + 1, block_rows
     )
     order = Window.partitionBy(query_id).orderBy(F.col("sim").desc(), doc_id)
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -144,16 +147,16 @@ def top_k_dense(
     return _top_k(
         queries.select(query_id, F.col(query_vector).alias("vector")),
         docs.select(doc_id, F.col(doc_vector).alias("vector")),
-        query_id, doc_id, k, _dense_scores, block_rows,
+        query_id, doc_id, k, _dense_scores, "vector", block_rows,
     )
 
 
 def top_k_sparse(
     queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """The same for word vectors: ``terms`` with ``weights``, and the ``norm``."""
+    """The same for word vectors: ``terms`` (word numbers) with ``weights``, and the ``norm``."""
     columns = ["terms", "weights", "norm"]
     return _top_k(
         queries.select(query_id, *columns), docs.select(doc_id, *columns),
-        query_id, doc_id, k, _sparse_scores, block_rows,
+        query_id, doc_id, k, _sparse_scores, "terms", block_rows,
     )

@@ -2,61 +2,121 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from snapgrid.functions.text import words
 
 
+# Bytes of a word table that is broadcast.
+BROADCAST_BYTES = 32 << 20
+_ENTRY_BYTES = 64
+
+
 def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf`` over whole texts; a text without words keeps a null term.
+    """``key, terms, tf``: the distinct words of each whole text with their counts.
 
-    A text's words are counted in the task that reads it before they are shuffled.
+    A text stands in one row, so its words are counted there and nothing is shuffled.
     """
-    found = texts.select(key, F.explode_outer(words(F.col(text))).alias("_word"))
-    return (
-        found.select(key, F.when(F.col("_word") != "", F.col("_word")).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
+    found = texts.select(key, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
+    schema = StructType(
+        [
+            StructField(key, texts.schema[key].dataType),
+            StructField("terms", ArrayType(StringType())),
+            StructField("tf", ArrayType(LongType())),
+        ]
     )
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = [Counter(filter(None, w)) for w in batch["_words"]]
+            yield pd.DataFrame(
+                {key: batch[key], "terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]}
+            )
+
+    return found.mapInPandas(count, schema)
+
 
 def term_frequencies(corpus_counts: DataFrame, query_counts: DataFrame) -> DataFrame:
-    """``term, in_docs, asked``: documents per word of the corpus, and is it in a query?"""
-    asked = query_counts.select("term").distinct().withColumn("_asked", F.lit(True))
+    """``term, term_id, in_docs, asked``: documents per word of the corpus, and is it in a query?
+
+    ``term_id`` numbers the words; stage the table, so that the numbers stay.
+    """
+    asked = query_counts.select(F.explode("terms").alias("term")).distinct().withColumn("_asked", F.lit(True))
     return (
-        corpus_counts.where(F.col("term").isNotNull())
+        corpus_counts.select(F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("in_docs"))
         .join(asked, "term", "left")
-        .select("term", "in_docs", F.coalesce("_asked", F.lit(False)).alias("asked"))
-    )
+        .select(
+            "term", F.monotonically_increasing_id().alias("term_id"), "in_docs",
+            F.coalesce("_asked", F.lit(False)).alias("asked"),
+        )
+    )
 
 
 def tf_idf_vectors(counts: DataFrame, frequencies: DataFrame, corpus_size: int, key: str) -> DataFrame:
     """``key, terms, weights, norm`` with weight tf * ln((n + 1) / (in_docs + 1)).
 
-    The norm is over all words. Listed are only the words that both a query and
-    a document have, since no other can add to a product. Words meet their
-    frequency in an equi-join; a word that is in most texts makes a skewed key,
-    which adaptive execution splits.
+    The norm is over all words. Listed, by number, are only the words that both a query
+    and a document have, since no other can add to a product. The word table is measured:
+    up to BROADCAST_BYTES it goes to the texts; beyond that, words meet it in an
+    equi-join, where adaptive execution splits a word that is in most texts.
     """
+    size = frequencies.agg(F.sum(F.octet_length("term") + _ENTRY_BYTES)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return _vectors_in_place(counts, frequencies, corpus_size, key)
     idf = F.log((F.lit(corpus_size) + 1) / (F.coalesce("in_docs", F.lit(0)) + 1))
+    listed = counts.select(key, F.explode_outer(F.arrays_zip("terms", "tf")).alias("_at"))
+    listed = listed.select(key, F.col("_at.terms").alias("term"), F.col("_at.tf").alias("tf"))
     weight = F.when(F.col("term").isNotNull(), F.col("tf") * idf)
-    weighted = counts.join(frequencies, "term", "left").withColumn("_w", weight)
-    shared = F.when(F.col("asked"), F.struct("term", F.col("_w").alias("w")))
+    weighted = listed.join(frequencies, "term", "left").withColumn("_w", weight)
+    shared = F.when(F.col("asked"), F.struct("term_id", F.col("_w").alias("w")))
     return (
         weighted.groupBy(key)
         .agg(
             F.collect_list(shared).alias("_shared"),
             F.sqrt(F.coalesce(F.sum(F.col("_w") * F.col("_w")), F.lit(0.0))).alias("norm"),
         )
-        .select(key, F.col("_shared.term").alias("terms"), F.col("_shared.w").alias("weights"), "norm")
+        .select(key, F.col("_shared.term_id").alias("terms"), F.col("_shared.w").alias("weights"), "norm")
+    )
+
+
+def _vectors_in_place(counts: DataFrame, frequencies: DataFrame, corpus_size: int, key: str) -> DataFrame:
+    """The same with the word table at hand in every task: no shuffle."""
+    table = frequencies.toArrow().to_pydict()
+    shared = counts.sparkSession.sparkContext.broadcast(
+        {t: (k if asked else -1, n) for t, k, n, asked in zip(*[table[c] for c in ("term", "term_id", "in_docs", "asked")])}
     )
+    schema = StructType(
+        [
+            StructField(key, counts.schema[key].dataType),
+            StructField("terms", ArrayType(LongType())),
+            StructField("weights", ArrayType(DoubleType())),
+            StructField("norm", DoubleType()),
+        ]
+    )
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, unknown = shared.value, (-1, 0)
+        for batch in batches:
+            rows = []
+            for terms, tf in zip(batch["terms"], batch["tf"]):
+                found = np.array([known.get(t, unknown) for t in terms], dtype=np.int64).reshape(-1, 2)
+                weights = np.asarray(tf, dtype=float) * np.log((corpus_size + 1) / (found[:, 1] + 1))
+                listed = found[:, 0] >= 0
+                rows.append((found[listed, 0], weights[listed], float(np.sqrt((weights * weights).sum()))))
+            made = pd.DataFrame(rows, columns=["terms", "weights", "norm"])
+            made.insert(0, key, batch[key].to_numpy())
+            yield made
+
+    return counts.mapInPandas(weigh, schema)
 
 
 def encode(

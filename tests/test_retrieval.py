@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapgrid.functions.text import FLAG_PHRASES, flag_text, words
-from snapgrid.operators import similarity, vectors
+from snapgrid.operators import blocks, similarity, vectors
 from snapgrid.plans import recommend, views
 from snapgrid.sources import schemas
+from tests.conftest import plan_of
 
 CORPUS = [
     (1, "Marked Crosswalks", "pedestrian crossing"),
@@ -85,8 +86,9 @@ def brute_tf_idf(queries, docs):
     return table
 
 
-@pytest.mark.parametrize("block_rows", [3, 4096])
-def test_word_vectors_equal_brute_force(spark, monkeypatch, block_rows):
+@pytest.mark.parametrize("block_rows, table_bytes", [(3, 32 << 20), (4096, 0), (4096, 32 << 20)])
+def test_word_vectors_equal_brute_force(spark, monkeypatch, block_rows, table_bytes):
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", table_bytes)
     rng = np.random.default_rng(1)
     lexicon = ["signal", "Turn", "ÉCOLE", "straße", "x1", "lane", "the", "zebra", "red", "stop"]
     docs = [" ".join(rng.choice(lexicon[:8], rng.integers(0, 9))) for _ in range(20)]
@@ -107,11 +109,32 @@ def test_whole_text_is_used(spark):
     df = spark.createDataFrame([(text,)], "t string").select(words(F.col("t")).alias("w"))
     assert df.select(F.size("w"), F.element_at("w", -1)).first()[:] == (50_001, "last")
     both = spark.createDataFrame([(1, f" {text}!"), (2, "--"), (3, None)], "id bigint, t string")
-    counts = {(r.id, r.term): r.tf for r in vectors.term_counts(both, "id", "t").collect() if r.term}
+    counts = {(r.id, t): n for r in vectors.term_counts(both, "id", "t").collect() for t, n in zip(r.terms, r.tf)}
     assert counts == {(1, "a"): 50_000, (1, "last"): 1}
     assert {r.id for r in vectors.term_counts(both, "id", "t").collect()} == {1, 2, 3}
 
 
+def test_long_texts_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 30_000, 20_000)) for _ in range(12)]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, text string")
+    d = spark.createDataFrame(list(enumerate(texts[::-1])), "doc_id bigint, text string")
+    for held in (2_000_000, 0):
+        monkeypatch.setattr(blocks, "BROADCAST_VALUES", held)
+        monkeypatch.setattr(blocks, "BLOCK_VALUES", 50_000)
+        best = {r.query_id: r.doc_id for r in recommend.rank_documents(q, d, 1).collect()}
+        assert best == {k: 11 - k for k in range(12)}
+
+
+def test_pair_of_blocks_has_a_task_to_itself(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BROADCAST_VALUES", 0)
+    rng = np.random.default_rng(0)
+    q, d = (dense(spark, rng.normal(size=(n, 4)), c) for n, c in ((40, "q"), (60, "d")))
+    ranked = similarity.top_k_dense(q, d, "q", "d", "vector", "vector", 3, 16)
+    plan = plan_of(ranked)
+    assert plan.count("REPARTITION_BY_NUM") <= 2 and ranked.count() == 120
+
+
 def test_encoder_runs_in_batches(spark):
     def load():
         def to_vectors(texts):
