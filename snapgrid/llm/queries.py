@@ -120,3 +120,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= quality.GOOD).cast("int").alias("predicted"),
     )
+
+
+def _url_oracle() -> str:
+    host = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    return f"""WITH page AS (SELECT row_number() OVER () AS k, page_id, {host} AS host, {path} AS path FROM pages),
+      rules(verdict, h, p) AS (VALUES {rules}),
+      fits AS (SELECT k, h || p AS rule, verdict, row_number() OVER (PARTITION BY k ORDER BY length(h || p) DESC, length(h) DESC) AS rk
+        FROM page JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+      SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+      FROM page LEFT JOIN (SELECT * FROM fits WHERE rk = 1) USING (k)"""
+
+
+ORACLES["op4_url_filters"] = _url_oracle()
