@@ -9,7 +9,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapgrid.llm.common import slices
@@ -17,8 +18,8 @@ from snapgrid.llm.common import slices
 SPACE = "▁"
 #: Model files above this size are not shipped to the tasks.
 MAX_MODEL_BYTES = 64 << 20
-#: Chunks remembered by a task, and the longest chunk that is.
-CHUNKS, CHUNK_LENGTH = 600_000, 64
+#: Chunks that a worker process remembers (about 230 bytes each), pairs of pieces, and the longest such chunk.
+CHUNKS, PAIRS, CHUNK_LENGTH = 500_000, 500_000, 64
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNIGRAM, _BPE = 1, 2
 
@@ -64,7 +65,9 @@ class Transducer:
         apart = not re.search(f"[^{SPACE}\n]{SPACE}", joined)
         #: Stretches that no piece reaches across; the whole text where pieces may hold spaces.
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + ("|\\n" if alone else "") if apart else "(?s:.+)")
+        # What was met lately, and before that: common chunks move on when the older ones go.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces = [p.piece for p in spec.pieces]
         #: The pieces letter by letter, each with its id; of a merge model those that merging makes.
@@ -98,7 +101,7 @@ class Transducer:
 
     def stands(self, a: int, b: int) -> bool:
         """Whether the piece ``b`` after the piece ``a`` has weight 0."""
-        if len(self.pairs) > 4_000_000:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         one, other = self.pieces[a], self.pieces[b]
         got = self.pairs[a << 20 | b] = self.merged(one + other) == [one, other]
@@ -178,10 +181,12 @@ class Transducer:
 
     def coded(self, chunk: str) -> bytes:
         """Ids of a chunk. No piece reaches across two letters that stand together in none, so it is cut there."""
+        if found := self.known.get(chunk) or self.older.get(chunk):
+            return self.keep(chunk, found)
         joins = self.joins
         cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in joins]
         parts = [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
-        found = b"".join([self.known.get(p) or self.read(p) for p in parts]) if cuts else self.read(chunk)
+        found = b"".join([self.known.get(p) or self.older.get(p) or self.read(p) for p in parts]) if cuts else self.read(chunk)
         return self.keep(chunk, found)
 
     def read(self, chunk: str) -> bytes:
@@ -189,8 +194,8 @@ class Transducer:
 
     def keep(self, chunk: str, found: bytes) -> bytes:
         if len(chunk) <= CHUNK_LENGTH:
-            if len(self.known) >= CHUNKS:
-                self.known.clear()
+            if len(self.known) >= CHUNKS // 2:
+                self.known, self.older = {}, self.known
             self.known[chunk] = found
         return found
 
@@ -215,6 +220,18 @@ def load_model(path: str) -> bytes:
     return model
 
 
+_BROADCAST: dict[tuple[str, bytes], Broadcast] = {}
+
+
+def _shared(spark: SparkSession, model: bytes) -> Broadcast:
+    """One broadcast of a model for the whole application, so that a worker holds one transducer."""
+    key = (spark.sparkContext.applicationId, hashlib.sha256(model).digest())
+    if key not in _BROADCAST:
+        _BROADCAST.clear()
+        _BROADCAST[key] = spark.sparkContext.broadcast({"model": model})
+    return _BROADCAST[key]
+
+
 def _machine(held: dict) -> Transducer:
     """The transducer of a broadcast model; a worker process compiles it once and keeps what it has read."""
     if "machine" not in held:
@@ -230,7 +247,7 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), t
     ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 (of the text
     decoded from them, UTF-8) and round_trip (whether that is the text).
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"model": model})
+    shared = _shared(docs.sparkSession, model)
     slim = docs.select(F.col(text).alias("text"), *keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:]]
     fields += ["ids array<int>", "n_tokens long"]
@@ -264,7 +281,7 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), t
 
 def decode(coded: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
     """``keep`` and text of every row; null ids read as an empty text."""
-    shared = coded.sparkSession.sparkContext.broadcast({"model": model})
+    shared = _shared(coded.sparkSession, model)
     slim = coded.select(F.col(ids).alias("ids"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
 
