@@ -127,7 +127,7 @@ def label_causes(
     return kept.join(named, cause, "left").withColumn(label, F.coalesce(label, F.lit(OTHER)))
 
 
-# Node sums and the crash column that each adds up.
+# Node sums and the crash column that each adds up.
 _SUMS = {
     "total_injured": _INJURED,
     "total_killed": _KILLED,

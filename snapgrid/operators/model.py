@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
@@ -17,6 +18,7 @@ from snapgrid.session import stage_table
 
 # Fixed value: share of rows held out.
 HOLD_OUT = 0.2
+ROWS_A_PARTITION = 50_000
 
 
 @dataclass(frozen=True)
@@ -123,8 +125,10 @@ def fit_cause_model(labelled: DataFrame, labels: list[str], settings: TreeSettin
     """Fit on rows with ``label``; rare classes weigh more (see ``class_weights``)."""
     stats = scaling(labelled, settings.features)
     weighted = with_class_weight(scaled(labelled, stats), "label").select("label", "weight", *settings.features)
-    # Every tree reads the rows again: they are written once, and held while the model grows.
-    rows = stage_table(weighted, "model_rows").cache()
+    # Every tree reads the rows again, a job for each level: they are written once, in no
+    # more partitions than their number asks for, and held while the model grows.
+    parts = max(1, ceil(labelled.count() / ROWS_A_PARTITION))
+    rows = stage_table(weighted.coalesce(parts), "model_rows").cache()
     try:
         return CauseModel(cause_pipeline(settings, len(labels)).fit(rows), labels, stats)
     finally:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from snapgrid.functions.text import FLAG_PHRASES
+
 CRASH_PAGE = """
 collision_id string, crash_date string, crash_time string, latitude string, longitude string,
 number_of_persons_injured string, number_of_persons_killed string,
@@ -27,12 +29,7 @@ NODEID bigint, crash_count bigint, total_killed double, total_injured double,
 severity_score double, severity_score_norm double, intersection_name string,
 latitude double, longitude double
 """
-FLAGS = """
-Has_Enhanced_Crossing int, Has_Leading_Pedestrian_Signal int, Has_Turn_Traffic_Calming int,
-Has_SIP int, Has_Exclusive_Pedestrian_Signal int, Has_Accessible_Pedestrian_Signal int,
-Is_Protected_Intersection int, Has_Pedestrian_Ramp int, Has_Bus_Lane int, Has_Speed_Hump int,
-Is_Speed_Reduced int, Is_Bike_Route int, Has_Bad_Pavement int
-"""
+FLAGS = ", ".join(f"{flag} int" for flag in FLAG_PHRASES)
 FLAGGED = f"{RANKINGS}, {FLAGS}"
 PREDICTIONS = """
 NODEID bigint, predicted_cause string, actual_cause string, ranked_node bigint,
