@@ -32,7 +32,8 @@ IDENTIFIERS = (
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx ................ ================ "
     "---------------- ________________ return import function class public static string self.request.response.headers"
 ).encode()
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Code points before a candidate in which a sensitive word must stand, and around it that prime the compressor.
 CONTEXT, SURROUNDING = 48, 1_024
 #: Marginal compressed bytes for each character from which a candidate is reported.
@@ -48,6 +49,29 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return size(candidate.encode()) - size(b"")
 
 
+def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """SURROUNDING code points on either side, without what they share with the string itself.
+
+    A secret that stands twice would otherwise be known from its own copy. Stretches of
+    LEAST and more characters that also stand in the string are left out, also where the
+    copy is part of a longer string or reaches over the edge of the surroundings.
+    """
+    own = {text[k : k + LEAST] for k in range(start, end - LEAST + 1)}
+
+    def without(a: int, b: int) -> str:
+        out, done = [], a
+        low = max(0, a - LEAST + 1) if b <= start else end
+        high = min(len(text), b + LEAST - 1) if a >= end else start
+        for m in CANDIDATE.finditer(text, low, high):
+            for k in range(m.start(), m.end() - LEAST + 1):
+                if text[k : k + LEAST] in own:
+                    out.append(text[done : max(done, min(k, b))])
+                    done = max(done, min(k + LEAST, b))
+        return " ".join([x for x in out if x] + [text[done:b]])
+
+    return without(max(0, start - SURROUNDING), start), without(end, min(len(text), end + SURROUNDING))
+
+
 def is_novel(text: str, start: int, end: int) -> bool:
     """Whether the string at ``start`` has a sensitive word before it and does not compress."""
     candidate = text[start:end]
@@ -56,8 +80,7 @@ def is_novel(text: str, start: int, end: int) -> bool:
     near = text[max(0, start - CONTEXT) : start].lower()
     if not any(word in near for word in SENSITIVE):
         return False
-    before, after = text[max(0, start - SURROUNDING) : start], text[end : end + SURROUNDING]
-    return marginal_bytes(candidate, before, after) >= NOVELTY * len(candidate)
+    return marginal_bytes(candidate, *surroundings(text, start, end)) >= NOVELTY * len(candidate)
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:

@@ -147,6 +147,27 @@ def test_incompressible_strings_are_secrets_where_the_context_says_so():
     assert secrets.marginal_bytes(key, f"x {key} y", "") < secrets.marginal_bytes(key, "x y", "") / 2
 
 
+def test_a_secret_that_stands_twice_is_not_known_from_its_copy():
+    for key in ("q7Zp0LxR2vTn8KwY", "q7Zp0LxR2vTn8KwYs4Bd", "hJ3xQ9vLpT7mWc2RbN8kZs5YfD1gUa6EoK4iXtHq"):
+        n = len(key)
+        for gap in (0, 20, 900, 1_024 - n // 2, 1_024, 1_034, 3_000):
+            text = f"Bearer {key} {'so ' * (gap // 3)} private key {key} end"
+            again = text.rindex(key)
+            assert secrets.find_spans(text) == [("novel", 7, 7 + n), ("novel", again, again + n)]
+            assert key not in secrets.redacted(text)
+        # A copy may be part of a longer string, on either side or in both places.
+        for other in (f"kid={key}", f"{key}/v1", f"id_{key}-9"):
+            for text in (f"Bearer {key} and private key {other} end", f"private key {other} and auth with {key}"):
+                assert len(secrets.find_spans(text)) == 2 and key not in secrets.redacted(text)
+        text = f"auth kid={key} and private id_{key} end"
+        assert len(secrets.find_spans(text)) == 2 and key not in secrets.redacted(text)
+        text = f"auth {key}\n" * 40
+        assert len(secrets.find_spans(text)) == 40
+    # Other code still counts, and so does what a string repeats of itself.
+    assert secrets.find_spans("auth0 " + "x1y2" * 9 + " key " + "x1y2" * 9) == []
+    assert secrets.surroundings("ab " + "x1" * 9 + " cd", 3, 21) == ("ab ", " cd")
+
+
 @pytest.fixture(scope="module")
 def model():
     path = "/opt/tokenizers/piece_bpe_32k.model"
