@@ -49,6 +49,11 @@ def remainder(doc_id: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % divisor
 
 
+def one_text(df: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and text, one row for each key: the text with the least hash. Combined on the map side."""
+    return df.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, at_most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``at_most`` bytes of text, or one row."""
     for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapgrid.llm.common import slices
+from snapgrid.llm.common import one_text, slices
 
 #: Documented bounds: labelled rows of each class (by hash of the id), preference pairs.
 ROWS_A_CLASS, PAIRS = 5_000, 200_000
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     """Learn scores from pairs of a good and a bad document among the ``usable`` labels.
 
     ``usable`` is a condition on doc_id. At most ROWS_A_CLASS rows of each class, taken by a hash of the
-    id, give at most PAIRS pairs. The threshold is the quantile of the scores that has
+    id, give at most PAIRS pairs; an id that repeats in ``docs`` gives one text. The threshold is the quantile of the scores that has
     the labels' share of bad rows below it. None if a class is missing.
     """
     marked = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -133,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
             rows = [features(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    # Ids may repeat in docs; the bound holds for rows too.
-    sample = docs.select("doc_id", "text").where(F.col("doc_id").isin(ids)).limit(4 * ROWS_A_CLASS)
+    # Ids may repeat in docs, without bound: each gives one text.
+    sample = one_text(docs.select("doc_id", "text").where(F.col("doc_id").isin(ids)), "doc_id")
     kind = sample.schema["doc_id"].dataType.simpleString()
     found = sample.mapInArrow(measure, f"doc_id {kind}, x array<double>").toArrow().sort_by("doc_id")
     if not found.num_rows:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapgrid.llm.common import fresh, slices
+from snapgrid.llm.common import fresh, one_text, slices
 from snapgrid.session import stage_table
 
 #: Documented bounds of the training sample; everything else covers all rows.
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     """Fit on confirmed positives and unlabelled text among the ``usable`` rows.
 
     ``usable`` is a condition on doc_id. At most POSITIVES labelled rows (by hash of the
-    id) and about UNLABELLED documents (a hash range) are used; the class prior comes from all usable
+    id) and about UNLABELLED documents (a hash range) are used, one text of each id; the class prior comes from all usable
     labels. Without a positive, every score is zero. Null texts and ids are allowed.
     """
     marked = labels.where(usable).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -106,17 +106,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     )
     ids = [r.doc_id for r in picked.collect()]
     slim = docs.select("doc_id", "text").where(usable)
-    total = slim.select("doc_id").count()
+    # Ids may repeat in docs, without bound: each gives one text. Rows without an id are told apart by their texts.
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(7))).otherwise(F.xxhash64("doc_id", F.lit(7)))
+    slim = slim.withColumn("drawn", drawn)
+    total = slim.agg(F.approx_count_distinct("drawn", 0.01)).first()[0]
     share = min(1.0, UNLABELLED / max(total, 1))
-    chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7)), F.lit(1_000_000))
+    marks = {
+        "positive": F.coalesce(F.col("doc_id").isin(ids), F.lit(False)),
+        "unlabelled": F.pmod("drawn", F.lit(1_000_000)) < round(share * 1_000_000),
+    }
     sample = stage_table(
-        slim.select(
-            "text",
-            F.coalesce(F.col("doc_id").isin(ids), F.lit(False)).alias("positive"),
-            (chance < round(share * 1_000_000)).alias("unlabelled"),
-        )
-        .where("positive OR unlabelled")
-        .limit(2 * (POSITIVES + UNLABELLED)),
+        one_text(slim.withColumns(marks).where("positive OR unlabelled"), "doc_id", "drawn", *marks).select("text", *marks),
         "toxicity-sample",
     )
 

@@ -82,6 +82,26 @@ def test_labels_held_out_change_no_score(spark, corpora):
     assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
 
 
+@pytest.mark.parametrize("hot", [1, 7, 6, None])
+def test_copies_of_one_id_do_not_fill_the_training_rows(spark, corpora, monkeypatch, hot):
+    # Good, toxic (positive), unlabelled or without an id: as many rows as all limits together, and first in the table.
+    monkeypatch.setattr(quality, "ROWS_A_CLASS", 150)
+    monkeypatch.setattr(toxicity, "POSITIVES", 60)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 600)
+    folder, rows = corpora
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("doc_id IS NOT NULL AND doc_id < 5000").dropDuplicates(["doc_id"])
+    one = docs.where(F.col("doc_id") == (hot or 1)).withColumn("doc_id", F.lit(hot).cast("long"))
+    docs = docs.where(~F.col("doc_id").eqNullSafe(F.lit(hot)))
+    many = one.crossJoin(spark.range(0, 5_000, 1, 1)).drop("id").select(docs.columns).unionByName(docs).coalesce(1)
+    once = one.unionByName(docs)
+    a, b = (quality.train(x, labels, F.lit(True)) for x in (once, many))
+    assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
+    a, b = (toxicity.train(x, labels, F.lit(True)) for x in (once, many))
+    assert a == b and len(a.weights) > 2
+    assert a.score("word1 grubbish wormish") >= 0.7 > a.score("word1 word2")
+
+
 def test_without_labels_or_rows(spark, corpora):
     folder, _ = corpora
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
