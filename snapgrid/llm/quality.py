@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.llm.common import one_text, slices
+from snapgrid.operators.summary import exact_quantiles
+from snapgrid.session import stage_table
 
 #: Documented bounds: labelled rows of each class (by hash of the id), preference pairs.
 ROWS_A_CLASS, PAIRS = 5_000, 200_000
@@ -84,7 +87,8 @@ class Model:
     spread: float
 
     def raw(self, rows: np.ndarray) -> np.ndarray:
-        return _indicators(rows, self.cuts) @ self.weights
+        # To nine digits: the order in which a sum was added decides nothing.
+        return np.round(_indicators(rows, self.cuts) @ self.weights, 9)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """0 to 1; GOOD at the threshold."""
@@ -109,11 +113,34 @@ def fit_pairs(x: np.ndarray, better: np.ndarray, worse: np.ndarray, steps: int =
     return w
 
 
+def _threshold(docs: DataFrame, marked: DataFrame, model: Model, poor: float) -> float:
+    """Between the raw scores of all ``marked`` documents that have a share ``poor`` of them below it.
+
+    Each id counts once, by the text with the least hash. Texts are not shuffled.
+    """
+    slim = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            made = model.raw(np.array([features(t) for t in texts])) if texts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(made)], ["doc_id", "h", "raw"])
+
+    scored = slim.withColumn("h", F.xxhash64("text")).mapInArrow(add, f"doc_id {kind}, h long, raw double")
+    once = scored.groupBy("doc_id").agg(F.min_by("raw", F.struct("h", "raw")).alias("raw"))
+    once = stage_table(once.join(marked.select("doc_id"), "doc_id", "left_semi").select("raw"), "quality-raw")
+    n = once.count()
+    k = max(0, min(math.ceil(round(poor * n, 6)) - 1, n - 2))
+    # Scores have nine digits, and the middle of two of them has ten.
+    return round(float(np.mean(exact_quantiles(once, "raw", [i / max(n - 1, 1) for i in (k, min(k + 1, n - 1))]))), 10)
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> Model | None:
     """Learn scores from pairs of a good and a bad document among the ``usable`` labels.
 
     ``usable`` is a condition on doc_id. At most ROWS_A_CLASS rows of each class, taken by a hash of the
-    id, give at most PAIRS pairs; an id that repeats in ``docs`` gives one text. The threshold is the quantile of the scores that has
+    id, give at most PAIRS pairs; an id that repeats in ``docs`` gives one text. The threshold is the quantile of the scores of all usable documents that has
     the labels' share of bad rows below it. None if a class is missing.
     """
     marked = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -150,13 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     worse = rng.choice(np.flatnonzero(~is_good), PAIRS)
     w = fit_pairs(x, better, worse)
     raw = x @ w
-    # Both classes were sampled: each row stands for as many as its class has to a sampled row.
-    weight = np.where(is_good, sizes[True] / is_good.sum(), sizes[False] / (~is_good).sum())
-    order = np.argsort(raw, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    k = min(int(np.searchsorted(below, sizes[False] / (sizes[True] + sizes[False]), side="left")), len(order) - 2)
-    threshold = float((raw[order[k]] + raw[order[k + 1]]) / 2)
-    return Model(cuts, w, threshold, float(raw.std()) / 2 or 1.0)
+    model = Model(cuts, w, 0.0, float(raw.std()) / 2 or 1.0)
+    return replace(model, threshold=_threshold(docs.where(usable), marked, model, sizes[False] / (sizes[True] + sizes[False])))
 
 
 def with_scores(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -102,6 +102,18 @@ def test_copies_of_one_id_do_not_fill_the_training_rows(spark, corpora, monkeypa
     assert a.score("word1 grubbish wormish") >= 0.7 > a.score("word1 word2")
 
 
+def test_quality_cut_covers_all_usable_documents(spark, corpora, monkeypatch):
+    monkeypatch.setattr(quality, "ROWS_A_CLASS", 15)
+    folder, rows = corpora
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels, F.lit(True))
+    used = {r.doc_id: r.quality for r in labels.where("doc_id < 5000 AND quality IS NOT NULL").collect()}
+    raw = np.sort(model.raw(np.array([quality.features(t) for k, t, _, _ in rows if k in used])))
+    counted = [r.quality for r in labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").collect()]
+    k = int(np.ceil(len(raw) * counted.count(0) / len(counted) - 1e-6)) - 1
+    assert abs(model.threshold - (raw[k] + raw[k + 1]) / 2) < 1e-8
+
+
 def test_without_labels_or_rows(spark, corpora):
     folder, _ = corpora
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
