@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgrid.llm import embeddings, fingerprints, mixing, quality, secrets, sentencepiece, sharding, simhash, toxicity, urls
+from snapgrid.llm import embeddings, fingerprints, lexical, mixing, quality, secrets, sentencepiece, sharding, simhash, toxicity, urls
 from snapgrid.llm.common import read_table, remainder
 
 #: A public model file that every machine has; its path is a parameter of the operator.
@@ -122,6 +122,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
 def _url_oracle() -> str:
     host = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
@@ -135,3 +140,21 @@ def _url_oracle() -> str:
 
 
 ORACLES["op4_url_filters"] = _url_oracle()
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLES["op12_lexical"] = rf"""
+    WITH held AS (SELECT row_number() OVER () AS k, doc_id,
+        regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+      doc AS (SELECT k, doc_id, t, len(t) AS n FROM held WHERE len(t) > 0),
+      total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM doc),
+      tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM doc) GROUP BY k, term),
+      weighed AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+      asked AS (SELECT DISTINCT q, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS q, item_id,
+        regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark WHERE text IS NOT NULL)),
+      sized AS (SELECT k, doc_id, 50 + (50 * n * docs) // terms AS m FROM doc, total),
+      scored AS (SELECT q, item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+        FROM asked JOIN tf USING (term) JOIN weighed USING (term) JOIN sized USING (k) GROUP BY q, item_id, k, doc_id)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50"""
