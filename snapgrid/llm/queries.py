@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgrid.llm import embeddings, fingerprints, lexical, mixing, quality, secrets, sentencepiece, sharding, simhash, toxicity, urls
+from snapgrid.llm import embeddings, fingerprints, lexical, mixing, prefix_trie, quality, secrets, sentencepiece, sharding, simhash, toxicity, urls
 from snapgrid.llm.common import read_table, remainder
 
 #: A public model file that every machine has; its path is a parameter of the operator.
@@ -122,6 +122,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(read_table(spark, sf_dir, "conversations"))
+    rebuilt, convs = prefix_trie.with_openings(turns, group=20, openings=4)
+    return prefix_trie.nodes(rebuilt, convs)
+
+
 @query
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
@@ -158,3 +165,29 @@ ORACLES["op12_lexical"] = rf"""
         FROM asked JOIN tf USING (term) JOIN weighed USING (term) JOIN sized USING (k) GROUP BY q, item_id, k, doc_id)
     SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50"""
+
+# One byte after the other through the eight shifts of the CRC-32 polynomial.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1),
+    i -> ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    (c, b) -> list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+ORACLES["op11_prefix_trie"] = rf"""
+    WITH turns AS (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM (
+        SELECT conv_id, turn, md5(length(r) || ':' || r || t) AS key, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL))),
+      convs AS (SELECT conv_id AS c, conv_id - conv_id % 20 AS b, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+      rebuilt AS (SELECT c, pos, key, words FROM convs JOIN turns ON conv_id = b AND pos < h
+        UNION ALL SELECT c, pos, key, words FROM convs JOIN turns ON conv_id = c AND pos >= h),
+      seqs AS (SELECT c, coalesce(s, []) AS s, coalesce(w, []) AS w FROM convs LEFT JOIN
+        (SELECT c, list(key ORDER BY pos) AS s, list(words ORDER BY pos) AS w FROM rebuilt GROUP BY c) USING (c)),
+      paths AS (SELECT c, s, w, unnest(range(0, len(s) + 1)) AS d FROM seqs),
+      node AS (SELECT s[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs,
+          (count(*) - 1) * coalesce(CAST(max(w[d]) AS BIGINT), 0) AS saved,
+          sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(s) = d), '')) AS ends_sha256
+        FROM paths GROUP BY s[1:d], d),
+      kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY p[1:d - 1]),
+      own AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kids USING (p)),
+      sums AS (SELECT p[1:a] AS p, CAST(sum(CAST(n_children = 0 AS INTEGER)) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+        FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM own) GROUP BY p[1:a])
+    SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+    FROM own JOIN sums USING (p) LEFT JOIN node AS up ON own.d > 0 AND up.d = own.d - 1 AND up.p = own.p[1:own.d - 1]"""
