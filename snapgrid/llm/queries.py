@@ -168,8 +168,8 @@ ORACLES["op12_lexical"] = rf"""
 
 # One byte after the other through the eight shifts of the CRC-32 polynomial.
 _CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv_id::VARCHAR) + 1),
-    i -> ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
-    (c, b) -> list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))))"""
+    lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 ORACLES["op11_prefix_trie"] = rf"""
     WITH turns AS (SELECT conv_id, key, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM (
