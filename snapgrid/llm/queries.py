@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgrid.llm import embeddings, fingerprints, lexical, mixing, prefix_trie, quality, secrets, sentencepiece, sharding, simhash, toxicity, urls
+from snapgrid.llm import embeddings, fingerprints, lexical, mixing, pii, prefix_trie, quality, secrets, sentencepiece, sharding, simhash, toxicity, urls
 from snapgrid.llm.common import read_table, remainder
 
 #: A public model file that every machine has; its path is a parameter of the operator.
@@ -134,6 +134,21 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
 
 
+@query
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find_private(docs, pii.disclosing_terms(docs))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.BASE],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+        *[count(k) for k in (pii.GENERALISE, pii.REMOVE)],
+    )
+
+
 def _url_oracle() -> str:
     host = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
