@@ -274,6 +274,9 @@ ORACLES: dict[str, str] = {
     "q_clean_rows": CLEAN,
     "q_csv_round_trip": CLEAN,
     "q_stream_ingest": CLEAN,
+    "q_stream_dedup": CLEAN,
+    "q_stream_rank": f"""WITH {BASE}, {RANKED} SELECT nodeid, crash_count, total_killed, total_injured,
+      {SCORES}, round(severity_score_norm, 4) AS severity_score_norm FROM ranked""",
     "q_csv_typed": """SELECT o_orderkey, o_custkey, o_orderpriority, round(o_totalprice, 4) AS o_totalprice FROM orders""",
     "q_layer_read": f"""WITH {BASE} SELECT nodeid, latitude, longitude, node_to, street
       FROM node JOIN edge ON node_from = nodeid""",

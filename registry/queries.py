@@ -23,7 +23,8 @@ from snapgrid.plans.flags import flag_table
 from snapgrid.session import stage_root, stage_table
 from snapgrid.sources import layers as layer_sources
 from snapgrid.sources import readers, schemas
-from snapgrid.streaming.ingest import ingest_pages
+from snapgrid.streaming import sums
+from snapgrid.streaming.ingest import ingest_distinct, ingest_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -371,6 +372,47 @@ def stream_ingest(spark, sf_dir):
     return _tidy(spark.read.parquet(sink))
 
 
+@query
+def stream_dedup(spark, sf_dir):
+    """A third of the rows lands again in later pages; each record is appended once."""
+    pages, sink, state = (_scratch(spark, f"dedup_{part}") for part in ("pages", "sink", "state"))
+    landed = clean.normalise_headers(_dirty(spark, sf_dir))
+    landed.write.json(pages)
+    landed.where(F.crc32("collision_id") % 3 == 0).write.mode("append").json(pages)
+    ingest_distinct(spark, pages, sink, state, pages_per_batch=2).awaitTermination()
+    return _tidy(spark.read.parquet(sink))
+
+
+@query
+def stream_rank(spark, sf_dir):
+    """The ranking from sums that followed the pages: rows land wrong, land again, and land corrected."""
+    pages, root = _scratch(spark, "sums_pages"), _scratch(spark, "sums")
+    crashes = v.crashes(spark, sf_dir).select(
+        "collision_id", F.date_format("crash_date", "yyyy-MM-dd'T'HH:mm:ss").alias("crash_date"), "latitude", "longitude",
+        "number_of_persons_injured", "number_of_persons_killed",
+    )
+    text = [F.col(c).cast("string").alias(c) for c in crashes.columns]
+    wrong = F.col("collision_id") % 5 == 0
+    first = crashes.withColumns(
+        {
+            "latitude": F.when(wrong, F.lit(40.5) + F.col("collision_id") % 40 / F.lit(100.0)).otherwise(F.col("latitude")),
+            "number_of_persons_injured": F.when(wrong, F.lit(7.0)).otherwise(F.col("number_of_persons_injured")),
+        }
+    )
+    # Records that should not be there, and whose correction takes them out.
+    void = crashes.where(F.col("collision_id") % 7 == 0).withColumn("collision_id", F.col("collision_id") + 10**12)
+    first.unionByName(void).select(*text).write.json(pages)
+    first.where(F.col("collision_id") % 3 == 0).select(*text).write.mode("append").json(pages)
+    nodes = v.nodes(spark, sf_dir)
+    sums.track_sums(spark, pages, root, nodes, "2024-01-01", v.SNAP_M).awaitTermination()
+    crashes.where(wrong).unionByName(void.withColumn("latitude", F.lit(0.0))).select(*text).write.mode("append").json(pages)
+    sums.track_sums(spark, pages, root, nodes, "2024-06-01", v.SNAP_M).awaitTermination()
+    return sums.ranked_sums(spark, root, v.AS_OF).select(
+        F.col("NODEID").alias("nodeid"), "crash_count", "total_killed", "total_injured",
+        r4("severity_score"), r4("severity_score_norm"),
+    )
+
+
 @query
 def cached_table(spark, sf_dir):
     path = _scratch(spark, "cache")

@@ -1,6 +1,7 @@
 """The steps of the chain as jobs; hand this file to spark-submit.
 
-    ingest     new crash pages              -> ingested, each page once
+    ingest     new crash pages              -> ingested, each page once; each record once with --delay
+    track      new crash pages, nodes       -> sums, tracked rankings; corrections count
     rank       crash pages, nodes, edges    -> rankings, crash_to_node
     flags      rankings, layer pages        -> flags
     causes     crash pages, map, rankings   -> predictions, quality, confusion
@@ -24,7 +25,8 @@ from snapgrid.plans import causes, ranking, recommend
 from snapgrid.plans.flags import flag_table
 from snapgrid.session import drop_stage_tables, get_spark, stage_table
 from snapgrid.sources import layers, readers, schemas
-from snapgrid.streaming.ingest import ingest_pages
+from snapgrid.streaming import sums
+from snapgrid.streaming.ingest import ingest_distinct, ingest_pages
 
 
 def rank(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -94,13 +96,24 @@ def streets(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
-    ingest_pages(
-        spark, a.crashes, f"{a.out}/ingested", f"{a.out}/ingested-state", multiline=a.multiline
-    ).awaitTermination()
+    paths = (a.crashes, f"{a.out}/ingested", f"{a.out}/ingested-state")
+    if a.delay:
+        ingest_distinct(spark, *paths, delay=a.delay, multiline=a.multiline).awaitTermination()
+    else:
+        ingest_pages(spark, *paths, multiline=a.multiline).awaitTermination()
+
+
+def track(spark: SparkSession, a: argparse.Namespace) -> None:
+    nodes = readers.read_layer(spark, a.nodes, schemas.NODES)
+    sums.track_sums(spark, a.crashes, f"{a.out}/sums", nodes, a.as_of, multiline=a.multiline).awaitTermination()
+    if a.compact:
+        sums.compact(spark, f"{a.out}/sums")
+    readers.write_csv(sums.ranked_sums(spark, f"{a.out}/sums", a.as_of, a.top), f"{a.out}/tracked_rankings")
 
 
 JOBS = {
     "ingest": (ingest, ["crashes"]),
+    "track": (track, ["crashes", "nodes"]),
     "rank": (rank, ["crashes", "nodes", "edges"]),
     "flags": (flags, ["rankings", "layers"]),
     "causes": (causes_, ["crashes", "node_map", "rankings"]),
@@ -119,11 +132,15 @@ def parser() -> argparse.ArgumentParser:
         for path in inputs:
             job.add_argument("--" + path.replace("_", "-"), required=True)
         job.add_argument("--out", required=True)
-        if name in ("ingest", "rank", "flags", "causes"):
+        if name in ("ingest", "track", "rank", "flags", "causes"):
             job.add_argument("--multiline", action="store_true", help="each page is one JSON array")
         if name in ("rank", "causes"):
             job.add_argument("--refresh", action="store_true", help="do not use the cached crashes")
-        if name == "rank":
+        if name == "ingest":
+            job.add_argument("--delay", help="records that land again within this time count once, such as '7 days'")
+        if name == "track":
+            job.add_argument("--compact", action="store_true", help="fold the batches into one")
+        if name in ("rank", "track"):
             job.add_argument("--as-of", default=date.today().isoformat())
             job.add_argument("--top", type=int, default=ranking.TOP_N)
         if name == "causes":

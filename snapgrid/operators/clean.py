@@ -99,6 +99,13 @@ def within_box(
     return df.where(F.col(lat).between(*lat_range) & F.col(lon).between(*lon_range))
 
 
+def typed_crashes(raw: DataFrame) -> DataFrame:
+    """Raw crash rows under tidy headers with typed columns; all rows stay."""
+    df = ensure_columns(normalise_headers(raw), REQUIRED_COLUMNS)
+    df = coerce_numbers(df, ["latitude", "longitude"], containing=COUNT_PREFIX)
+    return df.withColumn("crash_date", to_time(F.col("crash_date")))
+
+
 def clean_crashes(
     raw: DataFrame,
     lat_range: tuple[float, float] = LAT_RANGE,
@@ -109,11 +116,8 @@ def clean_crashes(
     Only projections and filters: runs unchanged on a stream, and Spark pushes
     the filters to the scan where the source allows it.
     """
-    df = ensure_columns(normalise_headers(raw), REQUIRED_COLUMNS)
-    df = coerce_numbers(df, ["latitude", "longitude"], containing=COUNT_PREFIX)
-    df = df.dropna(subset=["latitude", "longitude"])
-    df = within_box(drop_zero_coordinates(df), lat_range=lat_range, lon_range=lon_range)
-    return df.withColumn("crash_date", to_time(F.col("crash_date")))
+    df = typed_crashes(raw).dropna(subset=["latitude", "longitude"])
+    return within_box(drop_zero_coordinates(df), lat_range=lat_range, lon_range=lon_range)
 
 
 def keyed_crashes(crashes: DataFrame, key: str = "collision_id") -> DataFrame:

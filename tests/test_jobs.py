@@ -49,6 +49,9 @@ def test_chain(spark, files):
     run("ingest", crashes=files / "crashes")
     assert spark.read.parquet(str(out / "ingested")).count() == 120
     run("rank", crashes=files / "crashes", nodes=files / "nodes", edges=files / "edges", as_of="2024-12-31")
+    run("track", crashes=files / "crashes", nodes=files / "nodes", as_of="2024-12-31")
+    tracked = readers.read_csv(spark, str(out / "tracked_rankings"))
+    assert {(r.NODEID, r.crash_count) for r in tracked.collect()} == {(str(n), "20") for n in range(6)}
     ranked = readers.read_csv(spark, str(out / "rankings"), schemas.RANKINGS)
     assert ranked.count() == 6 and {r.crash_count for r in ranked.collect()} == {20}
     assert readers.read_csv(spark, str(out / "crash_to_node"), schemas.CRASH_TO_NODE).count() == 120
