@@ -274,6 +274,17 @@ ORACLES: dict[str, str] = {
     "q_clean_rows": CLEAN,
     "q_csv_round_trip": CLEAN,
     "q_stream_ingest": CLEAN,
+    "q_layer_variant": f"""WITH spot AS (SELECT s_suppkey AS id, s_suppkey % 6 AS k, lat, lon FROM ({v.POINT_LAYER_SQL})),
+      flags(flag, takes) AS (VALUES ('Has_Pedestrian_Ramp', [0]), ('Is_Protected_Intersection', [0, 5]), ('Has_Bus_Lane', [1, 2])),
+      ways(k, flag2, n) AS (VALUES (0, 'dot', 1), (5, 'dot', 1), (5, 'dot', 2), (1, 'leg', 1), (2, 'leg', 1), (2, 'leg', 2))
+      SELECT flag, id, 'target' AS outcome, round(CASE WHEN n = 1 THEN lat ELSE lat + 0.01 END, 5) AS a_lat,
+        round(CASE WHEN n = 1 THEN lon ELSE lon + 0.01 END, 5) AS a_lon,
+        CASE WHEN flag2 = 'leg' THEN round(CASE WHEN n = 1 THEN lat + 0.01 ELSE lat END, 5) END AS b_lat,
+        CASE WHEN flag2 = 'leg' THEN round(CASE WHEN n = 1 THEN lon + 0.01 ELSE lon END, 5) END AS b_lon
+      FROM spot JOIN flags ON list_contains(takes, k) JOIN ways USING (k)
+      UNION ALL SELECT flag, CASE WHEN k <> 3 THEN id END,
+        CASE k WHEN 3 THEN 'not json' WHEN 4 THEN 'no geometry' ELSE 'wrong kind of geometry' END, NULL, NULL, NULL, NULL
+      FROM spot JOIN flags ON NOT list_contains(takes, k)""",
     "q_stream_dedup": CLEAN,
     "q_stream_rank": f"""WITH {BASE}, {RANKED} SELECT nodeid, crash_count, total_killed, total_injured,
       {SCORES}, round(severity_score_norm, 4) AS severity_score_norm FROM ranked""",

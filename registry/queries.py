@@ -22,7 +22,7 @@ from snapgrid.plans import causes, ranking, recommend, views as dashboards
 from snapgrid.plans.flags import flag_table
 from snapgrid.session import stage_root, stage_table
 from snapgrid.sources import layers as layer_sources
-from snapgrid.sources import readers, schemas
+from snapgrid.sources import readers, schemas, variants
 from snapgrid.streaming import sums
 from snapgrid.streaming.ingest import ingest_distinct, ingest_pages
 
@@ -260,6 +260,39 @@ def _landed_layers(spark, sf_dir):
     return layer_sources.read_layers(spark, root)
 
 
+@query
+def layer_variant(spark, sf_dir):
+    """Suppliers as records of six kinds, two of them broken, read by three layers: each is targets or a reject."""
+    path, s = _scratch(spark, "variants"), F.col("s_suppkey")
+    at = v.point_layer(spark, sf_dir).withColumn("p", F.array("long", "lat")).withColumn(
+        "q", F.array(F.col("long") + F.lit(0.01), F.col("lat") + F.lit(0.01))
+    )
+
+    def record(kind: str, coordinates: Column) -> Column:
+        return F.to_json(F.struct(s.alias("id"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("the_geom")))
+
+    kinds = [
+        record("Point", F.col("p")),
+        record("LineString", F.to_json(F.array("p", "q"))),
+        record("MultiLineString", F.array(F.array("p", "q"), F.array("q", "p"))),
+        F.format_string('{"the_geom": {"type": "Point", "id": %d', s),
+        F.to_json(F.struct(s.alias("id"))),
+        record("MultiPoint", F.array("p", "q")),
+    ]
+    lines = F.coalesce(*[F.when(s % len(kinds) == k, line) for k, line in enumerate(kinds)])
+    at.select(lines.alias("value")).write.text(path)
+    made = None
+    for flag in ("Has_Pedestrian_Ramp", "Is_Protected_Intersection", "Has_Bus_Lane"):
+        layer = variants.variant_layer(variants.read_variant_pages(spark, path), layer_sources.LAYERS[flag], {"id": ("$.id", "bigint")})
+        ends = [F.round(c, 5).alias(c) if c in layer.targets.columns else F.lit(None).cast("double").alias(c)
+                for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
+        hits = layer.targets.select(F.lit(flag).alias("flag"), "id", F.lit("target").alias("outcome"), *ends)
+        rest = layer.rejects.select(F.lit(flag).alias("flag"), "id", F.col("reason").alias("outcome"))
+        both = hits.unionByName(rest, allowMissingColumns=True)
+        made = both if made is None else made.unionByName(both)
+    return made
+
+
 @query
 def flags(spark, sf_dir):
     ranked = ranking.rank_nodes(v.crashes(spark, sf_dir), v.nodes(spark, sf_dir), v.AS_OF, v.SNAP_M)

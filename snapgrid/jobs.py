@@ -3,7 +3,7 @@
     ingest     new crash pages              -> ingested, each page once; each record once with --delay
     track      new crash pages, nodes       -> sums, tracked rankings; corrections count
     rank       crash pages, nodes, edges    -> rankings, crash_to_node
-    flags      rankings, layer pages        -> flags
+    flags      rankings, layer pages        -> flags; with --rejects also what was no target, and why
     causes     crash pages, map, rankings   -> predictions, quality, confusion
     recommend  rankings, predictions        -> master
     fixes      flags, predictions           -> fixes
@@ -24,7 +24,7 @@ from snapgrid.operators.targets import polyline_targets
 from snapgrid.plans import causes, ranking, recommend
 from snapgrid.plans.flags import flag_table
 from snapgrid.session import drop_stage_tables, get_spark, stage_table
-from snapgrid.sources import layers, readers, schemas
+from snapgrid.sources import layers, readers, schemas, variants
 from snapgrid.streaming import sums
 from snapgrid.streaming.ingest import ingest_distinct, ingest_pages
 
@@ -43,8 +43,13 @@ def rank(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def flags(spark: SparkSession, a: argparse.Namespace) -> None:
     ranked = readers.read_csv(spark, a.rankings, schemas.RANKINGS)
-    table = flag_table(ranked, layers.read_layers(spark, a.layers, a.multiline))
-    readers.write_csv(table, f"{a.out}/flags")
+    if a.rejects:
+        read = variants.read_variant_layers(spark, a.layers, a.multiline)
+        readers.write_parquet(variants.reject_table(read), f"{a.out}/rejects")
+        targets = {flag: layer.targets for flag, layer in read.items()}
+    else:
+        targets = layers.read_layers(spark, a.layers, a.multiline)
+    readers.write_csv(flag_table(ranked, targets), f"{a.out}/flags")
 
 
 def causes_(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -136,6 +141,8 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--multiline", action="store_true", help="each page is one JSON array")
         if name in ("rank", "causes"):
             job.add_argument("--refresh", action="store_true", help="do not use the cached crashes")
+        if name == "flags":
+            job.add_argument("--rejects", action="store_true", help="read records of any kind and write those that are no target, with the reason")
         if name == "ingest":
             job.add_argument("--delay", help="records that land again within this time count once, such as '7 days'")
         if name == "track":
