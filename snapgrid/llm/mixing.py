@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from snapgrid.llm.common import WORD, fresh, n_words, row_key, running, slices
 from snapgrid.session import stage_table
@@ -21,6 +20,8 @@ from snapgrid.session import stage_table
 BLOCK_WORDS, LEAST_SLOTS = 4_096, 20_000
 #: Source totals are the only thing that comes to the driver.
 MAX_SOURCES = 100_000
+#: Words of a partition of the mixed documents.
+PART_WORDS = 4_000_000
 _BITS = 40
 
 
@@ -147,11 +148,13 @@ def mix(
 
 
 def taken_words(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``rows`` with ``taken``: the words the mix takes of each, repeats counted."""
-    sums = pieces.groupBy(F.col("source_ix").alias("i"), F.col("start").alias("b")).agg(F.sum("words").alias("taken"))
+    """``rows`` with ``taken``: the words the mix takes of each, repeats counted, and the first and last slot that they stand in."""
+    sums = pieces.groupBy(F.col("source_ix").alias("i"), F.col("start").alias("b")).agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot")
+    )
     full = rows.where("size > 0").join(sums, (F.col("source_ix") == F.col("i")) & (F.col("start") == F.col("b")), "left")
     full = full.drop("i", "b").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    return full.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    return full.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")), allowMissingColumns=True)
 
 
 _WORD = re.compile(WORD)
@@ -166,44 +169,49 @@ def _first_words(text: str, n: int) -> str:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each pass over a document, its text cut where the mix leaves off.
-
-    All columns stay (``n_chars``, if there, is counted anew); an id taken twice stands
-    twice. Documents of which nothing is taken, and those without words, are not in it.
+    """The mix as documents in the order of its schedule: a row for each pass over a document.
+
+    Rows are dealt to partitions by ranges of the slot at which a pass begins, and sorted
+    by it, so every stretch of the written table mirrors the shares. A pass that the share
+    ends within is cut there. All columns stay, whatever their names (``n_chars``, if there,
+    is counted anew); an id taken twice stands twice. Documents of which nothing is taken,
+    and those without words, are not in it. Equal rows are read once and each take their
+    own amounts. An empty table gives an empty one.
     """
-    row, text = fresh(docs, "row_hash"), docs.columns.index("text")
-    keyed = docs.withColumn(row, row_key(docs))
-    rows, pieces = mix(keyed, keep=(row,))
-    # Equal rows have one hash, and each gets one of the amounts.
-    amounts = stage_table(
-        taken_words(rows, pieces)
-        .where("taken > 0")
-        .groupBy(F.col(row).alias("k"))
-        .agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("amounts")),
-        "mix-taken",
-    )
-    joined = keyed.join(amounts, F.col(row) == F.col("k"))
-    nth = F.row_number().over(Window.partitionBy(row).orderBy(row))
-    mine = F.get(F.col("amounts"), nth - 1)
-    return _cut(docs, joined.withColumn("amount", mine).where("amount IS NOT NULL"), text)
-
-
-def _cut(docs: DataFrame, joined: DataFrame, text: int) -> DataFrame:
-    names, types = docs.columns, docs.schema
+    spark = docs.sparkSession
+    row, check = fresh(docs, "row_hash"), fresh(docs, "row_check")
+    keyed = docs.withColumns({row: row_key(docs), check: F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in docs.columns])})
+    rows, pieces = mix(keyed, keep=(row, check))
+    passes = pieces.groupBy("source_ix", "start", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    # Of each pass only what names its row: texts meet it once.
+    slim = rows.where("size > 0").select(row, check, "source_ix", "start", "size").join(passes, ["source_ix", "start"])
+    own = {c: fresh(docs, f"mix_{c}") for c in ("row", "check", "cut", "slot", "epoch", "start", "part")}
+    cut = F.when(F.col("words") < F.col("size"), F.col("words"))
+    slim = slim.select(
+        F.col(row).alias(own["row"]), F.col(check).alias(own["check"]), cut.alias(own["cut"]), F.col("words").alias("n"),
+        *[F.col(c).alias(own[c]) for c in ("slot", "epoch", "start")],
+    )
+    slim = stage_table(slim, "mix-passes")
+    total, last = slim.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max(own["slot"])).first()
+    parts = max(1, min(65_536, max(spark.sparkContext.defaultParallelism, total // PART_WORDS)))
+    part = F.floor(F.col(own["slot"]) * parts / F.lit((last or 0) + 1)).cast("int")
+    whole = keyed.dropDuplicates([row, check])
+    same = (F.col(own["row"]) == F.col(row)) & (F.col(own["check"]) == F.col(check))
+    joined = slim.drop("n").join(whole, same).drop(row, check).withColumn(own["part"], part)
+    dealt = joined.repartitionById(parts, own["part"]).sortWithinPartitions(*[own[c] for c in ("slot", "epoch", "start")])
+    return _cut(docs, dealt.select(*[F.col(f"`{c}`") for c in docs.columns], own["cut"]))
+
+
+def _cut(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """``joined`` without its last column, the number of words at which the text is cut (null: nowhere)."""
+    names, types, text = docs.columns, docs.schema, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, names[text]):
-            at, cuts = [], []
-            for k, (t, mine) in enumerate(zip(batch.column(text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)):
-                whole, rest = divmod(mine["taken"], mine["size"])
-                for n in [None] * whole + [rest] * (rest > 0):
-                    at.append(k)
-                    cuts.append(t if n is None else _first_words(t, n))
-            out = batch.take(pa.array(at, pa.int64()))
-            made = pa.array(cuts, out.schema.field(text).type)
-            columns = [*out.columns[:text], made, *out.columns[text + 1 : len(names)]]
+            cuts = zip(batch.column(text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)
+            made = pa.array([t if n is None else _first_words(t, n) for t, n in cuts], batch.schema.field(text).type)
+            columns = [*batch.columns[:text], made, *batch.columns[text + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    slim = joined.select(*[F.col(f"`{c}`") for c in names], "amount")
-    out = slim.mapInArrow(cut, types)
+    out = joined.mapInArrow(cut, types)
     return out.withColumn("n_chars", F.char_length("text").cast(types["n_chars"].dataType)) if "n_chars" in names else out

@@ -67,7 +67,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, pieces = mixing.mix(read_table(spark, sf_dir, "documents"))
-    return mixing.taken_words(rows, pieces).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.taken_words(rows, pieces).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "last_slot")
 
 
 @query

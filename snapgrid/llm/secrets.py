@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,8 +38,16 @@ LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Code points before a candidate in which a sensitive word must stand, and around it that prime the compressor.
 CONTEXT, SURROUNDING = 48, 1_024
-#: Marginal compressed bytes for each character from which a candidate is reported.
-NOVELTY = 0.6
+#: Marginal compressed bytes for each character from which a candidate is reported; over a
+#: small alphabet, this share of what its characters can carry.
+NOVELTY, OF_ALPHABET = 0.6, 0.9
+#: Characters between two lines of one value: a string there continues the one before.
+BETWEEN = re.compile(r"[\s\"'\\,;|>#*+-]{0,32}(?:\\n)?[\s\"'\\,;|>#*+-]{0,32}")
+#: The body of a key in armour, whole lines of it however short the last one is.
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*KEY[A-Z ]*-----(.*?)(?:-----END|\Z)", re.DOTALL)
+ARMOURED = re.compile(r"[A-Za-z0-9+/=]{2,}")
+#: Letters of one part of a name on average; in random letters of mixed case parts are shorter.
+PART_LETTERS = 3.2
 
 
 def marginal_bytes(candidate: str, before: str, after: str) -> int:
@@ -72,15 +82,87 @@ def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
     return without(max(0, start - SURROUNDING), start), without(end, min(len(text), end + SURROUNDING))
 
 
-def is_novel(text: str, start: int, end: int) -> bool:
-    """Whether the string at ``start`` has a sensitive word before it and does not compress."""
+def least_bytes(candidate: str) -> float:
+    """Marginal bytes from which a candidate counts as incompressible: less over a small alphabet."""
+    kinds = [(r"[0-9]", 10), (r"[A-F]", 6), (r"[G-Z]", 20), (r"[a-f]", 6), (r"[g-z]", 20), (r"[+/_=-]", 2)]
+    bits = math.log2(max(2, sum(n for pattern, n in kinds if re.search(pattern, candidate))))
+    return min(NOVELTY, OF_ALPHABET * bits / 8) * len(candidate)
+
+
+def _looks_random(candidate: str) -> bool:
+    """Letters and digits, or letters whose case changes more often than in names put together of words."""
+    if re.search("[0-9]", candidate):
+        return bool(re.search("[A-Za-z]", candidate))
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", candidate)
+    return bool(re.search("[a-z]", candidate) and re.search("[A-Z]", candidate)) and sum(map(len, parts)) < PART_LETTERS * len(parts)
+
+
+def is_novel(text: str, start: int, end: int, known: bool = False) -> bool:
+    """Whether the string at ``start`` stands where secrets do (``known``, or a sensitive word before it) and does not compress."""
     candidate = text[start:end]
-    if not (re.search("[0-9]", candidate) and re.search("[A-Za-z]", candidate)):
-        return False
-    near = text[max(0, start - CONTEXT) : start].lower()
-    if not any(word in near for word in SENSITIVE):
+    if not _looks_random(candidate):
         return False
-    return marginal_bytes(candidate, *surroundings(text, start, end)) >= NOVELTY * len(candidate)
+    if not known:
+        near = text[max(0, start - CONTEXT) : start].lower()
+        if not any(word in near for word in SENSITIVE):
+            return False
+    return marginal_bytes(candidate, *surroundings(text, start, end)) >= least_bytes(candidate)
+
+
+def _armoured(text: str) -> list[tuple[int, int]]:
+    """Lines of the keys in armour whose bodies as a whole do not compress."""
+    found = []
+    for block in ARMOUR.finditer(text) if "-----BEGIN" in text else ():
+        lines = [m.span() for m in ARMOURED.finditer(text, block.start(1), block.end(1))]
+        # Headers of a key have a colon; its lines do not.
+        lines = [(a, b) for a, b in lines if ":" not in text[text.rfind("\n", 0, a) + 1 : b + 1]]
+        body = "".join(text[a:b] for a, b in lines)
+        if len(body) >= LEAST and marginal_bytes(body, "", "") >= least_bytes(body):
+            found += lines
+    return found
+
+
+def _pieces(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Candidates, and what is left of those that ``taken`` spans (sorted by start) touch, of LEAST characters and more."""
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at and taken[at - 1][1] > start:
+            at -= 1
+        k = at
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][1] > start:
+                if taken[k][0] - start >= LEAST:
+                    yield start, taken[k][0]
+                start = max(start, taken[k][1])
+            k += 1
+        at = k
+        if end - start >= LEAST:
+            yield start, end
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, by start."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _outside(line: tuple[int, int], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    a, b = line
+    for low, high in taken[max(0, bisect_right(taken, line) - 1) :]:
+        if low >= b:
+            break
+        if high > a:
+            if low > a:
+                yield a, low
+            a = high
+    if b > a:
+        yield a, b
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -98,13 +180,16 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(word in lower for word in SENSITIVE):
-        base, at, reach = sorted(s[1:] for s in spans), 0, 0
-        for m in CANDIDATE.finditer(text):
-            start, end = m.span()
-            while at < len(base) and base[at][0] < end:
-                at, reach = at + 1, max(reach, base[at][1])
-            if reach <= start and is_novel(text, start, end):
+        base = _merged([s[1:] for s in spans])
+        for line in _armoured(text):
+            spans += [("novel", a, b) for a, b in _outside(line, base)]
+        last = -1
+        for start, end in _pieces(text, _merged([s[1:] for s in spans])):
+            # A value may go on over several lines.
+            goes_on = last >= 0 and BETWEEN.fullmatch(text, last, start) is not None
+            if is_novel(text, start, end, goes_on):
                 spans.append(("novel", start, end))
+                last = end
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -174,15 +174,13 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -
 
     All columns stay. A group whose rows all lack an id keeps one of them.
     """
-    row = fresh(docs, "row_hash")
+    row, kept_id, kept_row = (fresh(docs, c) for c in ("row_hash", "kept_id", "kept_row"))
     keyed = docs.withColumn(row, row_key(docs))
     rows = near_duplicates(keyed, distance, shingle, keep=(row,))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row)).alias("kept")
     kept = stage_table(
-        rows.groupBy("component").agg(first).select(
-            F.coalesce(F.col("kept.doc_id"), F.lit(-1)).alias("kept_id"), F.col(f"kept.{row}").alias("kept_row")
-        ),
+        rows.groupBy("component").agg(first).select(F.col("kept.doc_id").alias(kept_id), F.col(f"kept.{row}").alias(kept_row)),
         "simhash-kept",
     )
-    wanted = (F.coalesce("doc_id", F.lit(-1)) == F.col("kept_id")) & (F.col(row) == F.col("kept_row"))
+    wanted = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(row) == F.col(kept_row))
     return keyed.join(kept, wanted, "left_semi").dropDuplicates(["doc_id", row]).drop(row)
