@@ -384,6 +384,8 @@ ORACLES: dict[str, str] = {
       (SELECT * FROM per UNION ALL SELECT 'Macro-Average', avg(p1), avg(p3), avg(p5) FROM per)""",
     "q_text_match": f"""WITH {tf_idf('benchmark', 'item_id', 'documents', 'doc_id', 3)}
       SELECT item_id, doc_id, rank, round(sim, 4) AS sim FROM best""",
+    "q_text_index": f"""WITH {tf_idf('benchmark', 'item_id', 'documents', 'doc_id', 3)}
+      SELECT item_id, doc_id, rank, round(sim, 4) AS sim FROM best""",
     "q_text_best": f"""WITH turns AS (SELECT DISTINCT text, text AS query_text FROM conversations),
       {tf_idf('turns', 'query_text', 'benchmark', 'item_id', 1)}
       SELECT conv_id, turn, 'Item ' || item_id AS "Top_Intervention", round(sim, 4) AS sim

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from registry import views as v
 from snapgrid.functions.text import FLAG_PHRASES, flag_text
 from snapgrid.operators import clean, evaluation, features, names, nearest, proximity, similarity, summary
+from snapgrid.operators import text_index as impact_index
 from snapgrid.operators.model import TreeSettings, index_labels, scaled, scaling, split, standardise
 from snapgrid.operators.targets import (
     multipoint_targets,
@@ -713,6 +714,17 @@ def text_match(spark, sf_dir):
     )
 
 
+@query
+def text_index(spark, sf_dir):
+    """The same ranking from a stored index, which is built here and opened anew."""
+    path = _scratch(spark, "text_index")
+    impact_index.build_index(v.table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    questions = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return impact_index.search(impact_index.open_index(spark, path), questions, 3).select(
+        F.col("query_id").alias("item_id"), "doc_id", F.col("rank").cast("bigint").alias("rank"), r4("sim")
+    )
+
+
 @query
 def evaluate_texts(spark, sf_dir):
     """Precision at k of the documents for each benchmark text that has a truth row."""

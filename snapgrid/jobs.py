@@ -5,6 +5,7 @@
     rank       crash pages, nodes, edges    -> rankings, crash_to_node
     flags      rankings, layer pages        -> flags; with --rejects also what was no target, and why
     causes     crash pages, map, rankings   -> predictions, quality, confusion
+    index      corpus                       -> index of its texts, for --index of the next three
     recommend  rankings, predictions        -> master
     fixes      flags, predictions           -> fixes
     evaluate   predictions, corpus, truth   -> precision at k
@@ -18,6 +19,7 @@ from datetime import date
 
 from pyspark.sql import SparkSession
 
+from snapgrid.operators import text_index
 from snapgrid.operators.model import TreeSettings
 from snapgrid.operators.nearest import join_back, nearest_any, places
 from snapgrid.operators.targets import polyline_targets
@@ -74,21 +76,30 @@ def _predictions(spark: SparkSession, a: argparse.Namespace):
     return readers.read_csv(spark, a.predictions, schemas.PREDICTIONS)
 
 
+def index(spark: SparkSession, a: argparse.Namespace) -> None:
+    text_index.build_index(_corpus(spark, a).dropna(subset=["doc_id"]), f"{a.out}/index")
+
+
+def _index(spark: SparkSession, a: argparse.Namespace) -> text_index.TextIndex | None:
+    return text_index.open_index(spark, a.index) if a.index else None
+
+
 def recommend_(spark: SparkSession, a: argparse.Namespace) -> None:
     ranked = readers.read_csv(spark, a.rankings, schemas.RANKINGS)
-    chosen = recommend.recommend_for_causes(_predictions(spark, a), _corpus(spark, a))
+    chosen = recommend.recommend_for_causes(_predictions(spark, a), _corpus(spark, a), index=_index(spark, a))
     readers.write_csv(recommend.master_table(ranked, chosen), f"{a.out}/master")
 
 
 def fixes(spark: SparkSession, a: argparse.Namespace) -> None:
     flagged = readers.read_csv(spark, a.flags, schemas.FLAGGED)
-    table = recommend.flag_fixes(flagged, _predictions(spark, a), _corpus(spark, a))
+    table = recommend.flag_fixes(flagged, _predictions(spark, a), _corpus(spark, a), index=_index(spark, a))
     readers.write_csv(table, f"{a.out}/fixes")
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     truth = readers.read_csv(spark, a.truth, schemas.TRUTH)
-    table = stage_table(recommend.evaluate_causes(_predictions(spark, a), _corpus(spark, a), truth), "quality")
+    found = recommend.evaluate_causes(_predictions(spark, a), _corpus(spark, a), truth, index=_index(spark, a))
+    table = stage_table(found, "quality")
     readers.write_csv(table, f"{a.out}/precision")
 
 
@@ -122,6 +133,7 @@ JOBS = {
     "rank": (rank, ["crashes", "nodes", "edges"]),
     "flags": (flags, ["rankings", "layers"]),
     "causes": (causes_, ["crashes", "node_map", "rankings"]),
+    "index": (index, ["corpus"]),
     "recommend": (recommend_, ["rankings", "predictions", "corpus"]),
     "fixes": (fixes, ["flags", "predictions", "corpus"]),
     "evaluate": (evaluate, ["predictions", "corpus", "truth"]),
@@ -141,6 +153,8 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--multiline", action="store_true", help="each page is one JSON array")
         if name in ("rank", "causes"):
             job.add_argument("--refresh", action="store_true", help="do not use the cached crashes")
+        if name in ("recommend", "fixes", "evaluate"):
+            job.add_argument("--index", help="folder that the index job wrote for this corpus")
         if name == "flags":
             job.add_argument("--rejects", action="store_true", help="read records of any kind and write those that are no target, with the reason")
         if name == "ingest":

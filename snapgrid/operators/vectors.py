@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
@@ -19,12 +19,32 @@ BROADCAST_BYTES = 32 << 20
 _ENTRY_BYTES = 64
 
 
+# A partition with so many times the average number of rows is dealt anew.
+UNEVEN = 2.0
+
+
+def evenly(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` if its splits leave most tasks without rows; counted on the key column alone.
+
+    A file of one row group is one task, whatever the work on its rows. Tables of many
+    row groups are read where they lie.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    held = df.select(key, F.spark_partition_id().alias("_part")).groupBy("_part").count()
+    most, total = held.agg(F.max("count"), F.sum("count")).first()
+    if not total or most <= UNEVEN * total / slots or total < 2 * slots:
+        return df
+    return df.repartition(2 * slots, key)
+
+
 def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, terms, tf``: the distinct words of each whole text with their counts.
 
-    A text stands in one row, so its words are counted there and nothing is shuffled.
+    A text stands in one row, so its words are counted there; the texts are dealt anew only
+    where they lie in too few tasks. A batch of texts is counted at once, by row and word.
     """
-    found = texts.select(key, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
+    dealt = evenly(texts.select(key, F.col(text).alias("_text")), key)
+    found = dealt.select(key, F.coalesce(words(F.col("_text")), F.array().cast("array<string>")).alias("_words"))
     schema = StructType(
         [
             StructField(key, texts.schema[key].dataType),
@@ -33,14 +53,23 @@ def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
         ]
     )
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(filter(None, w)) for w in batch["_words"]]
-            yield pd.DataFrame(
-                {key: batch[key], "terms": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]}
+            lists = batch.column(1)
+            dense = lists.flatten().dictionary_encode()
+            size = len(dense.dictionary)
+            row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
+            code = dense.indices.to_numpy().astype(np.int64)
+            # Blank entries stand where a text starts or ends with something else.
+            named = pa.compute.not_equal(dense.dictionary, pa.scalar("", dense.dictionary.type)).to_numpy(zero_copy_only=False)[code]
+            pairs, tf = np.unique(row[named] * size + code[named], return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs, np.arange(len(lists) + 1) * size), pa.int32())
+            terms = dense.dictionary.take(pa.array(pairs % max(size, 1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf))], [key, "terms", "tf"]
             )
 
-    return found.mapInPandas(count, schema)
+    return found.mapInArrow(count, schema)
 
 
 def term_frequencies(corpus_counts: DataFrame, query_counts: DataFrame) -> DataFrame:
@@ -103,20 +132,27 @@ def _vectors_in_place(counts: DataFrame, frequencies: DataFrame, corpus_size: in
         ]
     )
 
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unknown = shared.value, (-1, 0)
         for batch in batches:
-            rows = []
-            for terms, tf in zip(batch["terms"], batch["tf"]):
-                found = np.array([known.get(t, unknown) for t in terms], dtype=np.int64).reshape(-1, 2)
-                weights = np.asarray(tf, dtype=float) * np.log((corpus_size + 1) / (found[:, 1] + 1))
-                listed = found[:, 0] >= 0
-                rows.append((found[listed, 0], weights[listed], float(np.sqrt((weights * weights).sum()))))
-            made = pd.DataFrame(rows, columns=["terms", "weights", "norm"])
-            made.insert(0, key, batch[key].to_numpy())
-            yield made
-
-    return counts.mapInPandas(weigh, schema)
+            lists = batch.column(1)
+            dense = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
+            found = np.array([known.get(t, unknown) for t in dense.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
+            found = found[dense.indices.to_numpy()]
+            weights = batch.column(2).flatten().to_numpy() * np.log((corpus_size + 1) / (found[:, 1] + 1))
+            norms = np.sqrt(np.bincount(row, weights * weights, len(lists)))
+            listed = found[:, 0] >= 0
+            offsets = pa.array(np.searchsorted(row[listed], np.arange(len(lists) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(found[listed, 0])),
+                    pa.ListArray.from_arrays(offsets, pa.array(weights[listed])), pa.array(norms),
+                ],
+                [key, "terms", "weights", "norm"],
+            )
+
+    return counts.select(key, "terms", "tf").mapInArrow(weigh, schema)
 
 
 def encode(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.text import FLAG_PHRASES, document_text, flag_text
+from snapgrid.operators import text_index
 from snapgrid.operators.evaluation import KS, mark_hits, precision_at_k
 from snapgrid.operators.similarity import top_k_dense, top_k_sparse
 from snapgrid.operators.vectors import encode, term_counts, term_frequencies, tf_idf_vectors
@@ -35,12 +36,17 @@ def rank_documents(
     doc_id: str = "doc_id",
     text: str = "text",
     encoder: Encoder | None = None,
+    index: text_index.TextIndex | None = None,
 ) -> DataFrame:
     """``query_id, doc_id, sim, rank``: the k best documents for each query text.
 
     Without an encoder both sides become TF-IDF vectors with the document
     frequencies of the corpus. Each side is turned into vectors once and written.
+    With an ``index`` of the corpus only what it cannot rule out is read, and the
+    same rows come out.
     """
+    if index is not None:
+        return text_index.search(index, queries, k, query_id, text).withColumnRenamed(index.doc_id, doc_id)
     if encoder is not None:
         q = stage_table(encode(queries, query_id, text, encoder), "query_vectors")
         d = stage_table(encode(corpus, doc_id, text, encoder), "corpus_vectors")
@@ -62,6 +68,7 @@ def best_documents(
     doc_id: str = "doc_id",
     title: str = "title",
     encoder: Encoder | None = None,
+    index: text_index.TextIndex | None = None,
 ) -> DataFrame:
     """Add the title of the best document for the text of each row, and its score.
 
@@ -76,7 +83,7 @@ def best_documents(
         .withColumn("_query", F.sha2("text", 256))
     )
     best = (
-        rank_documents(queries, corpus, 1, "_query", doc_id, "text", encoder)
+        rank_documents(queries, corpus, 1, "_query", doc_id, "text", encoder, index)
         .join(corpus.select(doc_id, F.col(title).alias(out)), doc_id)
         .select("_query", out, "sim")
     )
@@ -84,10 +91,10 @@ def best_documents(
 
 
 def recommend_for_causes(
-    predictions: DataFrame, corpus: DataFrame, encoder: Encoder | None = None
+    predictions: DataFrame, corpus: DataFrame, encoder: Encoder | None = None, index: text_index.TextIndex | None = None
 ) -> DataFrame:
     """Predictions with the best intervention for the predicted cause."""
-    return best_documents(predictions, "predicted_cause", corpus, encoder=encoder).drop("sim")
+    return best_documents(predictions, "predicted_cause", corpus, encoder=encoder, index=index).drop("sim")
 
 
 def master_table(rankings: DataFrame, recommended: DataFrame) -> DataFrame:
@@ -102,6 +109,7 @@ def flag_fixes(
     corpus: DataFrame,
     encoder: Encoder | None = None,
     out: str = "Predicted_Fix",
+    index: text_index.TextIndex | None = None,
 ) -> DataFrame:
     """Flag table with the best intervention for each node's flags and cause."""
     causes = predictions.select("NODEID", "predicted_cause")
@@ -109,7 +117,7 @@ def flag_fixes(
         "_text", flag_text(F.col("predicted_cause"))
     )
     kept = [c for c in flagged.columns if c not in FLAG_PHRASES] + list(FLAG_PHRASES)
-    return best_documents(described, "_text", corpus, out, encoder=encoder).select(*kept, out)
+    return best_documents(described, "_text", corpus, out, encoder=encoder, index=index).select(*kept, out)
 
 
 def evaluate_causes(
@@ -118,6 +126,7 @@ def evaluate_causes(
     truth: DataFrame,
     ks: Sequence[int] = KS,
     encoder: Encoder | None = None,
+    index: text_index.TextIndex | None = None,
 ) -> DataFrame:
     """Precision at k of the interventions for each distinct predicted cause.
 
@@ -129,7 +138,7 @@ def evaluate_causes(
         .dropDuplicates()
         .withColumn("text", F.col("query_id"))
     )
-    ranked = rank_documents(queries, corpus, max(ks), encoder=encoder)
+    ranked = rank_documents(queries, corpus, max(ks), encoder=encoder, index=index)
     titled = ranked.join(corpus.select("doc_id", "title"), "doc_id").withColumnRenamed(
         "query_id", "predicted_cause"
     )

@@ -67,7 +67,8 @@ def test_chain(spark, files):
     assert readers.read_csv(spark, str(out / "quality")).count() == 1
 
     run("recommend", rankings=out / "rankings", predictions=out / "predictions", corpus=files / "corpus.csv")
-    run("fixes", flags=out / "flags", predictions=out / "predictions", corpus=files / "corpus.csv")
+    run("index", corpus=files / "corpus.csv")
+    run("fixes", flags=out / "flags", predictions=out / "predictions", corpus=files / "corpus.csv", index=out / "index")
     fit = {"Unsafe Speed": "Speed Humps", "Backing Unsafely": "Daylighting"}
     master = readers.read_csv(spark, str(out / "master"), schemas.MASTER).collect()
     assert len(master) == 6 and all(r.Top_Intervention == fit[r.predicted_cause] for r in master)
