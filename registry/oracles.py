@@ -349,6 +349,7 @@ ORACLES: dict[str, str] = {
       SELECT round(sum(coalesce(2 * hits / nullif(support + chosen, 0)::double, 0) * support) / sum(support), 4)
         AS weighted_f1, (SELECT round(avg(abs(quality - toxic)), 4) FROM labels) AS mae FROM cls""",
     "q_cosine_topk": f"WITH {NEIGHBOURS} SELECT vec_id, doc_id, rank, round(sim, 4) AS sim FROM near",
+    "q_cosine_pruned": f"WITH {NEIGHBOURS} SELECT vec_id, doc_id, rank, round(sim, 4) AS sim FROM near",
     "q_cosine_to_mean": """WITH cells AS (SELECT label, unnest(embedding)::double AS x,
         generate_subscripts(embedding, 1) AS i FROM embeddings),
       means AS (SELECT label, list(x ORDER BY i) AS mean FROM

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from registry import views as v
 from snapgrid.functions.text import FLAG_PHRASES, flag_text
-from snapgrid.operators import clean, evaluation, features, names, nearest, proximity, similarity, summary
+from snapgrid.operators import cells, clean, evaluation, features, names, nearest, proximity, similarity, summary
 from snapgrid.operators import text_index as impact_index
 from snapgrid.operators.model import TreeSettings, index_labels, scaled, scaling, split, standardise
 from snapgrid.operators.targets import (
@@ -658,6 +658,16 @@ def cosine_topk(spark, sf_dir):
     )
 
 
+@query
+def cosine_pruned(spark, sf_dir):
+    """The same ranking by cells and shells."""
+    vectors = v.table(spark, sf_dir, "embeddings")
+    built = cells.build_cells(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", 5)
+    return cells.top_k_pruned(built, vectors, "vec_id", "embedding", 5)[0].select(
+        "vec_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), r4("sim")
+    )
+
+
 def _label_means(vectors):
     return (
         vectors.select("label", F.posexplode("embedding").alias("i", "x"))

@@ -40,7 +40,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _dense_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+def dense_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
     d = _unit(np.stack(docs["vector"].to_numpy()).astype(float))
     step = max(1, _SLAB // len(docs))
     for at in range(0, len(queries), step):
@@ -85,23 +85,10 @@ def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[
         yield part, np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
 
 
-def _top_k(
-    queries: DataFrame,
-    docs: DataFrame,
-    query_id: str,
-    doc_id: str,
-    k: int,
-    scores: Callable[[pd.DataFrame, pd.DataFrame], Iterator[tuple[slice, np.ndarray]]],
-    values: str,
-    block_rows: int,
-) -> DataFrame:
-    schema = StructType(
-        [
-            StructField(query_id, queries.schema[query_id].dataType),
-            StructField(doc_id, docs.schema[doc_id].dataType),
-            StructField("sim", DoubleType()),
-        ]
-    )
+def best_of(
+    query_id: str, doc_id: str, k: int, scores: Callable[[pd.DataFrame, pd.DataFrame], Iterator[tuple[slice, np.ndarray]]]
+) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best of the right rows for each of the left rows, as a function of two frames."""
 
     def best_in_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -122,8 +109,29 @@ def _top_k(
             )
         return pd.concat(parts)
 
+    return best_in_block
+
+
+def _top_k(
+    queries: DataFrame,
+    docs: DataFrame,
+    query_id: str,
+    doc_id: str,
+    k: int,
+    scores: Callable[[pd.DataFrame, pd.DataFrame], Iterator[tuple[slice, np.ndarray]]],
+    values: str,
+    block_rows: int,
+) -> DataFrame:
+    schema = StructType(
+        [
+            StructField(query_id, queries.schema[query_id].dataType),
+            StructField(doc_id, docs.schema[doc_id].dataType),
+            StructField("sim", DoubleType()),
+        ]
+    )
+
     candidates = reduce_blocks(
-        queries, docs, [query_id], [doc_id], best_in_block, schema, F.size(values) + 1, block_rows
+        queries, docs, [query_id], [doc_id], best_of(query_id, doc_id, k, scores), schema, F.size(values) + 1, block_rows
     )
     order = Window.partitionBy(query_id).orderBy(F.col("sim").desc(), doc_id)
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -147,7 +155,7 @@ def top_k_dense(
     return _top_k(
         queries.select(query_id, F.col(query_vector).alias("vector")),
         docs.select(doc_id, F.col(doc_vector).alias("vector")),
-        query_id, doc_id, k, _dense_scores, "vector", block_rows,
+        query_id, doc_id, k, dense_scores, "vector", block_rows,
     )
 
 
