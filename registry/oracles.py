@@ -241,6 +241,7 @@ ORACLES: dict[str, str] = {
       latitude, longitude
       FROM ranked LEFT JOIN named USING (nodeid) LEFT JOIN node USING (nodeid)""",
     "q_snap_map": f"WITH {BASE}, {SNAP} SELECT collision_id, nodeid, round(dist, 4) AS snap_dist FROM snapped",
+    "q_snap_indexed": f"WITH {BASE}, {SNAP} SELECT collision_id, nodeid, round(dist, 4) AS snap_dist FROM snapped",
     "q_snap_summary": f"WITH {BASE}, {SNAP} {describe('snapped', 'dist')}",
     "q_node_counts": f"WITH {BASE}, {SNAP} SELECT nodeid, count(*) AS n FROM snapped GROUP BY nodeid",
     "q_node_count_summary": f"""WITH {BASE}, {SNAP},
@@ -267,6 +268,7 @@ ORACLES: dict[str, str] = {
     "q_near_multipoint": near("near_multipoint", v.MULTIPOINT_LAYER_SQL, TO_POINT, v.POINT_M),
     "q_near_line": near("near_line", v.LINE_LAYER_SQL, TO_SEGMENT, v.SNAP_M),
     "q_near_segment": near("near_segment", v.SEGMENT_LAYER_SQL, TO_SEGMENT, v.LINE_M),
+    "q_near_segment_indexed": near("near_segment", v.SEGMENT_LAYER_SQL, TO_SEGMENT, v.LINE_M),
     "q_near_line_rated": near(
         "near_line_rated", f"SELECT * FROM ({v.SEGMENT_LAYER_SQL}) WHERE systemrating < 3.5", TO_SEGMENT, v.LINE_M
     ),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from registry import views as v
 from snapgrid.functions.text import FLAG_PHRASES, flag_text
-from snapgrid.operators import cells, clean, evaluation, features, names, nearest, proximity, similarity, summary
+from snapgrid.operators import cells, clean, evaluation, features, names, nearest, proximity, similarity, spatial_index, summary
 from snapgrid.operators import text_index as impact_index
 from snapgrid.operators.model import TreeSettings, index_labels, scaled, scaling, split, standardise
 from snapgrid.operators.targets import (
@@ -95,6 +95,16 @@ def snap_map(spark, sf_dir):
     )
 
 
+@query
+def snap_indexed(spark, sf_dir):
+    """The node map from a stored index of the nodes, built here and opened anew."""
+    path, nodes = _scratch(spark, "node_index"), v.nodes(spark, sf_dir)
+    spatial_index.build_index(_node_targets(spark, sf_dir), path, "NODEID")
+    near = ranking.place_nodes(v.crashes(spark, sf_dir), nodes, v.SNAP_M, spatial_index.open_index(spark, path))
+    mapped = ranking.crash_to_node_map(v.crashes(spark, sf_dir), nodes, near=near)
+    return mapped.select("collision_id", F.col("NODEID").alias("nodeid"), r4("snap_dist"))
+
+
 @query
 def snap_summary(spark, sf_dir):
     rows = stage_table(_node_map(spark, sf_dir), "snap_map")
@@ -217,6 +227,13 @@ def near_segment(spark, sf_dir):
     return _near(spark, sf_dir, _segments(spark, sf_dir), "near_segment", v.LINE_M)
 
 
+@query
+def near_segment_indexed(spark, sf_dir):
+    path = _scratch(spark, "segment_index")
+    index = spatial_index.build_index(_segments(spark, sf_dir, "segment_id"), path, "segment_id", degrees=1e-3)
+    return spatial_index.near_flag(index, v.nodes(spark, sf_dir), "near_segment", v.LINE_M).select(F.col("NODEID").alias("nodeid"), "near_segment")
+
+
 @query
 def near_line_rated(spark, sf_dir):
     layer = v.segment_layer(spark, sf_dir).where(F.col("systemrating") < RATING_LIMIT)

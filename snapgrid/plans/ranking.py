@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgrid.functions.geo import FOOT_M
+from snapgrid.operators import spatial_index
 from snapgrid.operators.names import intersection_names, node_coordinates
 from snapgrid.operators.nearest import join_back, nearest_within, places, snap
 from snapgrid.operators.severity import (
@@ -39,11 +40,17 @@ RANKING_COLUMNS = [
 ]
 
 
-def place_nodes(crashes: DataFrame, nodes: DataFrame, radius_m: float = SNAP_RADIUS_M, **options) -> DataFrame:
+def place_nodes(
+    crashes: DataFrame, nodes: DataFrame, radius_m: float = SNAP_RADIUS_M, index: spatial_index.SpatialIndex | None = None, **options
+) -> DataFrame:
     """``lat, lon, NODEID, dist`` of every crash coordinate at a node, written once.
 
     Hand it as ``near`` to the ranking and to the node map: the search is the dear part of both.
+    With a stored ``index`` of the nodes they are neither measured nor repeated.
     """
+    if index is not None:
+        spots = stage_table(places(crashes, "latitude", "longitude"), "crash_places")
+        return stage_table(spatial_index.nearest_within(index, spots, radius_m, **options), "place_nodes")
     targets = point_targets(nodes, "latitude", "longitude", "NODEID")
     near = nearest_within(places(crashes, "latitude", "longitude"), targets, "NODEID", radius_m, **options)
     return stage_table(near, "place_nodes")
