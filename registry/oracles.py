@@ -325,8 +325,9 @@ ORACLES: dict[str, str] = {
       WHERE o_custkey IN (SELECT o_custkey FROM leaders)""",
     "q_cause_model": f"{TRAINED} SELECT count(*) AS n_nodes, true AS labels_known, true AS beats_commonest FROM trained",
     "q_boosted_model": f"{TRAINED} SELECT count(*) AS n_nodes, true AS labels_known, true AS beats_commonest FROM trained",
-    "q_model_quality": f"""{TRAINED} SELECT sum(n)::bigint AS n_held_out, true AS f1_in_range, true AS mae_in_range
-      FROM (SELECT floor(0.2 * count(*) + 0.5) AS n FROM trained GROUP BY primary_cause)""",
+    "q_model_quality": f"""{TRAINED} SELECT sum(n)::bigint AS n_held_out, true AS labels_known, true AS beats_commonest,
+      true AS f1_agrees, true AS mae_agrees FROM (SELECT floor(0.2 * count(*) + 0.5) AS n FROM trained GROUP BY primary_cause)""",
+    "q_model_reload": f"{TRAINED} SELECT nodeid, primary_cause AS cause, true AS same FROM trained",
     "q_label_index": """SELECT event_id, event_type,
       (dense_rank() OVER (ORDER BY event_type) - 1)::double AS label FROM events""",
     "q_row_weights": """SELECT event_id, event_type, round(sqrt(count(*) OVER ()

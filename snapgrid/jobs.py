@@ -4,7 +4,8 @@
     track      new crash pages, nodes       -> sums, tracked rankings; corrections count
     rank       crash pages, nodes, edges    -> rankings, crash_to_node
     flags      rankings, layer pages        -> flags; with --rejects also what was no target, and why
-    causes     crash pages, map, rankings   -> predictions, quality, confusion
+    causes     crash pages, map, rankings   -> predictions, quality, confusion, model
+    score      the same, and a stored model -> scored, scored_quality
     index      corpus                       -> index of its texts, for --index of the next three
     recommend  rankings, predictions        -> master
     fixes      flags, predictions           -> fixes
@@ -20,7 +21,7 @@ from datetime import date
 from pyspark.sql import SparkSession
 
 from snapgrid.operators import text_index
-from snapgrid.operators.model import TreeSettings
+from snapgrid.operators.model import TreeSettings, load_cause_model
 from snapgrid.operators.nearest import join_back, nearest_any, places
 from snapgrid.operators.targets import polyline_targets
 from snapgrid.plans import causes, ranking, recommend
@@ -66,6 +67,17 @@ def causes_(spark: SparkSession, a: argparse.Namespace) -> None:
     readers.write_csv(causes.ranked_predictions(run.predictions, ranked), f"{a.out}/predictions")
     readers.write_csv(run.quality(), f"{a.out}/quality")
     readers.write_csv(run.confusion(), f"{a.out}/confusion")
+    run.model.save(f"{a.out}/model")
+
+
+def score(spark: SparkSession, a: argparse.Namespace) -> None:
+    crashes = readers.read_crash_pages(spark, a.crashes, a.multiline)
+    node_map = readers.read_csv(spark, a.node_map, schemas.CRASH_TO_NODE)
+    ranked = readers.read_csv(spark, a.rankings, schemas.RANKINGS)
+    table = stage_table(causes.training_table(causes.crashes_at_nodes(crashes, node_map)), "score_table")
+    run = causes.score_table(load_cause_model(spark, a.model), table)
+    readers.write_csv(causes.ranked_predictions(run.predictions, ranked), f"{a.out}/scored")
+    readers.write_csv(run.quality(), f"{a.out}/scored_quality")
 
 
 def _corpus(spark: SparkSession, a: argparse.Namespace):
@@ -133,6 +145,7 @@ JOBS = {
     "rank": (rank, ["crashes", "nodes", "edges"]),
     "flags": (flags, ["rankings", "layers"]),
     "causes": (causes_, ["crashes", "node_map", "rankings"]),
+    "score": (score, ["crashes", "node_map", "rankings", "model"]),
     "index": (index, ["corpus"]),
     "recommend": (recommend_, ["rankings", "predictions", "corpus"]),
     "fixes": (fixes, ["flags", "predictions", "corpus"]),
@@ -149,7 +162,7 @@ def parser() -> argparse.ArgumentParser:
         for path in inputs:
             job.add_argument("--" + path.replace("_", "-"), required=True)
         job.add_argument("--out", required=True)
-        if name in ("ingest", "track", "rank", "flags", "causes"):
+        if name in ("ingest", "track", "rank", "flags", "causes", "score"):
             job.add_argument("--multiline", action="store_true", help="each page is one JSON array")
         if name in ("rank", "causes"):
             job.add_argument("--refresh", action="store_true", help="do not use the cached crashes")

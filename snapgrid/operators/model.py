@@ -9,7 +9,7 @@ from math import ceil
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapgrid.operators.evaluation import BROADCAST_CLASSES, with_class_weight
@@ -105,7 +105,7 @@ class CauseModel:
     labels: list[str]
     stats: Mapping[str, tuple[float, float]]
 
-    def predict(self, nodes: DataFrame, settings: TreeSettings) -> DataFrame:
+    def predict(self, nodes: DataFrame, settings: TreeSettings | None = None) -> DataFrame:
         """Add ``prediction`` and ``predicted_cause``."""
         scored = self.model.transform(scaled(nodes, self.stats))
         named = IndexToString(
@@ -113,6 +113,25 @@ class CauseModel:
         )
         return named.transform(scored)
 
+    def save(self, path: str) -> None:
+        """Write the fitted trees, the labels in order and the scaling under ``path``; what was there goes."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/trees")
+        labels = spark.createDataFrame(list(enumerate(self.labels)), "label int, cause string")
+        labels.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        scales = [(k, c, mean, std) for k, (c, (mean, std)) in enumerate(self.stats.items())]
+        # Last, so that a folder with it is a whole model.
+        spark.createDataFrame(scales, "nth int, feature string, mean double, deviation double").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/scaling"
+        )
+
+
+def load_cause_model(spark: SparkSession, path: str) -> CauseModel:
+    """The model that ``CauseModel.save`` wrote: it predicts what the saved one did."""
+    labels = [r.cause for r in spark.read.parquet(f"{path}/labels").orderBy("label").collect()]
+    scales = spark.read.parquet(f"{path}/scaling").orderBy("nth").collect()
+    return CauseModel(PipelineModel.load(f"{path}/trees"), labels, {r.feature: (r.mean, r.deviation) for r in scales})
+
 
 def index_labels(nodes: DataFrame, cause: str = "primary_cause") -> tuple[DataFrame, list[str]]:
     """Add ``label``: the position of the cause in alphabetical order."""

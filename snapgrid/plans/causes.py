@@ -21,7 +21,7 @@ from snapgrid.operators.features import (
     row_features,
     with_clean_cause,
 )
-from snapgrid.operators.model import TreeSettings, fit_cause_model, index_labels, split
+from snapgrid.operators.model import CauseModel, TreeSettings, fit_cause_model, index_labels, split
 from snapgrid.session import stage_table
 
 CAUSE = "contributing_factor_vehicle_1"
@@ -58,10 +58,11 @@ def training_table(
 class CauseRun:
     predictions: DataFrame
     labels: list[str]
+    model: CauseModel | None = None
 
     def quality(self) -> DataFrame:
         """Weighted F1 and mean absolute error of the label index."""
-        return weighted_f1_and_mae(self.predictions, "label", "prediction")
+        return weighted_f1_and_mae(self.predictions.dropna(subset=["label"]), "label", "prediction")
 
     def confusion(self) -> DataFrame:
         return confusion_matrix(self.predictions, "primary_cause", "predicted_cause", self.labels)
@@ -75,9 +76,24 @@ def run_model(
     table = stage_table(table, "training_table")
     labelled, labels = index_labels(table)
     train, test = split(labelled, node, "label") if held_out else (labelled, labelled)
-    predicted = fit_cause_model(train, labels, settings).predict(test, settings)
-    kept = predicted.select(node, "label", "prediction", "primary_cause", "predicted_cause")
-    return CauseRun(stage_table(kept, "predictions"), labels)
+    model = fit_cause_model(train, labels, settings)
+    return CauseRun(stage_table(_scored(model, test, node), "predictions"), labels, model)
+
+
+def _scored(model: CauseModel, labelled: DataFrame, node: str) -> DataFrame:
+    return model.predict(labelled).select(node, "label", "prediction", "primary_cause", "predicted_cause")
+
+
+def score_table(model: CauseModel, table: DataFrame, node: str = "NODEID") -> CauseRun:
+    """Predictions of a stored model for a table that it need not have seen.
+
+    A cause that the model does not know has no label; such nodes are predicted and play no
+    part in the quality.
+    """
+    known = F.array(*[F.lit(c) for c in model.labels])
+    place = F.array_position(known, F.col("primary_cause"))
+    labelled = table.withColumn("label", F.when(place > 0, place - 1).cast("double"))
+    return CauseRun(stage_table(_scored(model, labelled, node), "predictions"), model.labels, model)
 
 
 def ranked_predictions(predictions: DataFrame, rankings: DataFrame) -> DataFrame:

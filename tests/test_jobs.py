@@ -66,6 +66,11 @@ def test_chain(spark, files):
     assert predicted.count() == 6 and predicted.where("actual_cause IS NULL OR NODEID <> ranked_node").count() == 0
     assert readers.read_csv(spark, str(out / "quality")).count() == 1
 
+    run("score", crashes=files / "crashes", node_map=out / "crash_to_node", rankings=out / "rankings", model=out / "model")
+    scored = readers.read_csv(spark, str(out / "scored"), schemas.PREDICTIONS)
+    assert sorted(scored.collect()) == sorted(predicted.collect())
+    assert readers.read_csv(spark, str(out / "scored_quality")).collect() == readers.read_csv(spark, str(out / "quality")).collect()
+
     run("recommend", rankings=out / "rankings", predictions=out / "predictions", corpus=files / "corpus.csv")
     run("index", corpus=files / "corpus.csv")
     run("fixes", flags=out / "flags", predictions=out / "predictions", corpus=files / "corpus.csv", index=out / "index")

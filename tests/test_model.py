@@ -5,11 +5,12 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from snapgrid.operators.evaluation import with_class_weight
 from snapgrid.operators.features import FEATURES
-from snapgrid.operators.model import TreeSettings, index_labels, split, standardise
+from snapgrid.operators.model import TreeSettings, index_labels, load_cause_model, split, standardise
 from snapgrid.plans import causes
 from tests.test_scores_and_features import CRASH, crash
 
@@ -51,6 +52,23 @@ def test_model_learns_and_repeats(spark, kind, trees):
     assert runs[0].confusion().columns == ["actual", "predicted_Backing", "predicted_Other", "predicted_Turning"]
 
 
+@pytest.mark.parametrize("kind,trees", [("forest", 10), ("boosted", 2)])
+def test_a_stored_model_predicts_the_same(spark, tmp_path, kind, trees):
+    run = causes.run_model(table(spark), TreeSettings(trees=trees, depth=3, kind=kind))
+    run.model.save(str(tmp_path / "m"))
+    run.model.save(str(tmp_path / "m"))
+    loaded = load_cause_model(spark, str(tmp_path / "m"))
+    assert loaded.labels == run.labels and loaded.stats == run.model.stats
+    again = causes.score_table(loaded, table(spark))
+    assert sorted(again.predictions.collect()) == sorted(run.predictions.collect())
+    # Causes that the model does not know are predicted and left out of the quality.
+    odd = table(spark).withColumn("primary_cause", F.when(F.col("NODEID") < 30, "New").otherwise(F.col("primary_cause")))
+    scored = causes.score_table(loaded, odd)
+    assert scored.predictions.count() == 240 and scored.predictions.where("label IS NULL").count() == 30
+    assert scored.quality().first().weighted_f1 > 0.7
+    assert causes.score_table(loaded, table(spark).limit(0)).predictions.count() == 0
+
+
 def test_hold_out_is_exact_for_each_label(spark):
     rows = spark.range(5000).selectExpr("id AS NODEID", "CASE WHEN id < 3 THEN 'rare' WHEN id % 3 > 0 THEN 'common' WHEN id % 2 > 0 THEN 'other' END AS label")
     sides = [split(rows.repartition(n), "NODEID", "label") for n in (1, 7)]
