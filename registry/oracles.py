@@ -274,6 +274,26 @@ ORACLES: dict[str, str] = {
     ),
     "q_flags": flag_query(),
     "q_clean_rows": CLEAN,
+    "q_clean_report": f"""WITH {DIRTY},
+      told AS (SELECT d.*, CASE WHEN latitude IS NULL THEN 'latitude not a number' WHEN longitude IS NULL THEN 'longitude missing'
+        WHEN latitude = 0 OR longitude = 0 THEN 'zero coordinates'
+        WHEN NOT (latitude BETWEEN 40.4 AND 41.0 AND longitude BETWEEN -74.3 AND -73.6) THEN 'outside the box' ELSE 'kept' END AS outcome
+        FROM dirty d)
+      SELECT unnest(['rows', 'kept', 'latitude missing', 'latitude not a number', 'longitude missing', 'longitude not a number',
+          'zero coordinates', 'outside the box', 'key not a whole number', 'date missing', 'date not readable',
+          'number_of_persons_injured not a number', 'number_of_persons_killed not a number', 'kept with a warning']) AS metric,
+        unnest([count(*), count(*) FILTER (outcome = 'kept'), 0, count(*) FILTER (outcome = 'latitude not a number'),
+          count(*) FILTER (outcome = 'longitude missing'), 0, count(*) FILTER (outcome = 'zero coordinates'),
+          count(*) FILTER (outcome = 'outside the box'), count(*) FILTER (collision_id IS NULL), 0, count(*) FILTER (crash_date IS NULL),
+          count(*) FILTER (number_of_persons_injured IS NULL), 0,
+          count(*) FILTER (outcome = 'kept' AND (collision_id IS NULL OR crash_date IS NULL OR number_of_persons_injured IS NULL))]) AS n
+      FROM told""",
+    "q_quantiles_by_month": """SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n,
+      round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high, true AS p50_within, true AS p90_within
+      FROM orders GROUP BY 1, 2""",
+    "q_distinct_nodes": """WITH users AS (SELECT DISTINCT event_type, date_trunc('week', ts)::date AS w, user_id FROM events)
+      SELECT u.event_type, u.w::varchar AS week, count(*) AS n_users, count(b.user_id) AS n_again, true AS users_within, true AS again_within
+      FROM users u LEFT JOIN users b ON b.event_type = u.event_type AND b.user_id = u.user_id AND b.w = u.w - 7 GROUP BY u.event_type, u.w""",
     "q_csv_round_trip": CLEAN,
     "q_stream_ingest": CLEAN,
     "q_layer_variant": f"""WITH spot AS (SELECT s_suppkey AS id, s_suppkey % 6 AS k, lat, lon FROM ({v.POINT_LAYER_SQL})),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from registry import views as v
 from snapgrid.functions.text import FLAG_PHRASES, flag_text
-from snapgrid.operators import cells, clean, evaluation, features, names, nearest, proximity, similarity, spatial_index, summary
+from snapgrid.operators import cells, clean, evaluation, features, names, nearest, proximity, quality_report, similarity, sketches, spatial_index, summary
 from snapgrid.operators import text_index as impact_index
 from snapgrid.operators.model import TreeSettings, index_labels, load_cause_model, scaled, scaling, split, standardise
 from snapgrid.operators.targets import (
@@ -362,6 +362,12 @@ def clean_rows(spark, sf_dir):
     return _tidy(clean.clean_crashes(_dirty(spark, sf_dir)))
 
 
+@query
+def clean_report(spark, sf_dir):
+    """What cleaning kept and rejected, and why, counted by the pass that wrote the rows."""
+    return quality_report.report(spark, quality_report.clean_and_write(_dirty(spark, sf_dir), _scratch(spark, "outcomes")))
+
+
 @query
 def csv_round_trip(spark, sf_dir):
     path = _scratch(spark, "csv")
@@ -896,6 +902,44 @@ def price_quantiles(spark, sf_dir):
     return made.select("prob", r4("value"))
 
 
+@query
+def quantiles_by_month(spark, sf_dir):
+    """Sketches by priority and day, stored, and merged by month; ranks of the quantiles against all rows."""
+    orders = v.table(spark, sf_dir, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    daily = stage_table(sketches.quantile_sketches(orders, "o_totalprice", "o_orderpriority", "day"), "daily_sketches")
+    monthly = sketches.with_quantiles(sketches.merged_quantiles(daily, "o_orderpriority", month), (0.5, 0.9))
+    share = lambda q: F.avg((F.col("o_totalprice") <= F.col(q)).cast("double"))
+    seen = orders.join(monthly.withColumnsRenamed({"month": "m", "o_orderpriority": "p"}), (F.col("p") == F.col("o_orderpriority")) & (F.col("m") == month))
+    allowed = 2 * sketches.KLL_RANK_ERROR + 1 / F.first("n")
+    return seen.groupBy(F.col("p").alias("o_orderpriority"), F.col("m").alias("month")).agg(
+        F.first("n").alias("n"), r4(F.first("low"), "low"), r4(F.first("high"), "high"),
+        *[(F.abs(share(q) - s) <= allowed).alias(f"{q}_within") for q, s in (("p50", 0.5), ("p90", 0.9))],
+    )
+
+
+@query
+def distinct_nodes(spark, sf_dir):
+    """Distinct users of each kind of event and week, and those of the week before among them, from daily sketches."""
+    events = v.table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "user_id")
+    week, keys = F.to_date(F.date_trunc("week", "day")).alias("week"), ["event_type", "week"]
+    daily = stage_table(sketches.distinct_sketches(events, "user_id", "event_type", "day"), "daily_distinct")
+    weekly = stage_table(sketches.merged_distinct(daily, "event_type", week), "weekly_distinct")
+    before = weekly.select("event_type", F.date_add("week", 7).alias("week"), F.col("theta").alias("last"))
+    found = weekly.join(before, keys, "left").select(
+        *keys, F.hll_sketch_estimate("hll").alias("users"), F.coalesce(sketches.in_both(F.col("theta"), F.col("last")), F.lit(0)).alias("again")
+    )
+    users = events.select("event_type", week, "user_id").distinct()
+    last = users.select("event_type", F.date_add("week", 7).alias("week"), "user_id", F.lit(1).alias("seen"))
+    exact = users.join(last, [*keys, "user_id"], "left").groupBy(*keys).agg(F.count("*").alias("n_users"), F.count("seen").alias("n_again"))
+    near = lambda found, true, of, error: F.abs(F.col(found) - F.col(true)) <= 4 * error * F.col(of) + 1
+    return found.join(exact, keys).select(
+        "event_type", F.col("week").cast("string").alias("week"), "n_users", "n_again",
+        near("users", "n_users", "n_users", sketches.HLL_ERROR).alias("users_within"),
+        near("again", "n_again", "n_users", 2 * sketches.THETA_ERROR).alias("again_within"),
+    )
+
+
 @query
 def price_summary(spark, sf_dir):
     return summary.describe(v.table(spark, sf_dir, "lineitem"), "l_extendedprice").select(
