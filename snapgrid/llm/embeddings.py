@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from snapgrid.llm.common import components, grouped
 from snapgrid.session import stage_table
@@ -52,10 +53,14 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 11)
 
 
 def fit_cells(distinct: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Centres for each (label, length), fitted on a bounded sample taken by a hash of the vector."""
-    sizes = distinct.groupBy("label", "size").count().collect()
-    total = sum(r["count"] for r in sizes)
-    widest = max((r["size"] for r in sizes), default=1)
+    """Centres for each (label, length), fitted on a bounded sample taken by a hash of the vector.
+
+    A label that would have one cell has no centre and doesn't come to the driver, so
+    fewer than MAX_CELLS do.
+    """
+    total, widest = distinct.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(1))).first()
+    least = max(CELL_ROWS, total // MAX_CELLS)
+    sizes = distinct.groupBy("label", "size").count().where(F.col("count") > least).collect()
     wanted = min(SAMPLE_ROWS, SAMPLE_VALUES // widest)
     share = min(1.0, wanted / max(total, 1))
     chance = F.pmod(F.xxhash64("embedding", F.lit(5)), F.lit(1_000_000))
@@ -184,6 +189,15 @@ def near_links(distinct: DataFrame, threshold: float, block_rows: int = BLOCK_RO
     return grouped(dealt, keys, ["node"], compare, "node long, links long, root long", least=2)
 
 
+def _coded(rows: DataFrame) -> DataFrame:
+    """``rows`` with the label as a whole number: itself, or its number in a table of the labels."""
+    if isinstance(rows.schema["label"].dataType, IntegralType):
+        return rows.withColumn("label", F.col("label").cast("long"))
+    codes = rows.where("label IS NOT NULL").select(F.col("label").alias("l")).distinct().withColumn("code", F.monotonically_increasing_id())
+    codes = stage_table(codes, "vector-labels")
+    return rows.join(codes, F.col("label") == F.col("l"), "left").withColumn("label", F.col("code")).drop("l", "code")
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
@@ -194,16 +208,17 @@ def near_duplicates(
 ) -> DataFrame:
     """``id_column``, n_links, component_id and kept of every row.
 
-    Vectors are linked if their labels (whole numbers) and lengths are equal and their
+    Vectors are linked if their labels and lengths are equal and their
     cosine is at least ``threshold``; a missing label, and a vector that is missing, empty,
     zero or not finite links with nothing. Equal vectors are compared once and count as
     often as they stand. component_id is the smallest id reachable, the row's own
     included; without any id in reach it is null. kept tells whether that is the row's id.
     """
     rows = vectors.select(
-        F.col(id_column).alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("embedding"),
+        F.col(id_column).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding"),
         (valid(vector) & F.col(label).isNotNull()).alias("valid"),
     )
+    rows = _coded(rows)
     good = rows.where("valid").select("id", "label", "embedding")
     distinct = (
         good.groupBy("label", "embedding")

@@ -321,6 +321,25 @@ def test_stages_survive_any_extra_column(spark):
         assert stage(spark, docs.where("false"), "").count() == 0
 
 
+@pytest.mark.parametrize("bucket_rows", [8, 256])
+def test_next_documents_with_hot_and_extreme_ids(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket_rows)
+    rng = np.random.default_rng(13)
+    some = lambda: " ".join(rng.choice(["a", "b", "c", "d"], 12))
+    rows = [(None, some()) for _ in range(150)] + [(None, "equal text")] * 150 + [(7, "one text")] * 250 + [(7, some()) for _ in range(20)]
+    rows += [(int(i), some()) for i in rng.integers(-50, 50, 60)] + [(2**63 - 1, "last"), (-(2**63), None), (2**62, ""), (8, "x"), (6, "y")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int").repartition(3)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    order = sorted(((i is None, -(i or 0), hashes[t], i, t or "") for i, t in rows), key=lambda r: r[:3])
+    want = sorted([(i is None, i or 0, t, order[(k + 1) % len(order)][4]) for k, (*_, i, t) in enumerate(order)])
+    got = fingerprints.with_next(docs).select("doc_id", "text", "next_text").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.next_text) for r in got) == want
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    if bucket_rows == 8:
+        places = fingerprints._placed(slim, len(rows)).groupBy("bucket", "zone", "sub").count()
+        assert places.agg(F.max("count")).first()[0] <= 40
+
+
 def test_the_mix_is_written_in_the_order_of_its_schedule(spark):
     rng = np.random.default_rng(3)
     docs = table(spark, [(i, " ".join(rng.choice(["a", "bb", "ccc"], 40)) + f" {i}", ["x", "y", "z"][min(2, int(rng.integers(6)))]) for i in range(1_500)])

@@ -229,6 +229,14 @@ def test_vector_links(spark, monkeypatch, cell_rows, block):
     assert embeddings.near_duplicates(table.where("false")).count() == 0
 
 
+def test_labels_that_are_not_whole_numbers(spark):
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.7), (3, [1.0, 0.01], 1.2), (4, [1.0, 0.0], None), (5, [0.0, 1.0], 1.2)]
+    for kind in ("double", "string"):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double").withColumn("label", F.col("label").cast(kind))
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect()}
+        assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5)}
+
+
 def test_pipeline(spark, corpora):
     import corpus_pipeline
 
