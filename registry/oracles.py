@@ -348,6 +348,9 @@ ORACLES: dict[str, str] = {
     "q_model_quality": f"""{TRAINED} SELECT sum(n)::bigint AS n_held_out, true AS labels_known, true AS beats_commonest,
       true AS f1_agrees, true AS mae_agrees FROM (SELECT floor(0.2 * count(*) + 0.5) AS n FROM trained GROUP BY primary_cause)""",
     "q_model_reload": f"{TRAINED} SELECT nodeid, primary_cause AS cause, true AS same FROM trained",
+    "q_model_sweep": f"""{TRAINED}, folded AS (SELECT ('0x' || substr(md5('42:' || nodeid), 1, 4))::int % 3 AS fold FROM trained)
+      SELECT trees, depth, fold, (SELECT count(*) FROM folded) - count(*) AS n_fitted, count(*) AS n_scored, true AS beats_commonest
+      FROM folded CROSS JOIN (VALUES (10, 4), (20, 6)) AS settings(trees, depth) GROUP BY trees, depth, fold""",
     "q_label_index": """SELECT event_id, event_type,
       (dense_rank() OVER (ORDER BY event_type) - 1)::double AS label FROM events""",
     "q_row_weights": """SELECT event_id, event_type, round(sqrt(count(*) OVER ()
@@ -421,6 +424,8 @@ ORACLES: dict[str, str] = {
       {tf_idf('asked', 'query_text', 'documents', 'doc_id', 1)}
       SELECT p_partkey AS nodeid, 'Document ' || doc_id AS "Predicted_Fix"
       FROM sentence LEFT JOIN best ON text = query_text""",
+    "q_master_bucketed": f"""WITH {MASTER} SELECT nodeid, crash_count, {SCORES}, intersection_name, predicted_cause,
+      "Top_Intervention" FROM master""",
     "q_master": f"""WITH {MASTER} SELECT nodeid, crash_count, {SCORES}, intersection_name, predicted_cause,
       "Top_Intervention" FROM master""",
     "q_ranked_predictions": f"""WITH {MASTER} SELECT nodeid, upper(predicted_cause) AS predicted_cause,

@@ -20,11 +20,11 @@ from snapgrid.operators.targets import (
     polyline_targets,
     segment_targets,
 )
-from snapgrid.plans import causes, ranking, recommend, views as dashboards
+from snapgrid.plans import causes, ranking, recommend, sweep, views as dashboards
 from snapgrid.plans.flags import flag_table
 from snapgrid.session import stage_root, stage_table
 from snapgrid.sources import layers as layer_sources
-from snapgrid.sources import readers, schemas, variants
+from snapgrid.sources import bucketed, readers, schemas, variants
 from snapgrid.streaming import sums
 from snapgrid.streaming.ingest import ingest_distinct, ingest_pages
 
@@ -654,6 +654,16 @@ def model_reload(spark, sf_dir):
     return both.select(F.col("NODEID").alias("nodeid"), F.col("primary_cause").alias("cause"), same.alias("same"))
 
 
+@query
+def model_sweep(spark, sf_dir):
+    """Two settings on three folds; every setting is scored on the same nodes and beats the commonest cause."""
+    settings = [TreeSettings(trees=10, depth=4, kind="forest"), TreeSettings(trees=20, depth=6, kind="forest")]
+    scores = sweep.score_settings(_training_table(spark, sf_dir), settings)
+    return scores.select(
+        "trees", "depth", "fold", "n_fitted", "n_scored", (F.col("weighted_f1") > F.col("commonest_f1")).alias("beats_commonest")
+    )
+
+
 @query
 def label_index(spark, sf_dir):
     indexed, _ = index_labels(v.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type")
@@ -849,22 +859,38 @@ def _ranked_and_at_nodes(spark, sf_dir):
     return ranked, causes.crashes_at_nodes(crashes, ranking.crash_to_node_map(crashes, nodes, near=near))
 
 
-def _master(spark, sf_dir):
+def _master_sides(spark, sf_dir):
     ranked, at_nodes = _ranked_and_at_nodes(spark, sf_dir)
     chosen = features.primary_label(at_nodes, "NODEID", CAUSE, "predicted_cause").withColumn(
         "Top_Intervention", F.concat(F.lit("Treat "), F.col("predicted_cause"))
     )
-    return stage_table(recommend.master_table(ranked, chosen), "master")
+    return ranked, chosen
 
 
-@query
-def master(spark, sf_dir):
-    return _master(spark, sf_dir).select(
+def _master(spark, sf_dir):
+    return stage_table(recommend.master_table(*_master_sides(spark, sf_dir)), "master")
+
+
+def _master_columns(table):
+    return table.select(
         F.col("NODEID").alias("nodeid"), "crash_count", r4("severity_score"), "intersection_name",
         "predicted_cause", "Top_Intervention",
     )
 
 
+@query
+def master_bucketed(spark, sf_dir):
+    """The same table from two that lie in buckets of NODEID."""
+    root = _scratch(spark, "bucketed")
+    sides = zip(("ranked", "chosen"), _master_sides(spark, sf_dir))
+    return _master_columns(recommend.master_table(*[bucketed.write_bucketed(side, f"{root}/{name}", "NODEID", 8) for name, side in sides]))
+
+
+@query
+def master(spark, sf_dir):
+    return _master_columns(_master(spark, sf_dir))
+
+
 @query
 def ranked_predictions(spark, sf_dir):
     """Every node's cause, kept for the ranked nodes and named."""

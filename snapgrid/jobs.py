@@ -5,7 +5,8 @@
     rank       crash pages, nodes, edges    -> rankings, crash_to_node
     flags      rankings, layer pages        -> flags; with --rejects also what was no target, and why
     causes     crash pages, map, rankings   -> predictions, quality, confusion, model
-    score      the same, and a stored model -> scored, scored_quality
+    compare    crash pages, map             -> setting_scores, settings by quality on three folds
+    score      crash pages, map, rankings, and a stored model -> scored, scored_quality
     index      corpus                       -> index of its texts, for --index of the next three
     recommend  rankings, predictions        -> master
     fixes      flags, predictions           -> fixes
@@ -24,7 +25,7 @@ from snapgrid.operators import text_index
 from snapgrid.operators.model import TreeSettings, load_cause_model
 from snapgrid.operators.nearest import join_back, nearest_any, places
 from snapgrid.operators.targets import polyline_targets
-from snapgrid.plans import causes, ranking, recommend
+from snapgrid.plans import causes, ranking, recommend, sweep
 from snapgrid.plans.flags import flag_table
 from snapgrid.session import drop_stage_tables, get_spark, stage_table
 from snapgrid.sources import layers, readers, schemas, variants
@@ -70,6 +71,16 @@ def causes_(spark: SparkSession, a: argparse.Namespace) -> None:
     run.model.save(f"{a.out}/model")
 
 
+def compare(spark: SparkSession, a: argparse.Namespace) -> None:
+    crashes = readers.read_crash_pages(spark, a.crashes, a.multiline)
+    node_map = readers.read_csv(spark, a.node_map, schemas.CRASH_TO_NODE)
+    table = causes.training_table(causes.crashes_at_nodes(crashes, node_map))
+    settings = [TreeSettings(trees=t, depth=d, rate=r, kind=a.kind) for t in a.trees for d in a.depth for r in a.rate]
+    scores = stage_table(sweep.score_settings(table, settings), "setting_scores")
+    readers.write_csv(scores, f"{a.out}/setting_scores")
+    readers.write_csv(sweep.best_first(scores), f"{a.out}/settings")
+
+
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
     crashes = readers.read_crash_pages(spark, a.crashes, a.multiline)
     node_map = readers.read_csv(spark, a.node_map, schemas.CRASH_TO_NODE)
@@ -145,6 +156,7 @@ JOBS = {
     "rank": (rank, ["crashes", "nodes", "edges"]),
     "flags": (flags, ["rankings", "layers"]),
     "causes": (causes_, ["crashes", "node_map", "rankings"]),
+    "compare": (compare, ["crashes", "node_map"]),
     "score": (score, ["crashes", "node_map", "rankings", "model"]),
     "index": (index, ["corpus"]),
     "recommend": (recommend_, ["rankings", "predictions", "corpus"]),
@@ -162,7 +174,7 @@ def parser() -> argparse.ArgumentParser:
         for path in inputs:
             job.add_argument("--" + path.replace("_", "-"), required=True)
         job.add_argument("--out", required=True)
-        if name in ("ingest", "track", "rank", "flags", "causes", "score"):
+        if name in ("ingest", "track", "rank", "flags", "causes", "compare", "score"):
             job.add_argument("--multiline", action="store_true", help="each page is one JSON array")
         if name in ("rank", "causes"):
             job.add_argument("--refresh", action="store_true", help="do not use the cached crashes")
@@ -184,6 +196,11 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--rate", type=float, default=defaults.rate)
             job.add_argument("--kind", choices=["boosted", "forest"], default=defaults.kind)
             job.add_argument("--held-out", action="store_true")
+        if name == "compare":
+            defaults = TreeSettings()
+            for option, kind in (("trees", int), ("depth", int), ("rate", float)):
+                job.add_argument(f"--{option}", type=kind, nargs="+", default=[getattr(defaults, option)])
+            job.add_argument("--kind", choices=["boosted", "forest"], default="forest")
         if name == "streets":
             job.add_argument("--start", type=float, default=50.0, help="first search radius in metres")
     return top
