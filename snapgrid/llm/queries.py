@@ -206,3 +206,14 @@ ORACLES["op11_prefix_trie"] = rf"""
         FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM own) GROUP BY p[1:a])
     SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
     FROM own JOIN sums USING (p) LEFT JOIN node AS up ON own.d > 0 AND up.d = own.d - 1 AND up.p = own.p[1:own.d - 1]"""
+
+ORACLES["op6_embeddings"] = """
+    WITH RECURSIVE vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+      reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+    LEFT JOIN (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x) USING (vec_id)"""
