@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -22,7 +21,7 @@ from snapgrid.operators.targets import (
 )
 from snapgrid.plans import causes, ranking, recommend, sweep, views as dashboards
 from snapgrid.plans.flags import flag_table
-from snapgrid.session import stage_root, stage_table
+from snapgrid.session import scratch_folder, stage_table
 from snapgrid.sources import layers as layer_sources
 from snapgrid.sources import bucketed, readers, schemas, variants
 from snapgrid.streaming import sums
@@ -46,7 +45,7 @@ def r4(column: str | Column, name: str | None = None) -> Column:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark)}/registry/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, f"registry-{name}")
 
 
 def _node_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

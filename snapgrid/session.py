@@ -46,6 +46,11 @@ def stage_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path beside the stage tables, dropped with them."""
+    return f"{stage_root(spark)}/snapgrid/{_RUN}/{name}-{uuid.uuid4().hex}"
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and return a reader of it.
 
@@ -54,7 +59,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     plan, and gives the optimizer the real size of the table for its joins.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/snapgrid/{_RUN}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
