@@ -119,10 +119,11 @@ def tf_idf_vectors(counts: DataFrame, frequencies: DataFrame, corpus_size: int,
 
 def _vectors_in_place(counts: DataFrame, frequencies: DataFrame, corpus_size: int, key: str) -> DataFrame:
     """The same with the word table at hand in every task: no shuffle."""
-    table = frequencies.toArrow().to_pydict()
-    shared = counts.sparkSession.sparkContext.broadcast(
-        {t: (k if asked else -1, n) for t, k, n, asked in zip(*[table[c] for c in ("term", "term_id", "in_docs", "asked")])}
-    )
+    table = frequencies.select("term", "term_id", "in_docs", "asked").toArrow().combine_chunks()
+    listed_id = np.where(table["asked"].to_numpy(), table["term_id"].to_numpy(), -1)
+    # A last entry stands for words that the table does not have.
+    numbers = np.append(listed_id, -1), np.append(table["in_docs"].to_numpy(), 0)
+    shared = counts.sparkSession.sparkContext.broadcast((pa.array(table["term"].to_pylist(), pa.string()), *numbers))
     schema = StructType(
         [
             StructField(key, counts.schema[key].dataType),
@@ -133,20 +134,20 @@ def _vectors_in_place(counts: DataFrame, frequencies: DataFrame, corpus_size: in
     )
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unknown = shared.value, (-1, 0)
+        terms, listed_id, in_docs = shared.value
         for batch in batches:
             lists = batch.column(1)
             dense = lists.flatten().dictionary_encode()
             row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
-            found = np.array([known.get(t, unknown) for t in dense.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
-            found = found[dense.indices.to_numpy()]
-            weights = batch.column(2).flatten().to_numpy() * np.log((corpus_size + 1) / (found[:, 1] + 1))
+            place = pa.compute.index_in(dense.dictionary.cast(pa.string()), value_set=terms)
+            place = pa.compute.fill_null(place, len(terms)).to_numpy()[dense.indices.to_numpy()]
+            weights = batch.column(2).flatten().to_numpy() * np.log((corpus_size + 1) / (in_docs[place] + 1))
             norms = np.sqrt(np.bincount(row, weights * weights, len(lists)))
-            listed = found[:, 0] >= 0
+            listed = listed_id[place] >= 0
             offsets = pa.array(np.searchsorted(row[listed], np.arange(len(lists) + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(found[listed, 0])),
+                    batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(listed_id[place[listed]])),
                     pa.ListArray.from_arrays(offsets, pa.array(weights[listed])), pa.array(norms),
                 ],
                 [key, "terms", "weights", "norm"],
