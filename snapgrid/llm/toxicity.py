@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from snapgrid.llm.common import fresh, one_text, slices
 from snapgrid.session import stage_table
 
-#: Documented bounds of the training sample; everything else covers all rows.
+#: Documented bounds of the rows that the weights are fitted on, and of the model; counts and the cut cover all rows.
 POSITIVES, UNLABELLED, FEATURES = 4_000, 8_000, 1_024
+#: Width of the steps of raw scores between which the cut is sought.
+STEP = 0.001
+#: Distinct features that a task counts before it hands them on.
+HELD = 200_000
 PREFIXES = (4, 5)
 #: Standard deviations by which a feature must be commoner among positives to be used.
 SURPRISE = 4.0
@@ -41,10 +45,12 @@ class Model:
     bias: float
     weights: dict[str, float]
 
-    def score(self, text: str | None) -> float:
+    def raw(self, text: str | None) -> float:
         known = self.weights
-        raw = self.bias + sum(known[f] for f in sorted(features(text) & known.keys()))
-        return float(1 / (1 + np.exp(-np.clip(raw, -35, 35))))
+        return float(np.clip(self.bias + sum(known[f] for f in sorted(features(text) & known.keys())), -35, 35))
+
+    def score(self, text: str | None) -> float:
+        return float(1 / (1 + np.exp(-self.raw(text))))
 
 
 def _side(raw: np.ndarray, x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
@@ -79,85 +85,120 @@ def fit_nnpu(
     return w[:-1], float(w[-1])
 
 
-def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
-    """The cut of raw scores with the least non-negative risk of wrong decisions; the highest of equals."""
-    seen = np.unique(np.concatenate([positive, unlabelled]))
+def threshold(seen: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The cut of raw scores with the least non-negative risk of wrong decisions; the highest of equals.
+
+    ``positive`` and ``unlabelled`` count the rows at each of the distinct scores ``seen``, which ascend.
+    """
     cuts = (seen[1:] + seen[:-1]) / 2
     if not len(cuts):
         return float(seen[0]) + 1.0
-    above = [1 - np.searchsorted(np.sort(x), cuts) / len(x) for x in (positive, unlabelled)]
+    above = [1 - np.cumsum(x)[:-1] / np.sum(x) for x in (positive, unlabelled)]
     risk = prior * (1 - above[0]) + np.maximum(0, above[1] - prior * above[0])
     return float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model:
-    """Fit on confirmed positives and unlabelled text among the ``usable`` rows.
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the hash ``drawn``, one row for each id; rows without an id are told apart by their texts.
 
-    ``usable`` is a condition on doc_id. At most POSITIVES labelled rows (by hash of the
-    id) and about UNLABELLED documents (a hash range) are used, one text of each id; the class prior comes from all usable
-    labels. Without a positive, every score is zero. Null texts and ids are allowed.
+    Ids may repeat without bound: the text with the least hash stays. Only texts whose id is
+    missing or repeats are shuffled.
     """
-    marked = labels.where(usable).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    prior = marked.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 0.0
-    if not prior:
-        return Model(-35.0, {})
-    picked = (
-        marked.where(F.col(label) == 1).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
-    )
-    ids = [r.doc_id for r in picked.collect()]
-    slim = docs.select("doc_id", "text").where(usable)
-    # Ids may repeat in docs, without bound: each gives one text. Rows without an id are told apart by their texts.
     drawn = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(7))).otherwise(F.xxhash64("doc_id", F.lit(7)))
-    slim = slim.withColumn("drawn", drawn)
-    total = slim.agg(F.approx_count_distinct("drawn", 0.01)).first()[0]
-    share = min(1.0, UNLABELLED / max(total, 1))
-    marks = {
-        "positive": F.coalesce(F.col("doc_id").isin(ids), F.lit(False)),
-        "unlabelled": F.pmod("drawn", F.lit(1_000_000)) < round(share * 1_000_000),
-    }
-    sample = stage_table(
-        one_text(slim.withColumns(marks).where("positive OR unlabelled"), "doc_id", "drawn", *marks).select("text", *marks),
-        "toxicity-sample",
-    )
+    slim = docs.select("doc_id", "text").withColumn("drawn", drawn)
+    known = slim.where("doc_id IS NOT NULL")
+    repeats = stage_table(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "toxicity-repeats")
+    shared = known.join(repeats, "doc_id", "left_semi").unionByName(slim.where("doc_id IS NULL"))
+    shared = stage_table(one_text(shared, "doc_id", "drawn"), "toxicity-shared")
+    return known.join(repeats, "doc_id", "left_anti").unionByName(shared)
+
+
+def _counts(texts: DataFrame, positives: DataFrame) -> DataFrame:
+    """(feature, p, u): positives and texts that have a feature which three positives have; "" stands for all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = (Counter(), Counter())
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = features(row["text"])
-                for k, name in enumerate(("positive", "unlabelled")):
-                    if row[name]:
-                        both[k].update(found)
+        for batch in slices(batches, "text"):
+            for text, confirmed in zip(batch.column("text").to_pylist(), batch.column("confirmed").to_pylist(), strict=True):
+                both[not confirmed].update(features(text))
+                both[not confirmed][""] += 1
+                if len(both[0]) + len(both[1]) > HELD:
+                    yield made(both)
+                    both = (Counter(), Counter())
+        yield made(both)
+
+    def made(both: tuple[Counter, Counter]) -> pa.RecordBatch:
         names = list(both[0] | both[1])
-        made = [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in both)]
-        yield pa.RecordBatch.from_arrays(made, ["feature", "p", "u"])
+        arrays = [pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in both)]
+        return pa.RecordBatch.from_arrays(arrays, ["feature", "p", "u"])
 
-    n_positive, n_unlabelled = sample.agg(
-        F.count_if("positive"), F.count_if("unlabelled")
-    ).first()
-    if not n_positive or not n_unlabelled:
-        return Model(-35.0, {})
-    # How many more positives have the feature than unlabelled rows would suggest.
-    expected = n_positive * (F.col("u") + 0.5) / n_unlabelled
-    surprise = (F.col("p") - expected) / F.sqrt(expected + 1)
-    chosen = (
-        sample.mapInArrow(count, "feature string, p long, u long")
+    confirmed = texts.join(positives, "doc_id", "left_semi").select("text", F.lit(True).alias("confirmed"))
+    rows = confirmed.unionByName(texts.select("text", F.lit(False).alias("confirmed")))
+    return stage_table(
+        rows.mapInArrow(count, "feature string, p long, u long")
         .groupBy("feature")
         .agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-        .where((F.col("p") >= 3) & (surprise >= SURPRISE))
-        .orderBy(surprise.desc(), "feature")
-        .limit(FEATURES)
+        .where("p >= 3 OR feature = ''"),
+        "toxicity-features",
     )
+
+
+def _cut(texts: DataFrame, positives: DataFrame, model: Model, prior: float) -> float:
+    """``threshold`` over all texts, to one STEP of the raw score: at most 70,001 steps come to the driver."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            steps = [int(np.floor(model.raw(t) / STEP)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(steps, pa.int64())], ["doc_id", "step"])
+
+    scored = stage_table(texts.select("doc_id", "text").mapInArrow(add, f"doc_id {kind}, step long"), "toxicity-steps")
+    confirmed = scored.join(positives, "doc_id", "left_semi").select("step", F.lit(1).alias("p"), F.lit(0).alias("u"))
+    rows = confirmed.unionByName(scored.select("step", F.lit(0).alias("p"), F.lit(1).alias("u")))
+    found = rows.groupBy("step").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow().sort_by("step")
+    step, p, u = (found.column(c).to_numpy() for c in ("step", "p", "u"))
+    return threshold((step + 0.5) * STEP, p, u, prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model:
+    """Fit on confirmed positives and unlabelled text among the ``usable`` rows.
+
+    ``usable`` is a condition on doc_id; an id that repeats in ``docs`` gives one text. Features are chosen by
+    counts over all usable positives and texts, and the cut by all their scores. The weights between are fitted
+    on at most POSITIVES positives (by hash of the id) and about UNLABELLED texts (a hash range). The class
+    prior comes from all usable labels. Without a positive, every score is zero. Null texts and ids are allowed.
+    """
+    marked = labels.where(usable).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    prior = marked.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 0.0
+    if not prior:
+        return Model(-35.0, {})
+    positives = stage_table(marked.where(F.col(label) == 1).select("doc_id").distinct(), "toxicity-positives")
+    texts = _texts(docs.where(usable))
+    counts = _counts(texts, positives)
+    totals = counts.where("feature = ''").first()
+    if not totals or not totals.p:
+        return Model(-35.0, {})
+    # How many more positives have the feature than all texts would suggest.
+    expected = totals.p * (F.col("u") + 0.5) / totals.u
+    surprise = (F.col("p") - expected) / F.sqrt(expected + 1)
+    chosen = counts.where((F.col("feature") != "") & (surprise >= SURPRISE)).orderBy(surprise.desc(), "feature").limit(FEATURES)
     names = [r.feature for r in chosen.collect()]
     if not names:
         return Model(-35.0, {})
     place = {n: k for k, n in enumerate(names)}
+    ids = [r.doc_id for r in positives.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).collect()]
+    share = min(1.0, UNLABELLED / totals.u)
+    marks = {
+        "positive": F.coalesce(F.col("doc_id").isin(ids), F.lit(False)),
+        "unlabelled": F.pmod("drawn", F.lit(1_000_000_000)) < round(share * 1_000_000_000),
+    }
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [sorted(place[f] for f in features(t) & place.keys()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], ["positive", "unlabelled", "found"])
 
+    sample = texts.withColumns(marks).where("positive OR unlabelled").select("text", *marks)
     coded = sample.mapInArrow(encode, "positive boolean, unlabelled boolean, found array<int>").toArrow()
 
     def matrix(kind: str) -> np.ndarray:
@@ -169,9 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
         return x
 
     x, u, prior = matrix("positive"), matrix("unlabelled"), min(prior, 0.99)
+    if not len(x) or not len(u):
+        return Model(-35.0, {})
     w, bias = fit_nnpu(x, u, prior)
-    bias += np.log(TOXIC / (1 - TOXIC)) - threshold(x @ w + bias, u @ w + bias, prior)
-    return Model(round(float(bias), 6), {n: round(float(v), 6) for n, v in zip(names, w, strict=True)})
+    model = Model(round(float(bias), 6), {n: round(float(v), 6) for n, v in zip(names, w, strict=True)})
+    bias = model.bias + np.log(TOXIC / (1 - TOXIC)) - _cut(texts, positives, model, prior)
+    return replace(model, bias=round(float(bias), 6))
 
 
 def with_scores(docs: DataFrame, model: Model, score: str, columns: Iterable[str]) -> DataFrame:

@@ -146,6 +146,41 @@ def test_risk_estimate_is_not_driven_below_zero():
     assert (guess == np.repeat([True, False], 200)).mean() > 0.95
 
 
+def test_cut_has_the_least_risk():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9, 60):
+        positive, unlabelled = rng.integers(0, 12, n), rng.integers(-8, 8, 4 * n)
+        seen = np.unique(np.concatenate([positive, unlabelled]))
+        counts = [np.array([(x == v).sum() for v in seen]) for x in (positive, unlabelled)]
+        cut = toxicity.threshold(seen.astype(float), *counts, 0.3)
+
+        def risk(c, positive=positive, unlabelled=unlabelled):
+            return 0.3 * (positive < c).mean() + max(0, (unlabelled > c).mean() - 0.3 * (positive > c).mean())
+
+        cuts = [(a + b) / 2 for a, b in zip(seen, seen[1:], strict=False)]
+        assert cut == max((c for c in cuts if risk(c) <= min(map(risk, cuts)) + 1e-12), default=seen[0] + 1.0)
+
+
+def test_toxic_words_count_over_all_positives_and_the_cut_over_all_texts(spark, monkeypatch):
+    # A word of few positives, none of them among those that the weights are fitted on, must still be known.
+    monkeypatch.setattr(toxicity, "HELD", 50)
+    calm = [(k, f"calm{k % 50} steady{k % 31} ground{k % 17}") for k in range(600)]
+    rude = [(1_000 + k, f"calm{k % 50} {'grubbish' if k % 6 else 'wormish'} steady{k % 31}") for k in range(120)]
+    docs = spark.createDataFrame(calm + rude, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 1_000)) for k, _ in calm + rude], "doc_id long, toxic int")
+    texts, positives = toxicity._texts(docs), labels.where("toxic = 1").select("doc_id")
+    counts = {r.feature: (r.p, r.u) for r in toxicity._counts(texts, positives).collect()}
+    assert counts[""] == (120, 720)
+    found = [(k, toxicity.features(t)) for k, t in calm + rude]
+    wanted = {f: (sum(f in x for k, x in found if k >= 1_000), sum(f in x for _, x in found)) for f in set().union(*(x for _, x in found))}
+    assert {f: n for f, n in counts.items() if f} == {f: n for f, n in wanted.items() if n[0] >= 3}
+    monkeypatch.setattr(toxicity, "POSITIVES", 40)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 200)
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert {"grubbish", "wormish"} <= model.weights.keys()
+    assert all((model.score(t) >= 0.7) == (k >= 1_000) for k, t in calm + rude)
+
+
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 URLS = [
     None, "", "no scheme", "http://", "://", "https://Example.ORG", "https://Example.ORG/", "http://a.example.org/es/9?x=/en/1",
