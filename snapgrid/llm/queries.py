@@ -217,3 +217,40 @@ ORACLES["op6_embeddings"] = """
     SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
     FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
     LEFT JOIN (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x) USING (vec_id)"""
+
+
+def _sharding_oracle() -> str:
+    # The primes of XXH64, and the multiplier of the jump hash's generator.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    times = lambda x, p: f"(({x})::UHUGEINT * {p}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    turned = lambda x, r: f"({times(x, 2**r)}) + {x} // {2 ** (64 - r)}::UHUGEINT"
+    mixed = lambda x, r: f"xor({x}, {x} // {2**r}::UHUGEINT)"
+    steps = [
+        times("h", p2), turned("h", 31), times("h", p1), f"xor({(42 + p5 + 8) % 2**64}::UHUGEINT, h)", turned("h", 27),
+        f"({times('h', p1)} + {p4}::UHUGEINT) % 18446744073709551616::UHUGEINT", mixed("h", 33), times("h", p2), mixed("h", 29), times("h", p3), mixed("h", 32),
+    ]
+    hashed = "SELECT k, u::UHUGEINT AS h FROM doc WHERE doc_id IS NOT NULL"
+    for step in steps:
+        hashed = f"SELECT k, {step} AS h FROM ({hashed})"
+    return rf"""
+    WITH RECURSIVE crc AS (SELECT list(t ORDER BY b) AS tab FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) AS t FROM range(256) AS r(b))),
+      doc AS (SELECT row_number() OVER () AS k, doc_id, strlen(coalesce(text, '')) + 16 AS size,
+        CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616::HUGEINT ELSE coalesce(doc_id, 0)::HUGEINT END AS u,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+          lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS text_crc32
+        FROM documents, crc),
+      jump AS (SELECT k, u AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM doc
+        UNION ALL SELECT k, key, j, CAST(floor((j + 1) * (2147483648::DOUBLE / CAST(key // 8589934592::HUGEINT + 1 AS DOUBLE))) AS BIGINT)
+        FROM (SELECT k, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS key, j FROM jump WHERE j < 41)),
+      placed AS (SELECT k, max(b) FILTER (b < 40) AS shard, max(b) AS grown FROM jump GROUP BY k),
+      hashed AS ({hashed}),
+      dealt AS (SELECT doc_id, size, text_crc32, shard, grown, coalesce(h, 42::UHUGEINT)::HUGEINT AS h,
+        greatest(1, least(65536, count(*) OVER () // 20000)) AS buckets FROM doc JOIN placed USING (k) LEFT JOIN hashed USING (k))
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown::INTEGER AS grown_shard,
+      row_number() OVER (PARTITION BY shard ORDER BY (h // 281474976710656::HUGEINT * buckets) // 65536 * 16 + text_crc32 % 16,
+        CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+    FROM dealt"""
+
+
+ORACLES["op9_sharding"] = _sharding_oracle()
