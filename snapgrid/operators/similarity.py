@@ -85,6 +85,40 @@ def _sparse_scores(queries: pd.DataFrame, docs: pd.DataFrame) -> Iterator[tuple[
         yield part, np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
 
 
+def _rounded_best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    sims = np.round(sims, SCORE_DIGITS) + 0.0
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    return best, np.take_along_axis(sims, best, axis=1)
+
+
+def _largest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and rounded scores of the k best of each row, best first, the smaller column on a tie.
+
+    Rows are not sorted whole: what rounds to the k-th best score or more is picked out first. Only
+    rows where too much does, or whose scores are not numbers, are sorted.
+    """
+    rows, n = sims.shape
+    most = 2 * k + 16
+    if n <= most:
+        return _rounded_best(sims, k)
+    top = np.partition(sims, n - k, axis=1)[:, n - k :]
+    near = sims >= top[:, :1] - 2 * 10.0**-SCORE_DIGITS
+    found = np.count_nonzero(near, axis=1)
+    # What is no number counts as the largest there.
+    hard = (found > most) | np.isnan(top).any(axis=1)
+    best, scores = np.empty((rows, k), np.int64), np.empty((rows, k))
+    if hard.any():
+        best[hard], scores[hard] = _rounded_best(sims[hard], k)
+        near[hard] = False
+    row, column = np.nonzero(near)
+    value = np.round(sims[row, column], SCORE_DIGITS) + 0.0
+    order = np.lexsort((column, -value, row))
+    starts = np.cumsum(np.where(hard, 0, found)) - np.where(hard, 0, found)
+    taken = order[(starts[~hard][:, None] + np.arange(k)).astype(np.int64)]
+    best[~hard], scores[~hard] = column[taken], value[taken]
+    return best, scores
+
+
 def best_of(
     query_id: str, doc_id: str, k: int, scores: Callable[[pd.DataFrame, pd.DataFrame], Iterator[tuple[slice, np.ndarray]]]
 ) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -96,14 +130,13 @@ def best_of(
         right = right.sort_values(doc_id, ignore_index=True)
         ids, parts = right[doc_id].to_numpy(), []
         for part, sims in scores(left, right):
-            sims = np.round(sims, SCORE_DIGITS) + 0.0
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            best, sims = _largest(sims, k)
             parts.append(
                 pd.DataFrame(
                     {
                         query_id: np.repeat(left[query_id].to_numpy()[part], best.shape[1]),
                         doc_id: ids[best].ravel(),
-                        "sim": np.take_along_axis(sims, best, axis=1).ravel(),
+                        "sim": sims.ravel(),
                     }
                 )
             )

@@ -56,6 +56,23 @@ def test_zero_vectors_score_zero_and_the_smallest_id_wins(spark):
     assert [(r.d, r.sim) for r in ours.collect()] == [(0, 0.0)]
 
 
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_best_columns_are_picked_without_sorting_whole_rows(monkeypatch, k):
+    rng = np.random.default_rng(1)
+    plain = rng.normal(size=(20, 400))
+    odd = [np.round(plain, 1), np.round(plain, 2) + rng.normal(size=plain.shape) * 1e-10, np.zeros((20, 400)), np.full((20, 400), np.nan)]
+    odd += [np.where(np.arange(400) < 2, plain, np.nan), np.where(np.arange(400) < 7, plain, -np.inf), plain[:, :8]]
+    for sims in odd:
+        rounded = np.round(sims, 9) + 0.0
+        order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
+        columns, scores = similarity._largest(sims, k)
+        assert np.array_equal(columns, order)
+        assert np.array_equal(scores, np.take_along_axis(rounded, order, axis=1), equal_nan=True)
+    monkeypatch.setattr(similarity, "_rounded_best", lambda *_: pytest.fail("sorted whole"))
+    columns, _ = similarity._largest(plain, k)
+    assert np.array_equal(columns, np.argsort(-plain, axis=1)[:, :k])
+
+
 def test_cosine_column(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(similarity.cosine(F.col("a"), F.col("b"))).collect()] == [pytest.approx(0.8), 0.0]
