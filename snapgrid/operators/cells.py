@@ -8,7 +8,7 @@ much is skipped and never what is found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil, sqrt
 
@@ -18,20 +18,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from snapgrid.operators.similarity import best_of, dense_scores
+from snapgrid.operators.similarity import largest
 from snapgrid.session import stage_table
 
 # Rows that the centres are fitted on, centres and rounds at most.
 SAMPLE_ROWS, MAX_CENTRES, ROUNDS = 20_000, 2_048, 8
-# Documents of a shell and queries that meet it in one task.
+# Documents of a shell and queries that meet its group in one task.
 SHELL_ROWS, QUERY_ROWS = 4_096, 8_192
+# Documents of a group: shells that follow each other and meet a query in one row.
+GROUP_ROWS = 16_384
+# Share of the pairs of a task from which on they are ranked at once; below it, shell by shell.
+AT_ONCE, _SLAB = 0.25, 2_000_000
 # What rounding may add to a bound.
 _SLACK = 1e-7
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Centres, documents with their shell, and a row for each shell (cell, low and high angle, n)."""
+    """Centres, documents with their shell and its group, and a row for each shell (cell, low and high angle, n, grouped)."""
 
     centres: np.ndarray
     docs: DataFrame
@@ -106,10 +110,12 @@ def build_cells(docs: DataFrame, doc_id: str, vector: str, k: int, shell_rows: i
     shells = cut.groupBy("cell", "ring", "piece").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
     shells = shells.orderBy("cell", "ring", "piece").toPandas()
     shells["shell"] = np.arange(len(shells), dtype=np.int32)
+    shells["grouped"] = ((shells["n"].cumsum() - 1) // GROUP_ROWS).astype(np.int32)
     number = docs.sparkSession.createDataFrame(
-        shells[["cell", "ring", "piece", "shell"]] if len(shells) else [], "cell int, ring int, piece int, shell int"
+        shells[["cell", "ring", "piece", "shell", "grouped"]] if len(shells) else [], "cell int, ring int, piece int, shell int, grouped int"
     )
-    return Cells(centres, cut.join(F.broadcast(number), ["cell", "ring", "piece"]).select(doc_id, "vector", "shell"), shells, smallest, doc_id)
+    placed = cut.join(F.broadcast(number), ["cell", "ring", "piece"]).select(doc_id, "vector", "shell", "grouped")
+    return Cells(centres, placed, shells, smallest, doc_id)
 
 
 def _bounds(cells: Cells, vectors: pd.Series) -> np.ndarray:
@@ -127,10 +133,19 @@ def _bounds(cells: Cells, vectors: pd.Series) -> np.ndarray:
 
 
 def _routed(cells: Cells, queries: DataFrame, query_id: str, k: int, first: bool) -> DataFrame:
-    """``query_id``, vector and shells of each query: the best ones that hold k documents, or all others that may beat ``beat``."""
+    """``query_id``, vector and shells of each query: the best ones that hold k documents, or all others that may beat ``beat``.
+
+    ``parts`` has the same shells by group: a list for each, with the group before them.
+    """
     small = Cells(cells.centres, None, cells.shells, [], cells.doc_id)
     fields = [queries.schema[query_id], StructField("vector", queries.schema["vector"].dataType), StructField("shells", ArrayType(IntegerType()))]
-    sizes = cells.shells["n"].to_numpy()
+    fields.append(StructField("parts", ArrayType(ArrayType(IntegerType()))))
+    sizes, group = cells.shells["n"].to_numpy(), cells.shells["grouped"].to_numpy()
+
+    def by_group(shells: list[int]) -> list[list[int]]:
+        ordered = np.sort(np.array(shells, np.int64))
+        starts = np.flatnonzero(np.diff(group[ordered])) + 1
+        return [[int(group[part[0]]), *part.tolist()] for part in np.split(ordered, starts) if len(part)]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -145,23 +160,68 @@ def _routed(cells: Cells, queries: DataFrame, query_id: str, k: int, first: bool
                     else:
                         rest = order[begun:]
                         out.append(rest[bound[rest] >= batch["beat"].iloc[row] - _SLACK].tolist())
-                yield pd.DataFrame({query_id: batch[query_id], "vector": batch["vector"], "shells": out})
+                yield pd.DataFrame({query_id: batch[query_id], "vector": batch["vector"], "shells": out, "parts": [by_group(x) for x in out]})
 
     columns = [query_id, "vector"] if first else [query_id, "vector", "beat"]
     return queries.select(*columns).mapInPandas(route, StructType(fields))
 
 
+def _best_in_group(query_id: str, doc_id: str, k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best documents of a group for each query, among the shells that the query asks for (or k of each)."""
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({query_id: [], doc_id: [], "sim": []})
+        right = right.sort_values(doc_id, ignore_index=True)
+        queries, docs = _unit(_matrix(left["vector"])), _unit(_matrix(right["vector"]))
+        shells, of = np.unique(right["shell"].to_numpy(), return_inverse=True)
+        columns, found = [np.flatnonzero(of == j) for j in range(len(shells))], []
+        asked = np.zeros((len(left), len(shells)), dtype=bool)
+        rows = np.repeat(np.arange(len(left)), left["shells"].map(len).to_numpy(dtype=np.int64))
+        asked[rows, np.searchsorted(shells, np.concatenate(left["shells"].to_numpy()))] = True
+
+        def add(row: np.ndarray, column: np.ndarray, sims: np.ndarray) -> None:
+            place, sims = largest(sims, k)
+            # What was not asked for.
+            kept = ~np.isneginf(sims).ravel()
+            ids = left[query_id].to_numpy()[np.repeat(row, place.shape[1])[kept]]
+            found.append(pd.DataFrame({query_id: ids, doc_id: right[doc_id].to_numpy()[column[place.ravel()[kept]]], "sim": sims.ravel()[kept]}))
+
+        if (asked * np.bincount(of)).sum() >= AT_ONCE * len(left) * len(right):
+            step = max(1, _SLAB // len(right))
+            for at in range(0, len(left), step):
+                part = np.arange(at, min(at + step, len(left)))
+                if asked[part].all():
+                    sims = queries[part] @ docs.T
+                else:
+                    sims = np.full((len(part), len(right)), -np.inf)
+                    for j, column in enumerate(columns):
+                        row = np.flatnonzero(asked[part, j])
+                        sims[np.ix_(row, column)] = queries[part[row]] @ docs[column].T
+                add(part, np.arange(len(right)), sims)
+        else:
+            for j, column in enumerate(columns):
+                row, step = np.flatnonzero(asked[:, j]), max(1, _SLAB // len(column))
+                for at in range(0, len(row), step):
+                    add(row[at : at + step], column, queries[row[at : at + step]] @ docs[column].T)
+        return pd.concat(found)
+
+    return best
+
+
 def _meet(cells: Cells, routed: DataFrame, query_id: str, k: int) -> DataFrame:
-    """The k best of each query in each of its shells; the queries of a shell meet it in chunks."""
+    """The best of each query in its shells; a query is one row for each group of them, and the queries of a group meet it in chunks."""
     doc_id = cells.doc_id
-    asked = stage_table(routed.select(query_id, F.col("vector"), F.explode("shells").alias("shell")), "cells-asked")
-    crowd = asked.groupBy("shell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))
+    asked = routed.select(query_id, "vector", F.explode("parts").alias("part"))
+    shells = F.slice("part", F.lit(2), F.size("part") - 1).alias("shells")
+    asked = stage_table(asked.select(query_id, "vector", F.col("part")[0].alias("grouped"), shells), "cells-asked")
+    crowd = asked.groupBy("grouped").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks"))
     crowd = stage_table(crowd, "cells-crowd")
     chunk = F.pmod(F.xxhash64(query_id), F.col("chunks")).cast("int")
-    left = asked.join(F.broadcast(crowd), "shell").withColumn("chunk", chunk).drop("chunks")
-    right = cells.docs.join(F.broadcast(crowd), "shell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    left = asked.join(F.broadcast(crowd), "grouped").withColumn("chunk", chunk).drop("chunks")
+    right = cells.docs.join(F.broadcast(crowd), "grouped").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     schema = StructType([routed.schema[query_id], cells.docs.schema[doc_id], StructField("sim", DoubleType())])
-    return left.groupBy("shell", "chunk").cogroup(right.groupBy("shell", "chunk")).applyInPandas(best_of(query_id, doc_id, k, dense_scores), schema)
+    return left.groupBy("grouped", "chunk").cogroup(right.groupBy("grouped", "chunk")).applyInPandas(_best_in_group(query_id, doc_id, k), schema)
 
 
 def _ranked(candidates: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snapgrid.operators import cells, similarity
 
@@ -42,6 +43,23 @@ def test_vectors_without_structure_are_ranked_all_the_same(spark):
     assert report.first().met <= report.first().pairs
 
 
+@pytest.mark.parametrize("at_once", [0.0, 2.0])
+def test_a_query_is_one_row_for_each_group_of_shells(spark, monkeypatch, at_once):
+    monkeypatch.setattr(cells, "GROUP_ROWS", 60)
+    monkeypatch.setattr(cells, "AT_ONCE", at_once)
+    rng = np.random.default_rng(7)
+    docs, queries = frame(spark, rng.normal(size=(150, 20)), "d"), frame(spark, rng.normal(size=(20, 20)), "q")
+    built = cells.build_cells(docs, "d", "vector", 3, 10)
+    groups = built.shells["grouped"].nunique()
+    assert groups <= 3 < len(built.shells)
+    got, _ = cells.top_k_pruned(built, queries, "q", "vector", 3)
+    assert ranked(got) == ranked(similarity.top_k_dense(queries, docs, "q", "d", "vector", "vector", 3))
+    everywhere = cells._routed(built, queries.select("q", "vector", F.lit(-1.0).alias("beat")), "q", 3, False)
+    for row in everywhere.collect():
+        assert len(row.parts) <= groups
+        assert sorted(x for part in row.parts for x in part[1:]) == sorted(row.shells)
+
+
 def test_few_zero_and_no_documents(spark):
     queries = frame(spark, [[1.0, 0.0], [0.0, 0.0]], "q")
     for rows in ([[1.0, 1.0], [0.0, 0.0]], [[0.0, 0.0]] * 4, [[-1.0, 0.0]]):
