@@ -91,7 +91,7 @@ def _rounded_best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return best, np.take_along_axis(sims, best, axis=1)
 
 
-def _largest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def largest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and rounded scores of the k best of each row, best first, the smaller column on a tie.
 
     Rows are not sorted whole: what rounds to the k-th best score or more is picked out first. Only
@@ -130,7 +130,7 @@ def best_of(
         right = right.sort_values(doc_id, ignore_index=True)
         ids, parts = right[doc_id].to_numpy(), []
         for part, sims in scores(left, right):
-            best, sims = _largest(sims, k)
+            best, sims = largest(sims, k)
             parts.append(
                 pd.DataFrame(
                     {

@@ -19,6 +19,19 @@ BROADCAST_BYTES = 32 << 20
 _ENTRY_BYTES = 64
 
 
+# Words that numpy holds at once, with some ten numbers each.
+WORDS_AT_ONCE = 500_000
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches whose second column lists words, so that each holds less than WORDS_AT_ONCE besides its first row."""
+    for batch in batches:
+        part = np.cumsum(pa.compute.list_value_length(batch.column(1)).to_numpy(), dtype=np.int64) // WORDS_AT_ONCE
+        starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield batch.slice(a, b - a)
+
+
 # A partition with so many times the average number of rows is dealt anew.
 UNEVEN = 2.0
 
@@ -54,7 +67,7 @@ def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             lists = batch.column(1)
             dense = lists.flatten().dictionary_encode()
             size = len(dense.dictionary)
@@ -135,7 +148,7 @@ def _vectors_in_place(counts: DataFrame, frequencies: DataFrame, corpus_size: in
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, listed_id, in_docs = shared.value
-        for batch in batches:
+        for batch in _pieces(batches):
             lists = batch.column(1)
             dense = lists.flatten().dictionary_encode()
             row = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,11 +66,11 @@ def test_best_columns_are_picked_without_sorting_whole_rows(monkeypatch, k):
     for sims in odd:
         rounded = np.round(sims, 9) + 0.0
         order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
-        columns, scores = similarity._largest(sims, k)
+        columns, scores = similarity.largest(sims, k)
         assert np.array_equal(columns, order)
         assert np.array_equal(scores, np.take_along_axis(rounded, order, axis=1), equal_nan=True)
     monkeypatch.setattr(similarity, "_rounded_best", lambda *_: pytest.fail("sorted whole"))
-    columns, _ = similarity._largest(plain, k)
+    columns, _ = similarity.largest(plain, k)
     assert np.array_equal(columns, np.argsort(-plain, axis=1)[:, :k])
 
 
@@ -131,6 +132,19 @@ def test_whole_text_is_used(spark):
     assert {r.id for r in vectors.term_counts(both, "id", "t").collect()} == {1, 2, 3}
 
 
+def test_words_are_counted_a_bounded_number_at_a_time(spark, monkeypatch):
+    lists = pa.array([["a"] * n for n in (3, 0, 9, 2, 2, 0)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], ["k", "words"])
+    monkeypatch.setattr(vectors, "WORDS_AT_ONCE", 5)
+    pieces = list(vectors._pieces(iter([batch, batch.slice(0, 0)])))
+    assert [x for p in pieces for x in p.column(0).to_pylist()] == list(range(6))
+    # The first row of a piece may be long; the others add less than the bound.
+    assert max(sum(map(len, p.column(1).to_pylist()[1:])) for p in pieces if p.num_rows) < 5
+    texts = spark.createDataFrame([(k, "b a " * k) for k in range(5)], "k bigint, text string")
+    found = {r.k: dict(zip(r.terms, r.tf)) for r in vectors.term_counts(texts, "k", "text").collect()}
+    assert found == {k: ({"a": k, "b": k} if k else {}) for k in range(5)}
+
+
 def test_long_texts_on_both_sides(spark, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{k}" for k in rng.integers(0, 30_000, 20_000)) for _ in range(12)]
