@@ -13,6 +13,8 @@ from snapgrid.operators.targets import Extent, distance_to, has_segments, joinab
 from snapgrid.session import stage_table
 
 CROWDED_CELL = 256
+# Targets that share a cell with a target, on the mean: a place has some three times as many candidates.
+TYPICAL_CELL = 8
 MAX_HALVINGS = 12
 GROWTH = 4
 # Targets aimed at in a leaf of the far search; each level cuts a cell in 4 x 4.
@@ -75,10 +77,11 @@ def _within(
 
 
 def crowded_start(targets: DataFrame, radius_m: float, extent: Extent) -> float:
-    """Radius at which no grid cell holds more than ``CROWDED_CELL`` targets.
+    """Radius at which no grid cell holds more than ``CROWDED_CELL`` targets and the cell of a target ``TYPICAL_CELL`` on the mean.
 
-    Halves ``radius_m`` up to ``MAX_HALVINGS`` times. It only decides how the search
-    goes, never what it finds.
+    Halves ``radius_m`` up to ``MAX_HALVINGS`` times. Targets that pile up on a place are parted
+    by no radius, so the mean need not fall below twice that of the smallest cells. It only decides
+    how the search goes, never what it finds.
     """
     grid = Grid.for_radius(radius_m, extent.max_abs_lat)
     finest = 2.0**MAX_HALVINGS
@@ -92,10 +95,13 @@ def crowded_start(targets: DataFrame, radius_m: float, extent: Extent) -> float:
     )
     # The targets are counted once, by the smallest cells; larger ones are sums of those.
     cells = stage_table(cells, "crowding")
+    mean = F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")
+    typical = max(TYPICAL_CELL, 2 * (cells.agg(mean).first()[0] or 0))
     for level in range(MAX_HALVINGS + 1):
         shift = MAX_HALVINGS - level
         by_cell = cells.groupBy(F.shiftright("y", shift).alias("y"), F.shiftright("x", shift).alias("x"))
-        if (by_cell.agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= CROWDED_CELL:
+        most, met = by_cell.agg(F.sum("n").alias("n")).agg(F.max("n"), mean).first()
+        if (most or 0) <= CROWDED_CELL and (met or 0) <= typical:
             return radius_m / 2**level
     return radius_m / 2**MAX_HALVINGS
 

@@ -84,6 +84,28 @@ def test_crowded_targets_start_closer(spark):
     assert ours == brute_nearest(points, nodes, 1000.0)
 
 
+def test_targets_many_to_a_cell_start_closer_than_the_largest_cell_asks(spark):
+    # Some 60 targets to a cell of 500 m, nowhere more than CROWDED_CELL: a place would have some 180 candidates.
+    nodes = random_places(31, 3_000, 0.02)
+    points = random_places(32, 200, 0.021)
+    p, n = frames(spark, points, nodes)
+    extent = targets.Extent.measure(n)
+    start = nearest.crowded_start(n, 500.0, extent)
+    grid = Grid.for_radius(500.0, extent.max_abs_lat)
+    assert grid.locate(n, "a_lat", "a_lon").groupBy(CELL_Y, CELL_X).count().agg(F.max("count")).first()[0] <= nearest.CROWDED_CELL
+    assert start <= 250.0
+    ours = {(r.id, r.NODEID) for r in nearest.snap(p, n, 500.0).collect()}
+    assert ours == brute_nearest(points, nodes, 500.0)
+
+
+def test_targets_on_one_place_do_not_shrink_the_start(spark):
+    # Twelve nodes on each of 30 places far apart: no radius parts them.
+    nodes = [(100 * k + j, 40.0 + k * 0.05, -74.0) for k in range(30) for j in range(12)]
+    p, n = frames(spark, [(7, 40.0005, -74.0)], nodes)
+    assert nearest.crowded_start(n, 500.0, targets.Extent.measure(n)) == 500.0
+    assert {r.NODEID for r in nearest.snap(p, n, 500.0).collect()} == set(range(12))
+
+
 def test_start_radius_does_not_part_distances_that_round_to_the_same(spark):
     nodes = [(1, 40.7 + 0.12207065 / DEG, -74.0), (2, 40.7 - 0.12207085 / DEG, -74.0)]
     p, n = frames(spark, [(7, 40.7, -74.0)], nodes)
