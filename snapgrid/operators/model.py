@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from math import ceil
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from snapgrid.operators.boosting import BoostedTrees, fit_boosted
 from snapgrid.operators.evaluation import BROADCAST_CLASSES, with_class_weight
 from snapgrid.operators.features import FEATURES
 from snapgrid.session import stage_table
@@ -66,7 +67,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def cause_pipeline(settings: TreeSettings, classes: int) -> Pipeline:
-    """Assemble and classify. Expects scaled features, the numeric ``label`` and the row weight.
+    """Assemble and classify by a forest. Expects scaled features, the numeric ``label`` and the row weight.
 
     With one cause there is nothing to learn: a single tree predicts it, whatever the kind.
     """
@@ -84,24 +85,13 @@ def cause_pipeline(settings: TreeSettings, classes: int) -> Pipeline:
         featureSubsetStrategy=str(settings.column_share),
         seed=settings.seed,
     )
-    if settings.kind not in ("boosted", "forest"):
-        raise ValueError("kind must be 'boosted' or 'forest'")
-    if classes < 2:
-        classifier = RandomForestClassifier(numTrees=1, **shared)
-    elif settings.kind == "forest":
-        classifier = RandomForestClassifier(numTrees=settings.trees, **shared)
-    else:
-        boosted = GBTClassifier(maxIter=settings.trees, stepSize=settings.rate, **shared)
-        classifier = OneVsRest(
-            classifier=boosted, featuresCol="features", labelCol="label", weightCol="weight",
-            parallelism=min(classes, 8),
-        )
+    classifier = RandomForestClassifier(numTrees=settings.trees if classes > 1 else 1, **shared)
     return Pipeline(stages=[assembler, classifier])
 
 
 @dataclass(frozen=True)
 class CauseModel:
-    model: PipelineModel
+    model: PipelineModel | BoostedTrees
     labels: list[str]
     stats: Mapping[str, tuple[float, float]]
 
@@ -116,12 +106,16 @@ class CauseModel:
     def save(self, path: str) -> None:
         """Write the fitted trees, the labels in order and the scaling under ``path``; what was there goes."""
         spark = SparkSession.getActiveSession()
-        self.model.write().overwrite().save(f"{path}/trees")
+        kind = "boosted" if isinstance(self.model, BoostedTrees) else "forest"
+        if kind == "boosted":
+            self.model.save(spark, f"{path}/boosted")
+        else:
+            self.model.write().overwrite().save(f"{path}/trees")
         labels = spark.createDataFrame(list(enumerate(self.labels)), "label int, cause string")
         labels.coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
-        scales = [(k, c, mean, std) for k, (c, (mean, std)) in enumerate(self.stats.items())]
+        scales = [(k, c, mean, std, kind) for k, (c, (mean, std)) in enumerate(self.stats.items())]
         # Last, so that a folder with it is a whole model.
-        spark.createDataFrame(scales, "nth int, feature string, mean double, deviation double").coalesce(1).write.mode("overwrite").parquet(
+        spark.createDataFrame(scales, "nth int, feature string, mean double, deviation double, kind string").coalesce(1).write.mode("overwrite").parquet(
             f"{path}/scaling"
         )
 
@@ -130,7 +124,10 @@ def load_cause_model(spark: SparkSession, path: str) -> CauseModel:
     """The model that ``CauseModel.save`` wrote: it predicts what the saved one did."""
     labels = [r.cause for r in spark.read.parquet(f"{path}/labels").orderBy("label").collect()]
     scales = spark.read.parquet(f"{path}/scaling").orderBy("nth").collect()
-    return CauseModel(PipelineModel.load(f"{path}/trees"), labels, {r.feature: (r.mean, r.deviation) for r in scales})
+    # Models stored before trees had a kind are pipelines, boosted ones too.
+    boosted = "kind" in scales[0] and scales[0].kind == "boosted"
+    model = BoostedTrees.load(spark, f"{path}/boosted") if boosted else PipelineModel.load(f"{path}/trees")
+    return CauseModel(model, labels, {r.feature: (r.mean, r.deviation) for r in scales})
 
 
 def index_labels(nodes: DataFrame, cause: str = "primary_cause") -> tuple[DataFrame, list[str]]:
@@ -142,9 +139,15 @@ def index_labels(nodes: DataFrame, cause: str = "primary_cause") -> tuple[DataFr
 
 def fit_cause_model(labelled: DataFrame, labels: list[str], settings: TreeSettings) -> CauseModel:
     """Fit on rows with ``label``; rare classes weigh more (see ``class_weights``)."""
+    if settings.kind not in ("boosted", "forest"):
+        raise ValueError("kind must be 'boosted' or 'forest'")
     stats = scaling(labelled, settings.features)
     weighted = with_class_weight(scaled(labelled, stats), "label").select("label", "weight", *settings.features)
-    # Every tree reads the rows again, a job for each level: they are written once, in no
+    if settings.kind == "boosted" and len(labels) > 1:
+        rows = stage_table(weighted, "model_rows")
+        weights = {int(r.label): r.weight for r in rows.groupBy("label").agg(F.max("weight").alias("weight")).collect()}
+        return CauseModel(fit_boosted(rows, len(labels), weights, settings), labels, stats)
+    # Every level reads the rows again: they are written once, in no
     # more partitions than their number asks for, and held while the model grows.
     parts = max(1, ceil(labelled.count() / ROWS_A_PARTITION))
     rows = stage_table(weighted.coalesce(parts), "model_rows").cache()

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from snapgrid.operators import boosting
 from snapgrid.operators.evaluation import with_class_weight
 from snapgrid.operators.features import FEATURES
-from snapgrid.operators.model import TreeSettings, index_labels, load_cause_model, split, standardise
+from snapgrid.operators.model import TreeSettings, fit_cause_model, index_labels, load_cause_model, split, standardise
 from snapgrid.plans import causes
 from tests.test_scores_and_features import CRASH, crash
 
@@ -69,6 +70,54 @@ def test_a_stored_model_predicts_the_same(spark, tmp_path, kind, trees):
     assert causes.score_table(loaded, table(spark).limit(0)).predictions.count() == 0
 
 
+def test_a_level_of_all_causes_is_one_job(spark):
+    """Trees of all causes grow together: a job for each level of a round, whatever the number of causes."""
+    labelled, labels = index_labels(table(spark))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    jobs = []
+    for trees in (2, 6):
+        context.setJobGroup(f"fit-{trees}", "")
+        model = fit_cause_model(labelled, labels, TreeSettings(trees=trees, depth=3))
+        jobs.append(len(tracker.getJobIdsForGroup(f"fit-{trees}")))
+        assert model.model.feature.shape == (trees, 3, 15)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 4 * 3
+
+
+def test_boosted_trees_by_brute_force():
+    """The splits of a level are those of least weighted variance over all cells; equal sums in any order of blocks."""
+    rng = np.random.default_rng(3)
+    cells, marks = rng.integers(0, 5, (3, 400)).astype(np.uint8), rng.integers(0, 3, 400).astype(np.uint8)
+    weights, margins = np.array([1.0, 0.5, 2.0]), rng.normal(size=(3, 400)).astype(np.float32)
+    settings = TreeSettings(row_share=1.0, column_share=1.0, min_rows=3, features=("a", "b", "c"))
+    feature, cell = np.full((3, 7), -1, np.int16), np.zeros((3, 7), np.int16)
+    feature[:, 0], cell[:, 0] = 1, 2
+    level = boosting._Level(settings, 1, 1, feature, cell, weights)
+    whole = dict(level.sums(iter([(0, cells, marks, margins)])))
+    parts = [(k, cells[:, a:b], marks[a:b], margins[:, a:b]) for k, (a, b) in enumerate([(300, 400), (0, 130), (130, 300)])]
+    assert all(np.array_equal(found, whole[k]) for k, found in level.sums(iter(parts)))
+    for k in range(3):
+        side = np.where(marks == k, 1.0, -1.0)
+        rest, w = 4 * side / (1 + np.exp(2 * side * margins[k])), weights[marks]
+        for node, f, b, left, right, mean in level.splits((k, whole[k]))[1]:
+            here = (cells[1] > 2) == (node == 2)
+            cost = {}
+            for f2 in range(3):
+                for b2 in range(4):
+                    sides = [here & (cells[f2] <= b2), here & (cells[f2] > b2)]
+                    if min(x.sum() for x in sides) >= 3:
+                        cost[f2, b2] = sum((w[x] * (rest[x] - np.average(rest[x], weights=w[x])) ** 2).sum() for x in sides)
+            assert cost[f, b] == pytest.approx(min(cost.values()), rel=1e-4)
+            goes = here & (cells[f] <= b), here & (cells[f] > b), here
+            assert [left, right, mean] == pytest.approx([np.average(rest[x], weights=w[x]) for x in goes], abs=1e-4)
+
+
+def test_cuts_share_the_rows_of_a_common_value_out():
+    assert boosting.choose_cuts([0.0] * 7 + [1.0, 2.0]) == (0.0, 1.0, 2.0)
+    cuts = boosting.choose_cuts([0.0] * 900 + list(range(1, 101)))
+    assert len(cuts) == boosting.BINS - 1 and cuts[0] == 0.0 and max(np.diff(cuts)) <= 5
+
+
 def test_hold_out_is_exact_for_each_label(spark):
     rows = spark.range(5000).selectExpr("id AS NODEID", "CASE WHEN id < 3 THEN 'rare' WHEN id % 3 > 0 THEN 'common' WHEN id % 2 > 0 THEN 'other' END AS label")
     sides = [split(rows.repartition(n), "NODEID", "label") for n in (1, 7)]
