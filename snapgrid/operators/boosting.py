@@ -97,6 +97,14 @@ def add_tree(margins: np.ndarray, bins: np.ndarray, feature: np.ndarray, cell: n
         margins[k] += value[k][place(bins, feature[k], cell[k], depth)]
 
 
+def draw(keys: np.ndarray, seed: int, round: int) -> np.ndarray:
+    """A number from 0 to 1 for each key: the same wherever the row lies."""
+    x = keys ^ np.random.default_rng([seed % (1 << 32), round]).integers(0, 1 << 64, dtype=np.uint64)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(33))) >> np.uint64(11)) * 2.0**-53
+
+
 def choose_cuts(quantiles: list[float]) -> tuple[float, ...]:
     """At most BINS - 1 cuts that share the rows evenly; a common value takes one and leaves the rest to the others."""
     values, counts = np.unique(np.array(quantiles, dtype=float), return_counts=True)
@@ -112,7 +120,7 @@ def choose_cuts(quantiles: list[float]) -> tuple[float, ...]:
 
 
 def _blocks(rows: DataFrame, features: tuple[str, ...], cuts: tuple[tuple[float, ...], ...], labels: int, parts: int) -> RDD:
-    """(number, cells, labels, margins) of at most BLOCK_ROWS rows each, dealt evenly to ``parts`` tasks."""
+    """(keys, cells, labels, margins) of at most BLOCK_ROWS rows each, dealt evenly to ``parts`` tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -131,16 +139,17 @@ def _blocks(rows: DataFrame, features: tuple[str, ...], cuts: tuple[tuple[float,
         table = pa.Table.from_batches(held)
         cells = binned([table[c].to_numpy() for c in features], cuts)
         marks = table["label"].to_numpy().astype(np.uint8 if labels < 256 else np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (cells, marks)], ["cells", "marks"])
+        made = (table["drawn"].to_numpy(), cells, marks)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], ["keys", "cells", "marks"])
 
     def opened(numbered: tuple) -> tuple:
-        number, (cells, marks) = numbered
+        _, (keys, cells, marks) = numbered
         marks = np.frombuffer(marks, np.uint8 if labels < 256 else np.int64)
         cells = np.frombuffer(cells, np.uint8).reshape(len(features), len(marks))
-        return number, cells, marks, np.zeros((labels, len(marks)), np.float32)
+        return np.frombuffer(keys, np.uint64), cells, marks, np.zeros((labels, len(marks)), np.float32)
 
-    typed = rows.select("label", *[F.col(c).cast("double") for c in features])
-    table = stage_table(typed.mapInArrow(pack, "cells binary, marks binary"), "boosting_rows")
+    typed = rows.select("label", "drawn", *[F.col(c).cast("double") for c in features])
+    table = stage_table(typed.mapInArrow(pack, "keys binary, cells binary, marks binary"), "boosting_rows")
     numbered = table.rdd.zipWithIndex().map(lambda x: (x[1], tuple(x[0])))
     return numbered.partitionBy(parts, lambda number: number).map(opened)
 
@@ -160,9 +169,8 @@ class _Level:
         """(label, rows and residuals by feature, class, node and cell)."""
         labels, slots = len(self.weights), 1 << self.level
         made: list = [None] * labels
-        for number, cells, marks, margins in blocks:
-            drawn = np.random.default_rng([self.settings.seed, self.round, number]).random(len(marks)) < self.settings.row_share
-            drawn = np.flatnonzero(drawn)
+        for keys, cells, marks, margins in blocks:
+            drawn = np.flatnonzero(draw(keys, self.settings.seed, self.round) < self.settings.row_share)
             cells, marks, margins = cells[:, drawn], marks[drawn].astype(np.int64), margins[:, drawn]
             size = labels * (slots + 1) * BINS
             for k in range(labels):
@@ -203,7 +211,7 @@ class _Level:
             if not rows[0, slot, -1]:
                 continue
             node = (1 << self.level) - 1 + slot
-            order = np.random.default_rng([self.settings.seed, self.round, k, node]).permutation(features)
+            order = np.random.default_rng([self.settings.seed % (1 << 32), self.round, k, node]).permutation(features)
             here = gain[:, slot].copy()
             here[order[ceil(self.settings.column_share * features) :]] = -1.0
             f, b = np.unravel_index(here.argmax(), here.shape)
@@ -215,7 +223,8 @@ class _Level:
 
 
 def fit_boosted(rows: DataFrame, labels: int, weights: Mapping[int, float], settings) -> BoostedTrees:
-    """``settings.trees`` boosted trees for each label against the rest, on rows with ``label`` and scaled features.
+    """``settings.trees`` boosted trees for each label against the rest, on rows with ``label``, scaled features and ``drawn``, a hash by
+    which rows are drawn for a round.
 
     Logistic loss; a tree fits its residuals by weighted variance, the first one the sides
     themselves. A level of the trees of all labels is one Spark job: tasks count rows and
@@ -224,8 +233,10 @@ def fit_boosted(rows: DataFrame, labels: int, weights: Mapping[int, float], sett
     carried from tree to tree. ``weights`` are by label.
     """
     spark = rows.sparkSession
-    asked = [k / QUANTILES for k in range(QUANTILES + 1)]
-    found = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(F.col(c).cast("double"), asked, 2 * QUANTILES).alias(c) for c in settings.features]).first()
+    # One text for each feature: as columns, every quantile would be a call to the JVM.
+    asked = f"array({', '.join(f'{k / QUANTILES}D' for k in range(QUANTILES + 1))})"
+    quantiles = [F.expr(f"percentile_approx(cast(`{c}` AS double), {asked}, {2 * QUANTILES})").alias(c) for c in settings.features]
+    found = rows.agg(F.count("*").alias("n"), *quantiles).first()
     if not found.n:
         raise ValueError("no rows to fit")
     cuts = tuple(choose_cuts(found[c]) for c in settings.features)
@@ -243,7 +254,9 @@ def fit_boosted(rows: DataFrame, labels: int, weights: Mapping[int, float], sett
             rate = settings.rate if t else 1.0
             for level in range(max(1, settings.depth)):
                 step = _Level(settings, t, level, feature[t], cell[t], by_label)
-                grown = state.mapPartitions(step.sums).reduceByKey(np.add, labels).map(step.splits).collect()
+                sums = state.mapPartitions(step.sums)
+                # One task has whole sums: there is nothing to add up.
+                grown = (sums if parts == 1 else sums.reduceByKey(np.add, labels)).map(step.splits).collect()
                 if before is not None:
                     before.unpersist()
                     before = None
@@ -277,9 +290,9 @@ def _advanced(state: RDD, feature: np.ndarray, cell: np.ndarray, value: np.ndarr
     """The blocks with a round of trees added to their margins."""
 
     def add(block: tuple) -> tuple:
-        number, cells, marks, margins = block
+        keys, cells, marks, margins = block
         margins = margins.copy()
         add_tree(margins, cells, feature, cell, value)
-        return number, cells, marks, margins
+        return keys, cells, marks, margins
 
     return state.map(add)

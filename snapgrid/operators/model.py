@@ -142,7 +142,8 @@ def fit_cause_model(labelled: DataFrame, labels: list[str], settings: TreeSettin
     if settings.kind not in ("boosted", "forest"):
         raise ValueError("kind must be 'boosted' or 'forest'")
     stats = scaling(labelled, settings.features)
-    weighted = with_class_weight(scaled(labelled, stats), "label").select("label", "weight", *settings.features)
+    keyed = labelled.withColumn("drawn", F.xxhash64(*[F.col(f"`{c}`") for c in labelled.columns]))
+    weighted = with_class_weight(scaled(keyed, stats), "label").select("label", "weight", "drawn", *settings.features)
     if settings.kind == "boosted" and len(labels) > 1:
         rows = stage_table(weighted, "model_rows")
         weights = {int(r.label): r.weight for r in rows.groupBy("label").agg(F.max("weight").alias("weight")).collect()}
@@ -150,7 +151,7 @@ def fit_cause_model(labelled: DataFrame, labels: list[str], settings: TreeSettin
     # Every level reads the rows again: they are written once, in no
     # more partitions than their number asks for, and held while the model grows.
     parts = max(1, ceil(labelled.count() / ROWS_A_PARTITION))
-    rows = stage_table(weighted.coalesce(parts), "model_rows").cache()
+    rows = stage_table(weighted.drop("drawn").coalesce(parts), "model_rows").cache()
     try:
         return CauseModel(cause_pipeline(settings, len(labels)).fit(rows), labels, stats)
     finally:

@@ -93,8 +93,9 @@ def test_boosted_trees_by_brute_force():
     feature, cell = np.full((3, 7), -1, np.int16), np.zeros((3, 7), np.int16)
     feature[:, 0], cell[:, 0] = 1, 2
     level = boosting._Level(settings, 1, 1, feature, cell, weights)
-    whole = dict(level.sums(iter([(0, cells, marks, margins)])))
-    parts = [(k, cells[:, a:b], marks[a:b], margins[:, a:b]) for k, (a, b) in enumerate([(300, 400), (0, 130), (130, 300)])]
+    keys = np.arange(400, dtype=np.uint64)
+    whole = dict(level.sums(iter([(keys, cells, marks, margins)])))
+    parts = [(keys[a:b], cells[:, a:b], marks[a:b], margins[:, a:b]) for a, b in [(300, 400), (0, 130), (130, 300)]]
     assert all(np.array_equal(found, whole[k]) for k, found in level.sums(iter(parts)))
     for k in range(3):
         side = np.where(marks == k, 1.0, -1.0)
@@ -112,6 +113,17 @@ def test_boosted_trees_by_brute_force():
             assert [left, right, mean] == pytest.approx([np.average(rest[x], weights=w[x]) for x in goes], abs=1e-4)
 
 
+def test_margins_written_and_blocks_decide_nothing(spark, monkeypatch):
+    labelled, labels = index_labels(table(spark))
+    settings = TreeSettings(trees=5, depth=3)
+    whole = fit_cause_model(labelled, labels, settings).model
+    monkeypatch.setattr(boosting, "CUT_EVERY", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 70)
+    cut = fit_cause_model(labelled.repartition(3), labels, settings).model
+    assert whole.cuts == cut.cuts and np.array_equal(whole.feature, cut.feature) and np.array_equal(whole.cell, cut.cell)
+    assert np.allclose(whole.value, cut.value, atol=1e-6) and (whole.feature >= 0).any(axis=2).all()
+
+
 def test_cuts_share_the_rows_of_a_common_value_out():
     assert boosting.choose_cuts([0.0] * 7 + [1.0, 2.0]) == (0.0, 1.0, 2.0)
     cuts = boosting.choose_cuts([0.0] * 900 + list(range(1, 101)))
