@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -17,11 +17,17 @@ from snapgrid.session import stage_table
 
 #: Documented bounds of the rows that the weights are fitted on, and of the model; counts and the cut cover all rows.
 POSITIVES, UNLABELLED, FEATURES = 4_000, 8_000, 1_024
+#: The model is also fitted on the features that tell most: rare words of copied texts do not crowd them there.
+FEW = 128
+#: Losses that the weights are fitted with, and their rates. The sigmoid loss forgives wrong marks, but it hardly pulls at
+#: texts that it has far on the wrong side; the logistic loss does.
+LOSSES = {"sigmoid": 0.1, "logistic": 0.03}
 #: Width of the steps of raw scores between which the cut is sought.
 STEP = 0.001
-#: Distinct features that a task counts before it hands them on.
+#: Distinct features that a task counts before it hands them on; words whose known features a task remembers.
 HELD = 200_000
-PREFIXES = (4, 5)
+#: Characters of the beginnings. The short ones of an insult may be those of harmless words too, the long ones are not.
+PREFIXES = (4, 5, 6, 8)
 #: Standard deviations by which a feature must be commoner among positives to be used.
 SURPRISE = 4.0
 #: The score that stands for the cut between the classes.
@@ -29,15 +35,41 @@ TOXIC = 0.7
 _WORDS = re.compile(r"\w+")
 
 
+def _forms(word: str) -> list[str]:
+    return [word, *(f"{n}:{word[:n]}" for n in PREFIXES if len(word) > n)]
+
+
+def _words(text: str | None) -> set[str]:
+    return set(_WORDS.findall((text or "").lower()))
+
+
 def features(text: str | None) -> set[str]:
     """Words of a text and the beginnings of its longer words, each once.
 
     Beginnings let the model know an inflected or compounded word it has not seen.
     """
-    words = set(_WORDS.findall((text or "").lower()))
-    found = {f"{n}:{w[:n]}" for n in PREFIXES for w in words if len(w) > n}
-    found.update(words)
-    return found
+    return {f for w in _words(text) for f in _forms(w)}
+
+
+def finder(known: Iterable[str]) -> Callable[[str | None], list[str]]:
+    """A function that gives the ``known`` features of a text, sorted; it remembers what it found for a word."""
+    known, seen = frozenset(known), {}
+
+    def find(text: str | None) -> list[str]:
+        found = set()
+        for word in _words(text):
+            hits = seen.get(word)
+            if hits is None:
+                hits = tuple(f for f in _forms(word) if f in known)
+                if len(seen) >= HELD:
+                    seen.clear()
+                if len(word) <= 64:
+                    seen[word] = hits
+            if hits:
+                found.update(hits)
+        return sorted(found)
+
+    return find
 
 
 @dataclass(frozen=True)
@@ -45,25 +77,37 @@ class Model:
     bias: float
     weights: dict[str, float]
 
+    def raws(self) -> Callable[[str | None], float]:
+        """The raw score of a text, as a function for many texts."""
+        find = finder(self.weights)
+        return lambda text: float(np.clip(self.bias + sum(self.weights[f] for f in find(text)), -35, 35))
+
+    def scores(self) -> Callable[[str | None], float]:
+        raw = self.raws()
+        return lambda text: float(1 / (1 + np.exp(-raw(text))))
+
     def raw(self, text: str | None) -> float:
-        known = self.weights
-        return float(np.clip(self.bias + sum(known[f] for f in sorted(features(text) & known.keys())), -35, 35))
+        return self.raws()(text)
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-self.raw(text))))
+        return self.scores()(text)
 
 
-def _side(raw: np.ndarray, x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
-    """Mean sigmoid loss of rows taken as class ``sign``, and its gradient."""
+def _side(raw: np.ndarray, x: np.ndarray, sign: int, loss: str) -> tuple[float, np.ndarray]:
+    """Mean loss of rows taken as class ``sign``, and its gradient."""
     wrong = 1 / (1 + np.exp(np.clip(sign * raw, -35, 35)))
-    pull = -sign * wrong * (1 - wrong) / len(raw)
-    return float(wrong.mean()), np.append(pull @ x, pull.sum())
+    pull = -sign * wrong / len(raw)
+    if loss == "sigmoid":
+        mean, pull = wrong.mean(), pull * (1 - wrong)
+    else:
+        mean = np.logaddexp(0, -sign * raw).mean()
+    return float(mean), np.append(pull.astype(x.dtype) @ x, pull.sum()).astype(float)
 
 
 def fit_nnpu(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-3
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-3, loss: str = "sigmoid"
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the sigmoid loss.
+    """Weights and bias that minimise the non-negative risk with the ``sigmoid`` or ``logistic`` loss.
 
     The risk of negatives is that of unlabelled rows less ``prior`` times that of
     positives seen as negatives. It cannot be below zero in truth; where the estimate is,
@@ -72,10 +116,10 @@ def fit_nnpu(
     w = np.zeros(positive.shape[1] + 1)
     mean, spread = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        at_positive, at_unlabelled = (x @ w[:-1] + w[-1] for x in (positive, unlabelled))
-        _, up = _side(at_positive, positive, 1)
-        seen_negative, up_negative = _side(at_positive, positive, -1)
-        loss_unlabelled, up_unlabelled = _side(at_unlabelled, unlabelled, -1)
+        at_positive, at_unlabelled = (x @ w[:-1].astype(x.dtype) + w[-1] for x in (positive, unlabelled))
+        _, up = _side(at_positive, positive, 1, loss)
+        seen_negative, up_negative = _side(at_positive, positive, -1, loss)
+        loss_unlabelled, up_unlabelled = _side(at_unlabelled, unlabelled, -1, loss)
         rest, up_rest = loss_unlabelled - prior * seen_negative, up_unlabelled - prior * up_negative
         slope = prior * up + up_rest if rest >= 0 else -up_rest
         slope[:-1] += decay * w[:-1]
@@ -143,29 +187,57 @@ def _counts(texts: DataFrame, positives: DataFrame) -> DataFrame:
     )
 
 
-def _cut(texts: DataFrame, positives: DataFrame, model: Model, prior: float) -> float:
-    """``threshold`` over all texts, to one STEP of the raw score: at most 70,001 steps come to the driver."""
+def _doubt(cut: float, seen: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """What speaks against the decisions at ``cut``: positives missed, and marks that are not ``prior`` times theirs.
+
+    Fewer marks than that count too: then the model has learnt its positives by heart.
+    """
+    above = [float(np.sum(x[seen > cut]) / np.sum(x)) for x in (positive, unlabelled)]
+    return prior * (1 - above[0]) + abs(above[1] - prior * above[0])
+
+
+def _best(texts: DataFrame, positives: DataFrame, models: list[Model], prior: float) -> tuple[Model, float]:
+    """The model with the least ``_doubt`` over all texts, the first of equals, and its ``threshold``.
+
+    Raw scores are counted to one STEP: at most 70,001 steps of each model come to the driver.
+    """
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            steps = [int(np.floor(model.raw(t) / STEP)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(steps, pa.int64())], ["doc_id", "step"])
+        # Models share their features: one search a text serves all.
+        find = finder(set().union(*(m.weights for m in models)))
 
-    scored = stage_table(texts.select("doc_id", "text").mapInArrow(add, f"doc_id {kind}, step long"), "toxicity-steps")
-    confirmed = scored.join(positives, "doc_id", "left_semi").select("step", F.lit(1).alias("p"), F.lit(0).alias("u"))
-    rows = confirmed.unionByName(scored.select("step", F.lit(0).alias("p"), F.lit(1).alias("u")))
-    found = rows.groupBy("step").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow().sort_by("step")
-    step, p, u = (found.column(c).to_numpy() for c in ("step", "p", "u"))
-    return threshold((step + 0.5) * STEP, p, u, prior)
+        def steps(text: str | None) -> list[int]:
+            found = find(text)
+            raws = (np.clip(m.bias + sum(m.weights.get(f, 0.0) for f in found), -35, 35) for m in models)
+            return [int(np.floor(float(r) / STEP)) for r in raws]
+
+        for batch in slices(batches, "text"):
+            made = [steps(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "steps"])
+
+    scored = stage_table(texts.select("doc_id", "text").mapInArrow(add, f"doc_id {kind}, steps array<long>"), "toxicity-steps")
+    confirmed = scored.join(positives, "doc_id", "left_semi").select("steps", F.lit(1).alias("p"), F.lit(0).alias("u"))
+    rows = confirmed.unionByName(scored.select("steps", F.lit(0).alias("p"), F.lit(1).alias("u")))
+    rows = rows.select(F.posexplode("steps").alias("model", "step"), "p", "u")
+    found = rows.groupBy("model", "step").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow().sort_by("step")
+    tried = []
+    for k, model in enumerate(models):
+        its = found.filter(pa.compute.equal(found.column("model"), k))
+        step, p, u = (its.column(c).to_numpy() for c in ("step", "p", "u"))
+        seen = (step + 0.5) * STEP
+        cut = threshold(seen, p, u, prior)
+        tried.append((round(_doubt(cut, seen, p, u, prior), 9), k, model, cut))
+    return min(tried)[2:]
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model:
     """Fit on confirmed positives and unlabelled text among the ``usable`` rows.
 
     ``usable`` is a condition on doc_id; an id that repeats in ``docs`` gives one text. Features are chosen by
-    counts over all usable positives and texts, and the cut by all their scores. The weights between are fitted
-    on at most POSITIVES positives (by hash of the id) and about UNLABELLED texts (a hash range). The class
+    counts over all usable positives and texts. The weights are fitted
+    on at most POSITIVES positives (by hash of the id) and about UNLABELLED texts (a hash range), with each of LOSSES on
+    the FEW first features and on all of them; the scores of all usable texts decide which fit is taken, and the cut. The class
     prior comes from all usable labels. Without a positive, every score is zero. Null texts and ids are allowed.
     """
     marked = labels.where(usable).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -194,8 +266,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     }
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(place)
         for batch in slices(batches, "text"):
-            found = [sorted(place[f] for f in features(t) & place.keys()) for t in batch.column("text").to_pylist()]
+            found = [sorted(place[f] for f in find(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], ["positive", "unlabelled", "found"])
 
     sample = texts.withColumns(marks).where("positive OR unlabelled").select("text", *marks)
@@ -212,10 +285,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     x, u, prior = matrix("positive"), matrix("unlabelled"), min(prior, 0.99)
     if not len(x) or not len(u):
         return Model(-35.0, {})
-    w, bias = fit_nnpu(x, u, prior)
-    model = Model(round(float(bias), 6), {n: round(float(v), 6) for n, v in zip(names, w, strict=True)})
-    bias = model.bias + np.log(TOXIC / (1 - TOXIC)) - _cut(texts, positives, model, prior)
-    return replace(model, bias=round(float(bias), 6))
+    models = []
+    for n in sorted({min(FEW, len(names)), len(names)}):
+        for loss, rate in LOSSES.items():
+            w, bias = fit_nnpu(x[:, :n], u[:, :n], prior, rate=rate, loss=loss)
+            models.append(Model(round(float(bias), 6), {f: round(float(v), 6) for f, v in zip(names[:n], w, strict=True)}))
+    model, cut = _best(texts, positives, models, prior)
+    return replace(model, bias=round(float(model.bias + np.log(TOXIC / (1 - TOXIC)) - cut), 6))
 
 
 def with_scores(docs: DataFrame, model: Model, score: str, columns: Iterable[str]) -> DataFrame:
@@ -226,8 +302,9 @@ def with_scores(docs: DataFrame, model: Model, score: str, columns: Iterable[str
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = model.scores()
         for batch in slices(batches, text):
-            made = pa.array([model.score(t) for t in batch.column(0).to_pylist()], pa.float64())
+            made = pa.array([score_of(t) for t in batch.column(0).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*columns, score])
 
     return slim.mapInArrow(add, f"{kept}, `{score}` double")
@@ -237,8 +314,9 @@ def drop_toxic(docs: DataFrame, model: Model, at_least: float = TOXIC) -> DataFr
     """``docs``, all columns, without the rows whose score is ``at_least`` or more."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = model.scores()
         for batch in slices(batches, "text"):
-            keep = [model.score(t) < at_least for t in batch.column("text").to_pylist()]
+            keep = [score_of(t) < at_least for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
